@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, sharding, url_filter
+from . import decontaminate, license_scan, near_dup, packing, quality_crf, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality_crf.op1_quality,
         "op2_pack": packing.op2_pack,
+        "op5_near_duplicates": near_dup.op5_near_duplicates,
         "op7_jump_shards": sharding.op7_jump_shards,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_url_verdicts": url_filter.op9_url_verdicts,
