@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, near_dup, packing, quality_crf, sharding, url_filter
+from . import decontaminate, license_scan, near_dup, packing, quality_crf, sharding, substring_dedup, url_filter
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality_crf.op1_quality,
         "op2_pack": packing.op2_pack,
         "op5_near_duplicates": near_dup.op5_near_duplicates,
+        "op6_repeats": substring_dedup.op6_repeats,
         "op7_jump_shards": sharding.op7_jump_shards,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_url_verdicts": url_filter.op9_url_verdicts,
         "op10_license_scan": license_scan.op10_license_scan,
+        "pipeline": _pipeline,
     }
 
 
