@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, near_dup, packing, quality_crf, sharding, substring_dedup, url_filter
+from . import ann_hnsw, decontaminate, license_scan, near_dup, packing, quality_crf, sharding, substring_dedup, url_filter, warc
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality_crf.op1_quality,
         "op2_pack": packing.op2_pack,
+        "op3_nearest": ann_hnsw.op3_nearest,
+        "op4_warc": warc.op4_warc,
         "op5_near_duplicates": near_dup.op5_near_duplicates,
         "op6_repeats": substring_dedup.op6_repeats,
         "op7_jump_shards": sharding.op7_jump_shards,
