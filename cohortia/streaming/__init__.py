@@ -1,0 +1 @@
+"""The engine works on bounded tables; there are no streaming operators."""
