@@ -13,7 +13,10 @@ columns aren't read. Windows are full but for the last.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,18 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Entries of a worker's table of words; beyond it the table starts anew.
-CACHE = 600_000
+CACHE = 800_000
+
+#: Parts of printable ASCII and Latin letters that lower-case and normalize letter by letter.
+_PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_LETTER = r"a-z\xdf-\xf6\xf8-\u017e"
+#: The vocabulary's own way to cut lower-cased text, for such parts.
+_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+
+#: Byte-level vocabularies write a printable byte as itself and the others as letters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_LETTER = {b: chr(b) for b in _PRINTABLE}
+_AS_LETTER |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _AS_LETTER)}
 
 
 class CachedTokenizer:
@@ -36,6 +50,7 @@ class CachedTokenizer:
     _held: dict[str, CachedTokenizer] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,43 +64,58 @@ class CachedTokenizer:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def _learn(self, parts: list[bytes]) -> None:
-        for e, part in zip(self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), parts):
-            k, ids = len(self.number), e.ids
-            if k >= len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.lengths[k] = self.used, len(ids)
-            self.number[part] = k
-            self.used += len(ids)
-
-    def encode(self, text: bytes, end: int) -> np.ndarray:
-        parts = text.split()
-        number = self.number
-        new = [p for p in dict.fromkeys(parts) if p not in number]
-        if new:
-            if len(number) + len(new) > CACHE and number:
+        texts = [p.decode() for p in parts]
+        cuts = [_CUT.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        pieces, model = self.pieces, self.tokenizer.model
+        for piece in chain.from_iterable(c for c in cuts if c):
+            if piece not in pieces:
+                # what is left to do for one word of the cut text: bytes as letters, then merges
+                pieces[piece] = [t.id for t in model.tokenize(piece if piece.isascii() else "".join(map(_AS_LETTER.__getitem__, piece.encode())))]
+        whole = self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cuts) if not c], add_special_tokens=False)
+        rest = iter(whole)
+        get = pieces.__getitem__
+        found = [list(chain.from_iterable(map(get, c))) if c else next(rest).ids for c in cuts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ends = self.used + np.cumsum(lengths)
+        k, to = len(self.number), len(self.number) + len(parts)
+        while to > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        while int(ends[-1]) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        self.starts[k:to], self.lengths[k:to] = ends - lengths, lengths
+        self.number.update(zip(parts, range(k, to)))
+        self.used = int(ends[-1])
+
+    def encode_batch(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        parts: list[bytes] = []
+        marks = []
+        for t in texts:
+            parts += t.split()
+            marks.append(len(parts))
+        which = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            new = list(dict.fromkeys(parts[i] for i in missing.tolist()))
+            if len(self.number) and len(self.number) + len(new) > CACHE:
                 self.clear()
-                return self.encode(text, end)
+                return self.encode_batch(texts, end)
             self._learn(new)
-            number = self.number
-        which = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+            which[missing] = np.fromiter((self.number[parts[i]] for i in missing.tolist()), np.int64, len(missing))
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
         n = int(ends[-1]) if len(parts) else 0
-        out = np.empty(n + 1, np.uint32)
-        if n:
-            out[:n] = self.ids[np.arange(n) + np.repeat(self.starts[which] - (ends - lengths), lengths)]
-        out[n] = end
-        return out
+        flat = self.ids[np.arange(n) + np.repeat(self.starts[which] - (ends - lengths), lengths)] if n else np.empty(0, np.uint32)
+        cuts = np.concatenate([[0], ends])[[0, *marks]].tolist()
+        return [np.append(flat[a:b], np.uint32(end)) for a, b in zip(cuts, cuts[1:])]
 
 
 def word_bpe_path() -> str:
@@ -105,7 +135,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, id_
         for batch in batches:
             for start in range(0, len(batch), 256):  # bounds the ids held for an Arrow batch
                 rows = batch.iloc[start : start + 256]
-                ids = [words.encode(t or b"", end_id) for t in rows["text"]]
+                ids = words.encode_batch([t or b"" for t in rows["text"]], end_id)
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 before = at + np.cumsum(n) - n
                 at += int(n.sum())
