@@ -3,11 +3,12 @@ a shuffle. It has no false negatives, and rows that pass still meet the join."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Beyond this many keys no filter is made (2 MB of bits); the join then gets all rows.
-MOST_KEYS = 1_000_000
+#: Beyond this many keys (16 MB of bits) no filter is made; the join then gets all rows.
+MOST_KEYS = 8_000_000
 _HASHES = 3
 
 
@@ -27,11 +28,12 @@ def maybe_in(keys: DataFrame, name: str, key: Column, n_keys: int) -> Column:
         .groupBy(F.shiftright("p", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     )
-    held = [0] * (bits // 64)
-    for r in words.toLocalIterator():
-        held[r["word"]] = r["bits"]
-    column = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
+    got = words.toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[got["word"].to_numpy()] = got["bits"].to_numpy()
+    column = F.lit(bytearray(held.astype("<i8").tobytes()))
     found = F.lit(True)
     for p in _positions(key, bits):
-        found = found & (F.getbit(F.get(column, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        byte = F.conv(F.hex(F.substring(column, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        found = found & (F.getbit(byte, p.bitwiseAND(F.lit(7)).cast("int")) == 1)
     return F.coalesce(found, F.lit(False))
