@@ -40,7 +40,7 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, feature, value): per user aggregates of events by type; a type without events counts 0."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
     own = events.groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 4).alias("top"))
-    grid = events.select("user_id").distinct().join(F.broadcast(events.select("event_type").distinct()))  # a handful of types
+    grid = events.select("user_id").distinct().join(events.select("event_type").distinct())
     rows = grid.join(own, ["user_id", "event_type"], "left").select(
         F.col("user_id").cast("string").alias("id"), "event_type", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("n", "total", "top")]
     )
