@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: A-Z to lower case; what isn't 0-9, a-z or beyond ASCII to a space.
 _FOLD = bytes(
@@ -117,20 +117,10 @@ def decontaminate(
 
     The benchmark is read in blocks of at most about ``block_bytes`` of text, each with a scan
     of the documents, so what is sent to executors has a bound whatever its size."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text")).where(
-        "name is not null and text is not null"
-    )
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    parts = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) if blocks > 1 else items
-        listed = [(r["name"], bytes(r["text"])) for r in own.toLocalIterator()]
-        vocabulary = {w for _, text in listed for w in fold_words(text)}
-        counts = benchmark_counts(rows, vocabulary, "text") if vocabulary else {}
-        parts.append(_scan(rows, spark.sparkContext.broadcast(WindowIndex(listed, window, counts)), final=blocks == 1))
+    held = list(_indices(rows, benchmark, window, block_bytes, item_id, item_text))
+    blocks = len(held)
+    parts = [_scan(rows, h, final=blocks == 1) for h in held]
     if blocks == 1:
         return parts[0]
     merged = parts[0]
@@ -151,6 +141,41 @@ def decontaminate(
     return merged.drop("text_hash").mapInPandas(finish, _final(docs, id_col))
 
 
+def _indices(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, item_id: str, item_text: str) -> Iterator:
+    """A broadcast index for each block of the benchmark, at most about ``block_bytes`` of text each."""
+    sc = rows.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text")).where(
+        "name is not null and text is not null"
+    )
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) if blocks > 1 else items
+        listed = [(r["name"], bytes(r["text"])) for r in own.toLocalIterator()]
+        vocabulary = {w for _, text in listed for w in fold_words(text)}
+        counts = benchmark_counts(rows, vocabulary, "text") if vocabulary else {}
+        yield sc.broadcast(WindowIndex(listed, window, counts))
+
+
+def _holds_window(held):
+    @F.pandas_udf("boolean")
+    def hit(text: pd.Series) -> pd.Series:
+        return pd.Series([bool(held.value.find(fold_words(t))[0]) for t in text], dtype=bool)
+
+    return hit
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
+    """The documents without any window of the benchmark, all columns; nothing is shuffled."""
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
+    held = list(_indices(rows, benchmark, window, block_bytes, "item_id", "text"))
+    for k, h in enumerate(held):
+        docs = docs.where(~_holds_window(h)(F.col(text_col).cast("binary")))
+        if k + 1 < len(held):
+            docs = written(docs, "clean")  # one index at a time in a worker
+    return docs
+
+
 def _final(docs: DataFrame, id_col: str) -> str:
     kind = docs.schema[id_col].dataType.simpleString()
     return f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, contaminated boolean"
