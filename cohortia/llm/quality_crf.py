@@ -285,7 +285,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: FitBound = FitBound()
     got = sorted(((r["doc_id"], r["y"], bytes(r["text"])) for r in rows.toLocalIterator()), key=lambda r: r[:2])
     if not got:
         return QualityModel()
-    return QualityModel.fit([t for _, _, t in got], np.array([y for _, y, _ in got]))
+    y = np.array([y for _, y, _ in got])
+    model = QualityModel.fit([t for _, _, t in got], y)
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if 0 < y.sum() < len(y):  # the sample has the classes in other shares than the labels
+        model.shift += float(np.log(n[1] / n[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    return model
 
 
 def score_column(model: QualityModel, text: Column) -> Column:
