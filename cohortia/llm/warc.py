@@ -33,22 +33,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 160 bits are 32 letters, no padding."""
-    digest = F.sha1(payload)
-    letters = []
-    for part in range(4):
-        bits = F.conv(F.substring(digest, 1 + 10 * part, 10), 16, 10).cast("bigint")
-        for shift in range(35, -1, -5):
-            letters.append(F.get(F.lit(list(BASE32)), F.shiftright(bits, shift).bitwiseAND(F.lit(31)).cast("int")))
-    return F.concat(*letters)
+def base32(sha1: Column) -> Column:
+    """Upper-case base32 of a hexadecimal SHA-1: 160 bits are four times eight letters, no padding."""
+    parts = [F.lpad(F.conv(F.substring(sha1, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def classify(pages: DataFrame, least: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, digest, refers_to: of equal payloads of at least ``least`` bytes, all but the
     smallest page_id refer to it. Only digests are shuffled, pre-aggregated by task."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1 and first is not null")
     return (
         rows.join(groups, "digest")
@@ -64,7 +59,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int =
         F.col(id_col).alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"),
         html.alias("html"),
-        base32_sha1(html.cast("binary")).alias("digest"),
+        F.sha1(html.cast("binary")).alias("digest"),
     )
     again = classify(pages, least, id_col, html_col).withColumnsRenamed({"page_id": "again_id", "digest": "again_digest"})
     rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
@@ -83,7 +78,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int =
         line("WARC-Record-ID", name(F.col("page_id"))),
         F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit("")),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", name(F.col("refers_to"))))).otherwise(F.lit("")),
         F.lit(f"Content-Type: application/http;msgtype=response{CRLF}"),
         line("Content-Length", F.octet_length("block").cast("string")),
