@@ -126,6 +126,21 @@ def test_repeat_cases(documents):
     assert substring_dedup.remove_repeats(documents([])).count() == 0
 
 
+@pytest.mark.parametrize(("chunk", "crowd"), [(1 << 20, 4096), (200, 4096), (200, 2)])
+def test_repeated_rows_keep_their_bytes(documents, monkeypatch, chunk, crowd):
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)  # one chunk, or each row its own
+    r = random.Random(3)
+    own, other, part = prose(r, 60), prose(r, 60), prose(r, 40)
+    rows = [(1, own), (1, own), (None, other), (None, other), (2, part + own), (2, part + own), (1, own), (3, part)]
+    for at in (rows, rows[::-1]):
+        docs = documents(at).repartition(3)
+        got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs, crowd=crowd).collect()}
+        size = [len(t.encode()) for t in (own, other, part, part + own)]
+        assert got == {(1, size[0], 0), (None, size[1], 0), (2, size[3], size[0]), (3, size[2], size[2])}
+    cut = [(r["doc_id"], r["text"]) for r in substring_dedup.cut_repeats(documents(rows)).collect()]
+    assert cut.count((1, own)) == 3 and cut.count((None, other)) == 2 and cut.count((2, part)) == 2
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"--" + b"abcdefgh" + b"1", b"++" + b"abcdefgh" + b"2", b"xyabcdefg3", b"??abcdefgh"]
     data = np.frombuffer(b"".join(texts), np.uint8)
