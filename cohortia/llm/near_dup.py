@@ -1,13 +1,13 @@
-"""Near duplicates by an LSH forest.
+"""Near duplicates by banded MinHash with sketches.
 
-Texts are sets of word shingles; a signature of MinHash values is cut into several orders
-(trees) of ``DEPTH`` values. In each order documents that share the first ``LEAST`` values
-form a region; the longest common prefixes of the sorted order decide how deep a region
-goes: one with more than ``REGION`` documents is read at full depth, one still larger in
-blocks along the order. Neighbours whose sketches are near enough join one cluster of
-candidates. Every true link lies inside a cluster with odds above ``1 - miss`` a link, and
-the full sets of each cluster are then compared exactly: an inverted index in the task gives
-all intersections, of which only a spanning set of links leaves it.
+Texts are sets of word shingles; a signature of MinHash values is cut into trees of ``DEPTH``
+values. In each tree documents that share the first ``LEAST`` values form a region; one with
+more than ``REGION`` documents is dealt into blocks, and each block meets every other one, so a
+region of any size compares all its pairs. Neighbours whose sketches (of all values) are near
+enough join one cluster of candidates. A link at the threshold shares no region with odds of
+at most ``miss``, however crowded regions are, and the full sets of each cluster are then
+compared exactly: an inverted index in the task gives all intersections, of which only a
+spanning set of links leaves it.
 
 Exact copies (equal word sequences) are one member with one set from the start, so a group of
 copies costs one row; clusters beyond the size of a block are compared block by block.
@@ -146,7 +146,7 @@ def sign(docs: DataFrame, shingle: int, n_trees: int, id_col: str, text_col: str
 
 
 def _orders(members: DataFrame, n_trees: int) -> DataFrame:
-    """A row for each member and tree: tree, label (its values, most significant byte first), u, sketch."""
+    """A row for each member and tree: tree, region (its first LEAST values), u, sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,10 +155,10 @@ def _orders(members: DataFrame, n_trees: int) -> DataFrame:
                 sig = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1)
                 sketch = [s.tobytes() for s in _sketch(sig)]
                 for t in range(n_trees):
-                    label = np.ascontiguousarray(sig[:, DEPTH * t : DEPTH * (t + 1)]).astype(">u4")
-                    yield pd.DataFrame({"tree": np.int32(t), "label": [v.tobytes() for v in label], "u": x["u"].to_numpy(), "sketch": sketch})
+                    region = np.ascontiguousarray(sig[:, DEPTH * t : DEPTH * t + LEAST])
+                    yield pd.DataFrame({"tree": np.int32(t), "region": [v.tobytes() for v in region], "u": x["u"].to_numpy(), "sketch": sketch})
 
-    return members.select("u", "sig").mapInPandas(run, "tree int, label binary, u bigint, sketch binary")
+    return members.select("u", "sig").mapInPandas(run, "tree int, region binary, u bigint, sketch binary")
 
 
 def _grouped(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[pd.DataFrame]:
@@ -198,15 +198,19 @@ def _grouped(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Ite
 
 def candidate_edges(members: DataFrame, n_trees: int, least: float) -> DataFrame:
     """Edges (a, b) whose components hold every pair that shares a region with near sketches."""
-    rows = _orders(members, n_trees).withColumn("region", F.substring("label", 1, 4 * LEAST))
-    crowded = rows.groupBy("tree", "region").count().where(F.col("count") > REGION).select("tree", "region", F.lit(True).alias("deep"))
+    rows = _orders(members, n_trees)
+    crowded = rows.groupBy("tree", "region").count().where(F.col("count") > REGION)
+    crowded = crowded.select("tree", "region", F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
     rows = rows.join(written(crowded, "crowded"), ["tree", "region"], "left")
-    # adaptive depth: a crowded region is cut by all its values, so that it is many tasks
-    region = F.xxhash64("tree", F.when(F.col("deep"), F.col("label")).otherwise(F.col("region")))
-    rows = rows.select(region.alias("g"), "label", "u", "sketch")
+    # each block of a crowded region meets every other one, so that no pair is lost and it is many tasks
+    rows = rows.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("u", "sketch"), F.col("blocks")).cast("int")))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") > 1, others).otherwise(F.array(F.lit(None).cast("int")))))
+    g = F.xxhash64("tree", "region", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(g.alias("g"), "u", "sketch")
 
     def near(u: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
-        """Clusters of one block, each found by breadth-first search."""
+        """Clusters of a region or of two of its blocks, each found by breadth-first search."""
         edges, todo = [], np.arange(len(u))
         while len(todo) > 1:
             reached, rest = [todo[0]], todo[1:]
@@ -222,17 +226,17 @@ def candidate_edges(members: DataFrame, n_trees: int, least: float) -> DataFrame
         return edges
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry: tuple | None = None  # rows of the last region, which may go on
-        link: tuple | None = None  # the last row of a region's blocks before those
+        held: list[tuple] = []  # rows of the last region, which may go on
         for batch in chain(batches, [None]):
-            if batch is not None and not len(batch):
-                continue
-            parts = [carry] if carry else []
             if batch is not None:
-                parts.append((batch["g"].to_numpy(), batch["u"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)))
-            if not parts:
+                if not len(batch):
+                    continue
+                held.append((batch["g"].to_numpy(), batch["u"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)))
+                if held[0][0][0] == held[-1][0][-1]:
+                    continue
+            if not held:
                 continue
-            g, u, s = (np.concatenate(x) for x in zip(*parts))
+            g, u, s = (np.concatenate(x) for x in zip(*held))
             cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
             begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(g)]])
             edges: list[tuple[int, int]] = []
@@ -243,32 +247,13 @@ def candidate_edges(members: DataFrame, n_trees: int, least: float) -> DataFrame
                 close = _agree(s[pair], s[pair + 1]) >= least
                 edges += zip(u[pair[close]], u[pair[close] + 1])
             for a, b in zip(begin[:whole][size > 2].tolist(), end[:whole][size > 2].tolist()):
-                for k in range(a, b, REGION):
-                    edges += near(u[k : min(k + REGION, b)], s[k : min(k + REGION, b)])
-                    if k > a:  # the next block of one order has the same values: one cluster
-                        edges.append((u[k - 1], u[k]))
-            if link and link[0] == g[0]:
-                edges.append((link[1], u[0]))
-                link = None
-            carry = None
-            if batch is not None:
-                a = int(begin[-1])
-                done = (len(g) - a) // REGION * REGION
-                for k in range(a, a + done, REGION):
-                    edges += near(u[k : k + REGION], s[k : k + REGION])
-                    if k > a:
-                        edges.append((u[k - 1], u[k]))
-                if done:
-                    link = (g[a], u[a + done - 1])
-                if a + done < len(g):
-                    carry = (g[a + done :], u[a + done :], s[a + done :])
-                    if done:
-                        edges.append((link[1], carry[1][0]))
-                        link = None
+                edges += near(u[a:b], s[a:b])
+            a = int(begin[-1])
+            held = [(g[a:], u[a:], s[a:])]
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    return rows.repartition("g").sortWithinPartitions("g", "label", "u").select("g", "u", "sketch").mapInPandas(run, "a bigint, b bigint").where("a <> b").distinct()
+    return rows.repartition("g").sortWithinPartitions("g", "u").mapInPandas(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, over: int, under: int) -> list[tuple[int, int]]:

@@ -83,6 +83,27 @@ def test_near_duplicate_cases(documents):
     assert near_dup.near_duplicates(documents([]), 3, 85).count() == 0
 
 
+def _edges(spark, sig, least, n_trees):
+    members = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(sig)], "u bigint, sig binary")
+    found = near_dup.candidate_edges(members, n_trees, least).collect()
+    return {r["vertex"]: r["component"] for r in components(spark.createDataFrame([(r["a"], r["b"]) for r in found], "a bigint, b bigint")).collect()}
+
+
+def test_crowded_regions_lose_no_pair(spark, monkeypatch):
+    """Pairs that share the first four values, but no whole label, of a region that is crowded."""
+    monkeypatch.setattr(near_dup, "REGION", 8)
+    rng = np.random.default_rng(1)
+    n_trees, n = 4, 120
+    sig = rng.integers(0, 1 << 32, (n, near_dup.DEPTH * n_trees), dtype=np.uint32)
+    sig[:, : near_dup.LEAST] = 7  # everyone's region in the first tree
+    for i in range(n // 2):  # i and i + n / 2: equal but for one value in each tree
+        sig[i + n // 2] = sig[i]
+        sig[i + n // 2, near_dup.DEPTH - 1 :: near_dup.DEPTH] ^= 1
+        sig[i + n // 2, near_dup.DEPTH :: near_dup.DEPTH] ^= 1  # no other tree's region
+    got = _edges(spark, sig, 0.6, n_trees)
+    assert [got.get(i + n // 2) for i in range(n // 2)] == list(range(n // 2))
+
+
 # --- 6 repeats -------------------------------------------------------------------------------
 
 
