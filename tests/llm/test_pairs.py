@@ -104,6 +104,20 @@ def test_crowded_regions_lose_no_pair(spark, monkeypatch):
     assert [got.get(i + n // 2) for i in range(n // 2)] == list(range(n // 2))
 
 
+def test_blocks_of_one_label_meet_each_other(spark, monkeypatch):
+    """Many clusters with one whole label: pairs far apart in the order of ids."""
+    monkeypatch.setattr(near_dup, "REGION", 8)
+    rng = np.random.default_rng(2)
+    n_trees, n = 4, 120
+    sig = rng.integers(0, 1 << 32, (n, near_dup.DEPTH * n_trees), dtype=np.uint32)
+    sig[:, : near_dup.DEPTH] = 7
+    for i in range(n // 2):
+        sig[i + n // 2] = sig[i]
+        sig[i + n // 2, near_dup.DEPTH :: near_dup.DEPTH] ^= 1
+    got = _edges(spark, sig, 0.7, n_trees)
+    assert [got.get(i + n // 2) for i in range(n // 2)] == list(range(n // 2))
+
+
 # --- 6 repeats -------------------------------------------------------------------------------
 
 
