@@ -348,7 +348,12 @@ def near_duplicates(
     )
     p = percent / 100
     least = p - 5 * math.sqrt(p * (1 - p) / (DEPTH * n_trees)) - 0.02
-    clusters = components(candidate_edges(members.where("n > 1"), n_trees, least))
+    # members of one shingle are linked with equal ones only (from 51 percent): no order is needed for them
+    edges = candidate_edges(members if percent <= 50 else members.where("n > 1"), n_trees, least)
+    alone = members.where("n = 1").withColumn("shingle", F.xxhash64("sig"))
+    least_of = alone.groupBy("shingle").agg(F.min("u").alias("a"), F.count("*").alias("count")).where("count > 1").select("shingle", "a")
+    edges = edges.unionByName(alone.join(least_of, "shingle").select("a", F.col("u").alias("b")).where("a <> b"))
+    clusters = components(edges)
     clusters = written(clusters.withColumnRenamed("vertex", "u").withColumnRenamed("component", "cluster").join(members.select("u", "n"), "u"), "clusters")
     sizes = clusters.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")

@@ -118,6 +118,14 @@ def test_blocks_of_one_label_meet_each_other(spark, monkeypatch):
     assert [got.get(i + n // 2) for i in range(n // 2)] == list(range(n // 2))
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80), (3, 50)])
+def test_texts_of_one_repeated_word(documents, k, percent):
+    rows = [(10 * w + n, " ".join([word] * n)) for w, word in enumerate(["spam", "egg"]) for n in range(1, 10)]
+    rows += [(30, "spam spam spam egg"), (31, "Spam  spam spam spam SPAM spam"), (32, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(documents(rows), k, percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
 # --- 6 repeats -------------------------------------------------------------------------------
 
 
