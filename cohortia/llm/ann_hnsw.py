@@ -1,7 +1,8 @@
 """Nearest neighbours by hierarchical navigable small-world graphs, one for each shard.
 
 Equal vectors are one node that knows its smallest ids, so a very common vector is one node and
-loses no tie. Nodes are dealt to shards of about ``SHARD`` by hash. A shard's graph is built by
+loses no tie. Nodes are dealt to shards of about ``SHARD`` by the range of their norm and by
+hash. A shard's graph is built by
 inserting nodes in order: each is linked with the nodes before it that are nearest and lie in
 different directions, and back; found by matrix products, which a shard's size bounds, instead
 of by searching the unfinished graph. The largest inner product is made a nearest distance by
@@ -198,7 +199,16 @@ def build_index(vectors: DataFrame, k: int = 20, shard_size: int = SHARD) -> Dat
     first = Window.partitionBy("v").orderBy("vec_id")
     ranked = vectors.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     nodes = written(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, math.ceil(nodes.count() / shard_size))
+    # one very long vector would leave its shard's others no distances: a shard's norms differ 16-fold at most
+    squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    nodes = nodes.withColumn("range", F.coalesce(F.round(F.log(squares) / math.log(256)), F.lit(0.0)).cast("int"))
+    parts, before = [], []
+    for r in nodes.groupBy("range").count().orderBy("range").collect():  # some 500 ranges at most
+        shards = math.ceil(r["count"] / shard_size)
+        before += [F.lit(r["range"]), F.lit(sum(n for n, _ in parts))]
+        parts.append((shards, [F.lit(r["range"]), F.lit(shards)]))
+    of = lambda pairs: F.create_map(*pairs)[F.col("range")] if pairs else F.lit(1)
+    shard = of(before) + F.pmod(F.xxhash64("v"), of([x for _, pair in parts for x in pair]))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows["v"].to_numpy()).astype(np.float64)
@@ -218,7 +228,7 @@ def build_index(vectors: DataFrame, k: int = 20, shard_size: int = SHARD) -> Dat
             }
         )
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    dealt = nodes.withColumn("shard", shard.cast("int")).drop("range")
     return written(
         dealt.groupBy("shard").applyInPandas(build, "shard int, n bigint, vectors binary, id_counts binary, ids binary, nodes array<binary>, links array<binary>"), "index"
     )

@@ -230,6 +230,19 @@ def test_neighbours_recall_and_scores(spark, scale):
         assert g["rank"].tolist() == list(range(1, 21)) and (np.diff(g["score"]) <= 0).all()
 
 
+@pytest.mark.parametrize("outlier", [1e4, 1e-4])
+def test_neighbours_beside_one_outlier_norm(spark, outlier):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= outlier
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann_hnsw.search_all(df, shard_size=3000).toPandas()
+    want = exact(np.arange(3000), x, 20, 20)
+    hits = sum(len(set(want[q]) & set(g["vec_id"])) for q, g in got.groupby("query_id"))
+    assert len(got) == 20 * len(want) and hits / len(got) >= 0.95
+
+
 def test_neighbour_cases(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100, [0.0, 0.0]), (120, None), (140, [float("nan"), 1.0]), (160, [None, 1.0]), (180, [1.0]), (200, [0.5, 0.5]), (0, [1.0, 0.0]), (None, [1.0, 1.0]), (220, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"v": F.lit(1), "ids": F.lit(2), "shard": F.lit(3)})
