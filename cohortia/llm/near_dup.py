@@ -1,22 +1,34 @@
-"""Near duplicates by banded MinHash with sketches.
-
-Texts are sets of word shingles; a signature of MinHash values is cut into trees of ``DEPTH``
-values. In each tree documents that share the first ``LEAST`` values form a region; one with
-more than ``REGION`` documents is dealt into blocks, and each block meets every other one, so a
-region of any size compares all its pairs. Neighbours whose sketches (of all values) are near
-enough join one cluster of candidates. A link at the threshold shares no region with odds of
-at most ``miss``, however crowded regions are, and the full sets of each cluster are then
-compared exactly: an inverted index in the task gives all intersections, of which only a
-spanning set of links leaves it.
+"""Near duplicates by an LSH forest.
+
+Texts are sets of word shingles with a MinHash signature, cut into trees of ``DEPTH`` values. A
+tree orders documents by its values (the label); what shares a prefix of labels is a region.
+The first ``shallow`` trees are cut at ``LEAST`` values. Where that leaves more than ``REGION``
+documents in a region, the documents in it descend: in all trees they lie in the longest
+regions, of ``LEAST`` to ``DEPTH`` common values, that hold ``REGION`` documents at most. Regions
+that stay crowded at full depth are dealt into blocks; documents that lie in the region's largest
+cluster after that need no further comparison with each other, and all others (strays) meet
+every block of the region, so that nothing is capped. In a region, neighbours by common prefix
+are tried first, and every pair whose sketches (four bits of each value) are near ends in one
+cluster.
+
+A link at the threshold misses all regions of LEAST values in the shallow trees, or all of DEPTH
+values in the whole forest, with odds of at most ``miss / 2`` each; the number of trees follows
+from that, whatever the sizes of regions. The sketch test, five standard deviations and 0.02
+under the threshold, comes on top.
+
+Clusters are confirmed on full sets: an inverted index in the task gives all intersections.
+Clusters beyond a block are dealt into blocks that all hold the same few pilots, so that a
+family of copies is one component after one comparison; only strays meet further blocks.
 
 Exact copies (equal word sequences) are one member with one set from the start, so a group of
-copies costs one row; clusters beyond the size of a block are compared block by block.
+copies costs one row. Members are numbered; a doc_id is only a name of rows.
 
 Cases: null and empty texts have no shingles and are linked with nothing; texts with fewer
-words than a shingle are one shingle, linked with equal ones only; rows that repeat a doc_id
-get one answer each; a null doc_id is linked with nothing (component_id null, kept); ties don't
-matter, as a component is named by its smallest doc_id; an empty table gives no rows; further
-columns aren't read.
+words than a shingle are one shingle, linked with equal ones only; a doc_id with several texts
+is several documents, whose texts aren't linked for that (each row gets the component of its
+own text); rows repeated in full get one answer each; a null doc_id is linked with nothing
+(component_id null, kept); ties don't matter, as a component is named by its smallest doc_id;
+very long texts are read whole; an empty table gives no rows; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,16 +40,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import maybe_in
-from .common import table, written
+from .common import forget, table, written
 from .components import components
 
-DEPTH, LEAST, REGION = 8, 4, 1024
-#: Members of a cluster compared in one task, and shingles in their sets.
-BLOCK, BLOCK_SHINGLES = 2048, 3_000_000
+DEPTH, LEAST, REGION = 6, 4, 1024
+#: Values of a signature that its sketch has.
+SKETCHED = 128
+#: Members of a cluster compared in one task, and shingles in their sets; members that all its blocks hold.
+BLOCK, BLOCK_SHINGLES, PILOTS = 2048, 1_500_000, 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20)
@@ -105,24 +119,29 @@ def signatures(sets: list[np.ndarray], n_hashes: int) -> np.ndarray:
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
-    """Four bits of every value, two to a byte."""
-    nibble = ((sig * np.uint32(2654435761)) >> np.uint32(28)).astype(np.uint8)
+    """Four bits of each of the first values, two to a byte."""
+    nibble = ((sig[:, :SKETCHED].astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(28)).astype(np.uint8)
     return nibble[:, ::2] << 4 | nibble[:, 1::2]
 
 
 def _agree(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated similarity of one sketch with others."""
+    """Estimated similarity of one sketch with others, or row by row."""
     x = one ^ others
-    same = ((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)  # one against all, or row by row
+    same = ((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)
     return (same / (2 * others.shape[1]) - 1 / 16) * (16 / 15)
 
 
-def trees_for(threshold: float, miss: float) -> int:
-    return max(4, math.ceil(math.log(miss) / math.log(1 - min(threshold, 0.999) ** LEAST)))
+def trees_for(threshold: float, miss: float, depth: int) -> int:
+    """Trees of which a pair at the threshold shares ``depth`` values of at least one, but for odds of ``miss``."""
+    return max(4, math.ceil(math.log(miss) / math.log(1 - min(threshold, 0.999) ** depth)))
+
+
+def _text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("binary"), F.lit(b"")))
 
 
-def sign(docs: DataFrame, shingle: int, n_trees: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, seq (hash of the word sequence), n (set size), sig."""
+def sign(docs: DataFrame, shingle: int, n_hashes: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (hash of the text), seq (128-bit hash of the word sequence), n (set size), sig (16 bits a value)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,144 +156,196 @@ def sign(docs: DataFrame, shingle: int, n_trees: int, id_col: str, text_col: str
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 sig: list[bytes | None] = [None] * len(sets)
                 full = np.flatnonzero(n)
-                for i, s in zip(full.tolist(), signatures([sets[i] for i in full], DEPTH * n_trees)):
+                for i, s in zip(full.tolist(), signatures([sets[i] for i in full], n_hashes).astype("<u2")):
                     sig[i] = s.tobytes()
-                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(object), "seq": seq, "n": n, "sig": sig})
+                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(object), "h": rows["h"].to_numpy(), "seq": seq, "n": n, "sig": sig})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, seq binary, n bigint, sig binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInPandas(run, f"doc_id {kind}, h bigint, seq binary, n bigint, sig binary")
 
 
-def _orders(members: DataFrame, n_trees: int) -> DataFrame:
-    """A row for each member and tree: tree, region (its first LEAST values), u, sketch."""
+def _regions(sig: np.ndarray, tree: int) -> Iterator[np.ndarray]:
+    """Names of a tree's regions: the label's prefixes of LEAST values, LEAST + 1, and so on."""
+    h = np.full(len(sig), tree + 1, np.uint64)
+    for d in range(DEPTH):
+        h = _mixed(h * _BASE + sig[:, DEPTH * tree + d].astype(np.uint64) + np.uint64(d))
+        if d + 1 >= LEAST:
+            yield h.view(np.int64)
+
+
+def _orders(members: DataFrame, n_trees: int, trees: int, deep: bool, sketched: bool = True) -> DataFrame:
+    """A row for each member and each of the first ``trees`` trees: u, sketch, and its region of
+    LEAST values (g4), if ``deep`` those of more values, too (g5, ...)."""
+    names = [f"g{d}" for d in range(LEAST, DEPTH + 1)][: None if deep else 1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 1024):
                 x = batch.iloc[start : start + 1024]
-                sig = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1)
-                sketch = [s.tobytes() for s in _sketch(sig)]
-                for t in range(n_trees):
-                    region = np.ascontiguousarray(sig[:, DEPTH * t : DEPTH * t + LEAST])
-                    yield pd.DataFrame({"tree": np.int32(t), "region": [v.tobytes() for v in region], "u": x["u"].to_numpy(), "sketch": sketch})
-
-    return members.select("u", "sig").mapInPandas(run, "tree int, region binary, u bigint, sketch binary")
-
-
-def _grouped(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[pd.DataFrame]:
-    """Groups of rows sorted by ``keys``, each in parts of ``most`` rows at most."""
-    left: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
+                width = len(x["sig"].iloc[0]) // (DEPTH * n_trees)  # bytes of a value
+                sig = np.frombuffer(b"".join(x["sig"]), f"<u{width}").reshape(len(x), -1)
+                more = {"sketch": [s.tobytes() for s in _sketch(sig)]} if sketched else {}
+                for t in range(trees):
+                    yield pd.DataFrame(dict(zip(names, _regions(sig, t))) | {"u": x["u"].to_numpy()} | more)
+
+    return members.select("u", "sig").mapInPandas(run, ", ".join(f"{g} bigint" for g in names) + ", u bigint" + ", sketch binary" * sketched)
+
+
+def _crowded(rows: DataFrame, g: str) -> DataFrame:
+    """(g, blocks) of the regions with more than REGION rows; counts are combined before the shuffle."""
+    count = rows.groupBy(g).agg(F.count("*").alias("count")).where(F.col("count") > REGION)
+    return count.select(g, F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
+
+
+def _stray_meetings(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (group, blocks, u, comp, ...) of groups with several components: those outside the
+    group's largest component (side 0), in parts of ``most``, meet every block of it (side 1).
+    Adds g, which names the meeting, and side."""
+    sizes = rows.groupBy("group", "comp").agg(F.count("*").alias("n"))
+    homes = sizes.groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("home"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    rows = rows.join(homes, "group").withColumn("parts", F.ceil(F.col("strays") / most).cast("int"))
+    block, part = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("u", F.lit(1)), F.col("parts")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    every = rows.withColumn("p", each(F.col("parts"))).withColumns({"q": block, "side": F.lit(1)})
+    strays = rows.where("comp <> home").withColumn("q", each(F.col("blocks"))).withColumns({"p": part, "side": F.lit(0)})
+    return every.unionByName(strays).withColumn("g", F.xxhash64("group", "p", "q")).drop("group", "p", "q", "home", "strays", "parts", "blocks")
+
+
+def _by_group(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[list, np.ndarray]]:
+    """Columns (g first) of rows sorted by g, with whole groups only, and where each group ends."""
+    held: list[list] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not len(batch):
+                continue
+            held.append([batch[c].to_numpy() for c in columns])
+            if held[0][0][0] == held[-1][0][-1]:
+                continue
+        if not held:
             continue
-        new = np.zeros(len(batch), bool)
-        for k in keys:
-            v = batch[k].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        if left and all(left[-1][k].iloc[-1] == batch[k].iloc[0] for k in keys):
-            pass
-        elif left:
-            yield pd.concat(left) if len(left) > 1 else left[0]
-            left = []
-        cuts = [0, *np.flatnonzero(new).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a and left:
-                yield pd.concat(left) if len(left) > 1 else left[0]
-                left = []
-            while b - a > most:
-                if left:
-                    yield pd.concat(left) if len(left) > 1 else left[0]
-                    left = []
-                yield batch.iloc[a : a + most]
-                a += most
-            if sum(map(len, left)) + b - a > most:
-                yield pd.concat(left) if len(left) > 1 else left[0]
-                left = []
-            if b > a:
-                left.append(batch.iloc[a:b])
-    if left:
-        yield pd.concat(left) if len(left) > 1 else left[0]
-
-
-def candidate_edges(members: DataFrame, n_trees: int, least: float) -> DataFrame:
-    """Edges (a, b) whose components hold every pair that shares a region with near sketches."""
-    rows = _orders(members, n_trees)
-    crowded = rows.groupBy("tree", "region").count().where(F.col("count") > REGION)
-    crowded = crowded.select("tree", "region", F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
-    rows = rows.join(written(crowded, "crowded"), ["tree", "region"], "left")
-    # each block of a crowded region meets every other one, so that no pair is lost and it is many tasks
-    rows = rows.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("u", "sketch"), F.col("blocks")).cast("int")))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
-    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") > 1, others).otherwise(F.array(F.lit(None).cast("int")))))
-    g = F.xxhash64("tree", "region", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(g.alias("g"), "u", "sketch")
-
-    def near(u: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
-        """Clusters of a region or of two of its blocks, each found by breadth-first search."""
-        edges, todo = [], np.arange(len(u))
-        while len(todo) > 1:
-            reached, rest = [todo[0]], todo[1:]
-            while reached and len(rest):
-                i = reached.pop()
-                close = _agree(s[i], s[rest]) >= least
-                if close.any():
-                    found = rest[close]
-                    edges += [(u[i], u[j]) for j in found]
-                    reached += found.tolist()
-                    rest = rest[~close]
-            todo = rest
-        return edges
+        whole = [np.concatenate(x) for x in zip(*held)]
+        g = whole[0]
+        end = len(g) if batch is None else int(np.searchsorted(g, g[-1]))
+        cuts = np.flatnonzero(g[1:end] != g[: end - 1]) + 1
+        held = [[x[end:] for x in whole]] if end < len(g) else []
+        if end:
+            yield [x[:end] for x in whole], np.append(cuts, end)
+
+
+def _unpacked(sketches: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
+def _near_pairs(u: np.ndarray, s: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning set of the near pairs of a region, whose rows are in the order of labels."""
+    edges, todo = [], np.arange(len(u))
+    # neighbours by common prefix first: runs of near ones are one cluster with one row left to ask
+    close = _agree(s[:-1], s[1:]) >= least
+    edges += zip(u[:-1][close].tolist(), u[1:][close].tolist())
+    run = np.concatenate([[0], np.cumsum(~close)])
+    while len(todo) > 1:
+        reached, rest = [todo[0]], todo[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            close = _agree(s[i], s[rest]) >= least
+            found = rest[close]
+            known = run[found] == run[i]
+            edges += [(u[i], u[j]) for j in found[~known].tolist()]
+            reached += found.tolist()
+            rest = rest[~close]
+        todo = rest
+    return edges
+
+
+def _region_edges(rows: DataFrame, least: float) -> DataFrame:
+    """Edges inside each region g of rows (g, label, u, sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []  # rows of the last region, which may go on
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                if not len(batch):
-                    continue
-                held.append((batch["g"].to_numpy(), batch["u"].to_numpy(), np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)))
-                if held[0][0][0] == held[-1][0][-1]:
-                    continue
-            if not held:
-                continue
-            g, u, s = (np.concatenate(x) for x in zip(*held))
-            cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
-            begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(g)]])
+        for (g, u, sketches), ends in _by_group(batches, ["g", "u", "sketch"]):
+            begins = np.concatenate([[0], ends[:-1]])
             edges: list[tuple[int, int]] = []
-            whole = len(begin) if batch is None else len(begin) - 1
-            size = end[:whole] - begin[:whole]
-            pair = begin[:whole][size == 2]
+            pair = begins[ends - begins == 2]
             if len(pair):
-                close = _agree(s[pair], s[pair + 1]) >= least
+                close = _agree(_unpacked(sketches[pair]), _unpacked(sketches[pair + 1])) >= least
                 edges += zip(u[pair[close]], u[pair[close] + 1])
-            for a, b in zip(begin[:whole][size > 2].tolist(), end[:whole][size > 2].tolist()):
-                edges += near(u[a:b], s[a:b])
-            a = int(begin[-1])
-            held = [(g[a:], u[a:], s[a:])]
+            for a, b in zip(begins.tolist(), ends.tolist()):
+                if b - a > 2:
+                    edges += _near_pairs(u[a:b], _unpacked(sketches[a:b]), least)
+            if edges:
+                yield pd.DataFrame(edges, columns=["a", "b"])
+
+    return rows.repartition("g").sortWithinPartitions("g", "label", "u").mapInPandas(run, "a bigint, b bigint")
+
+
+def _stray_edges(rows: DataFrame, least: float) -> DataFrame:
+    """Of each meeting, an edge from each stray to each component that has a near row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, u, comp, side, sketches), ends in _by_group(batches, ["g", "u", "comp", "side", "sketch"]):
+            edges: list[tuple[int, int]] = []
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                s, own = _unpacked(sketches[a:b]), comp[a:b]
+                others = np.flatnonzero(side[a:b] == 1)
+                for i in np.flatnonzero(side[a:b] == 0).tolist():
+                    apart = others[own[others] != own[i]]
+                    near = apart[_agree(s[i], s[apart]) >= least]
+                    _, one = np.unique(own[near], return_index=True)
+                    edges += [(u[a + i], u[a + j]) for j in near[one].tolist()]
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    return rows.repartition("g").sortWithinPartitions("g", "u").mapInPandas(run, "a bigint, b bigint").where("a <> b").distinct()
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(run, "a bigint, b bigint")
+
+
+def candidate_edges(members: DataFrame, n_trees: int, least: float, shallow: int | None = None) -> DataFrame:
+    """Edges (a, b) whose components hold every pair that shares a region with near sketches.
+
+    ``members`` (u, sig) has DEPTH * n_trees values of 2 or 4 bytes; regions of LEAST values are
+    made in the first ``shallow`` trees."""
+    shallow = shallow or n_trees
+    crowded = written(_crowded(_orders(members, n_trees, shallow, deep=False, sketched=False), "g4"), "crowded")
+    rows = _orders(members, n_trees, shallow, deep=False)
+    if crowded.isEmpty():
+        return _region_edges(rows.select(F.col("g4").alias("g"), F.lit(0).alias("label"), "u", "sketch"), least).where("a <> b").distinct()
+    descend = _orders(members, n_trees, shallow, deep=False, sketched=False).join(crowded, "g4", "left_semi").select("u").distinct()
+    deep = written(_orders(members.join(descend, "u", "left_semi"), n_trees, n_trees, deep=True), "deep")
+    # the longest region of few rows: names of deeper regions tell their shorter prefixes, too
+    placed, g = deep, F.lit(None).cast("bigint")
+    for d in range(LEAST, DEPTH + 1):
+        placed = placed.join(written(_crowded(deep, f"g{d}"), "crowded").withColumnRenamed("blocks", f"blocks{d}"), f"g{d}", "left")
+        g = F.coalesce(g, F.when(F.col(f"blocks{d}").isNull(), F.col(f"g{d}")))
+    last, blocks = f"g{DEPTH}", f"blocks{DEPTH}"
+    block = F.pmod(F.xxhash64("u", last), F.col(blocks)).cast("int")
+    placed = placed.withColumn("g", F.coalesce(g, F.xxhash64(last, block)))
+    small = rows.join(crowded, "g4", "left_anti").select(F.col("g4").alias("g"), F.lit(0).cast("bigint").alias("label"), "u", "sketch")
+    edges = written(_region_edges(small.unionByName(placed.select("g", F.col(last).alias("label"), "u", "sketch")), least).where("a <> b").distinct(), "edges")
+    leaves = placed.where(g.isNull()).select(F.col(last).alias("group"), F.col(blocks).alias("blocks"), "u", "sketch")
+    if leaves.isEmpty():
+        return edges
+    known = components(edges).withColumnsRenamed({"vertex": "u", "component": "comp"})
+    leaves = leaves.join(known, "u", "left").withColumn("comp", F.coalesce("comp", "u"))
+    return edges.unionByName(_stray_edges(_stray_meetings(leaves, REGION), least)).distinct()
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, over: int, under: int) -> list[tuple[int, int]]:
-    """A spanning set of the links ``under * intersection >= over * union``, between sides 0
-    and 1 or, if all have side 0, among all."""
+def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None, over: int, under: int) -> list[tuple[int, int]]:
+    """A spanning set of the links ``under * intersection >= over * union`` among all, or between
+    rows of side 0 and rows of side 1."""
     m = len(ids)
     n = np.fromiter(map(len, sets), np.int64, m)
-    two = bool(sides.any())
     if m == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(ids[0], ids[1])] if under * inter >= over * (n[0] + n[1] - inter) else []
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), n)
+    owner = np.repeat(np.arange(m, dtype=np.int32), n)
     order = np.argsort(flat, kind="stable")
     value = flat[order]
     head = np.concatenate([[True], value[1:] != value[:-1]])
     begin = np.flatnonzero(head)
-    count = np.diff(np.concatenate([begin, [len(value)]]))
-    number = np.empty(len(flat), np.int64)
+    count = np.diff(np.append(begin, len(value)))
+    number = np.empty(len(flat), np.int32)
     number[order] = np.cumsum(head) - 1
     owners = owner[order]
+    del flat, value, owner, order, head
     shared = count > 1
     start = np.cumsum(n) - n
     root = list(range(m))
@@ -286,9 +357,7 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, over: int
         return i
 
     out = []
-    for i in range(m):
-        if two and sides[i]:
-            continue
+    for i in range(m) if sides is None else np.flatnonzero(sides == 0).tolist():
         own = number[start[i] : start[i] + n[i]]
         own = own[shared[own]]
         if not len(own):
@@ -298,7 +367,7 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, over: int
         inter = np.bincount(owners[at], minlength=m)
         linked = under * inter >= over * (n[i] + n - inter)
         linked[i] = False
-        if two:
+        if sides is not None:
             linked &= sides == 1
         for j in np.flatnonzero(linked).tolist():
             a, b = find(i), find(j)
@@ -308,24 +377,85 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, over: int
     return out
 
 
-def _compare(rows: DataFrame, shingle: int, over: int, under: int) -> DataFrame:
-    """Links inside each (cluster, pair of blocks): rows have cluster, p, q, block, u, text."""
+def _compare(rows: DataFrame, shingle: int, over: int, under: int, sided: bool) -> DataFrame:
+    """Links inside each group g of rows (g, u, side, text); if ``sided``, from side 0 to side 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def batched() -> Iterator[pd.DataFrame]:
             for batch in batches:  # sets instead of texts as soon as they are read
                 for start in range(0, len(batch), 256):
                     x = batch.iloc[start : start + 256]
-                    yield x.drop(columns="text").assign(set=[shingle_set(words_of(t), shingle) for t in x["text"]])
-
-        for part in _grouped(batched(), ["cluster", "p", "q"], 1 << 60):
-            part = part.drop_duplicates("u")
-            if len(part) > 1:
-                sides = (part["block"] != part["p"]).to_numpy().astype(int)
-                if found := _links(part["u"].to_numpy(), list(part["set"]), sides, over, under):
-                    yield pd.DataFrame(found, columns=["a", "b"])
-
-    return rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInPandas(run, "a bigint, b bigint")
+                    sets = np.empty(len(x), object)
+                    sets[:] = [shingle_set(words_of(t), shingle) for t in x["text"]]
+                    yield x.drop(columns="text").assign(set=sets)
+
+        for (_, u, side, sets), ends in _by_group(batched(), ["g", "u", "side", "set"]):
+            found: list[tuple[int, int]] = []
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                # rows that were read twice stand next to each other
+                new = a + np.flatnonzero(np.concatenate([[True], (u[a + 1 : b] != u[a : b - 1]) | (side[a + 1 : b] != side[a : b - 1])]))
+                if len(new) > 1:
+                    found += _links(u[new], list(sets[new]), side[new] if sided else None, over, under)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    out = rows.repartition("g").sortWithinPartitions("g", "u", "side").select("g", "u", "side", "text").mapInPandas(run, "a bigint, b bigint")
+    return out.where("a <> b")
+
+
+def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links whose components are those of all links inside ``clusters`` (u, n, cluster); texts: u, text."""
+    sizes = clusters.groupBy("cluster").agg(
+        F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    placed = clusters.join(sizes, "cluster")
+    pilot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("u", F.lit(2)), F.col("m")) < PILOTS)
+    block = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    block = F.explode(F.when(pilot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block)))
+    met = placed.withColumn("block", block).select("u", F.xxhash64("cluster", "block").alias("g"), F.lit(0).alias("side"))
+    links = written(_compare(texts.join(met, "u"), shingle, percent, 100, sided=False), "links")
+    large = placed.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    known = components(links).withColumnsRenamed({"vertex": "u", "component": "comp"})
+    large = large.join(known, "u", "left").select(F.col("cluster").alias("group"), "blocks", "u", F.coalesce("comp", "u").alias("comp"))
+    met = _stray_meetings(large, BLOCK).select("u", "g", "side")
+    return links.unionByName(_compare(texts.join(met, "u"), shingle, percent, 100, sided=True))
+
+
+def _answers(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h, n_shingles, component_id, kept of each row."""
+    spark, p = docs.sparkSession, percent / 100
+    n_trees = trees_for(p, miss / 2, DEPTH)
+    shallow = min(n_trees, trees_for(p, miss / 2, LEAST))
+    signed = written(sign(docs, shingle, DEPTH * n_trees, id_col, text_col), "signed")
+    # copies: one member for each word sequence, with its smallest doc_id and that row's text
+    first = F.min(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), "h", "n", "sig")).alias("x")
+    members = signed.where("n > 0 and doc_id is not null").groupBy("seq").agg(first)
+    # numbers are written with the rows: whatever a retried task does, one number is one text
+    members = written(members.select("seq", F.monotonically_increasing_id().alias("u"), F.col("x.doc_id").alias("first"), "x.h", "x.n", "x.sig"), "members")
+    least = p - 5 * math.sqrt(p * (1 - p) / min(SKETCHED, DEPTH * n_trees)) - 0.02
+    # members of one shingle are linked with equal ones only (from 51 percent): no order is needed for them
+    edges = candidate_edges(members if percent <= 50 else members.where("n > 1"), n_trees, least, shallow)
+    alone = members.where("n = 1").withColumn("shingle", F.xxhash64("sig"))
+    least_of = alone.groupBy("shingle").agg(F.min("u").alias("a"), F.count("*").alias("count")).where("count > 1").select("shingle", "a")
+    edges = edges.unionByName(alone.join(least_of, "shingle").select("a", F.col("u").alias("b")).where("a <> b"))
+    clusters = components(edges).withColumnsRenamed({"vertex": "u", "component": "cluster"})
+    clusters = written(clusters.join(members.select("u", "first", "h", "n"), "u"), "clusters")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("first"), _text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text")).where("first is not null")
+    keyed = clusters.select(F.xxhash64("first", "h").alias("key"))
+    rows = rows.where(maybe_in(keyed, "key", F.xxhash64("first", "h"), clusters.count()))
+    texts = written(rows.join(clusters.select("u", "first", "h"), ["first", "h"]).select("u", "text"), "texts")
+    linked = components(_confirmed(clusters.select("u", "n", "cluster"), texts, shingle, percent))
+    names = linked.join(members.select(F.col("u").alias("vertex"), "first"), "vertex")
+    names = names.join(names.groupBy("component").agg(F.min("first").alias("name")), "component").select(F.col("vertex").alias("u"), "name")
+    named = written(members.select("seq", "u", "first").join(names, "u", "left").select("seq", F.coalesce("name", "first").alias("component_id")), "named")
+    forget(spark, texts, clusters, members)
+    kind = docs.schema[id_col].dataType
+    out = signed.select("doc_id", "h", "seq", "n").join(named, "seq", "left")
+    own = F.col("component_id").cast(kind)
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), own).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def near_duplicates(
@@ -339,53 +469,24 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id: an integer).
 
     Links are ``100 * |A & B| >= percent * |A | B|``, confirmed on full sets."""
-    n_trees = trees_for(percent / 100, miss)
-    signed = written(sign(docs, shingle, n_trees, id_col, text_col), "signed")
-    # copies: one member for each word sequence, named by its smallest doc_id
-    members = written(
-        signed.where("n > 0 and doc_id is not null").groupBy("seq").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select("seq", F.col("x.doc_id").cast("bigint").alias("u"), "x.n", "x.sig"),
-        "members",
-    )
-    p = percent / 100
-    least = p - 5 * math.sqrt(p * (1 - p) / (DEPTH * n_trees)) - 0.02
-    # members of one shingle are linked with equal ones only (from 51 percent): no order is needed for them
-    edges = candidate_edges(members if percent <= 50 else members.where("n > 1"), n_trees, least)
-    alone = members.where("n = 1").withColumn("shingle", F.xxhash64("sig"))
-    least_of = alone.groupBy("shingle").agg(F.min("u").alias("a"), F.count("*").alias("count")).where("count > 1").select("shingle", "a")
-    edges = edges.unionByName(alone.join(least_of, "shingle").select("a", F.col("u").alias("b")).where("a <> b"))
-    clusters = components(edges)
-    clusters = written(clusters.withColumnRenamed("vertex", "u").withColumnRenamed("component", "cluster").join(members.select("u", "n"), "u"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-    # a block meets itself and each other block of its cluster once
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("u", "cluster", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("u"), F.col(text_col).cast("binary").alias("text")).where("u is not null")
-    few = texts.where(maybe_in(clusters, "u", F.col("u"), clusters.count()))
-    links = _compare(few.join(met, "u"), shingle, percent, 100)
-    linked = components(links)
-    named = members.join(linked, members["u"] == linked["vertex"], "left").select("seq", F.coalesce("component", "u").alias("component_id"))
-    kind = docs.schema[id_col].dataType
-    out = signed.select("doc_id", "seq", "n").join(named, "seq", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component_id").cast(kind), F.col("doc_id")))
-    component = F.when(F.col("n") > 0, component).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one of the smallest doc_id, with all its columns."""
-    found = near_duplicates(docs, shingle, percent)
-    gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    # only rows that may be among those meet the join; the others aren't shuffled
-    near = maybe_in(gone, "doc_id", F.col("doc_id"), gone.count())
-    return docs.where(~near).unionByName(docs.where(near).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return _answers(docs, shingle, percent, miss, id_col, text_col).drop("h")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all its columns.
+
+    Rows, not ids, are dropped: another text of the same doc_id stays. Of rows that repeat
+    doc_id and text one stays, if the text has words; rows without words or doc_id all stay."""
+    found = _answers(docs, shingle, percent, miss, "doc_id", "text")
+    counted = found.groupBy("doc_id", "h", "kept").agg(F.count("*").alias("m"), F.max("n_shingles").alias("n"))
+    todo = written(counted.where("not kept or m > 1 and n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "kept"), "gone")
+    # only rows that may be among those meet the joins; the others aren't shuffled
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _text_hash("text").alias("hash"))
+    near = maybe_in(todo.select(F.xxhash64("id", "hash").alias("key")), "key", F.xxhash64("id", "hash"), todo.count())
+    some = rows.where(near)
+    left = some.join(todo, ["id", "hash"], "left_anti")
+    one = some.join(todo.where("kept"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return rows.where(~near).unionByName(left).unionByName(one).select("row.*")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
