@@ -13,10 +13,12 @@ columns aren't read. Windows are full but for the last.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Entries of a worker's table of words; beyond it the table starts anew.
-CACHE = 800_000
+#: A worker's table of parts: so many, the first and so mostly the frequent ones, by themselves (some
+#: 200 bytes each), so many more by 64-bit hash (some 30 bytes each); with more it starts anew.
+CACHE, RARE = 100_000, 2_000_000
+#: Parts that join the hashed ones at once, and words of parts kept at hand.
+FRESH, WORDS = 50_000, 150_000
 
 #: Parts of printable ASCII and Latin letters that lower-case and normalize letter by letter.
 _PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+")
@@ -35,17 +40,33 @@ _LETTER = r"a-z\xdf-\xf6\xf8-\u017e"
 #: The vocabulary's own way to cut lower-cased text, for such parts.
 _CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 
+#: The settings of vocabularies for which words can be cut apart as below.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: Byte-level vocabularies write a printable byte as itself and the others as letters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_LETTER = {b: chr(b) for b in _PRINTABLE}
 _AS_LETTER |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _AS_LETTER)}
 
 
+def _by_words(settings: dict) -> bool:
+    """Whether a vocabulary lower-cases, drops white space and never reads across it."""
+    normal, cuts = settings["normalizer"] or {}, (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split, level = cuts if len(cuts) == 2 else ({}, {})
+    return (
+        normal.get("normalizers") == _NORMALIZER
+        and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": _SPLITTER}, "Removed", True)
+        and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+    )
+
+
 class CachedTokenizer:
-    """Token ids of whole texts, word by word.
+    """Token ids of whole texts.
 
-    The vocabulary's splitter drops white space and never reads across it, so the ids of a
-    text are those of its white-space-separated parts in turn; parts seen before are looked up."""
+    If the vocabulary's splitter drops white space and never reads across it, the ids of a text
+    are those of its white-space-separated parts in turn; parts seen before are looked up. With
+    other vocabularies texts go to the tokenizer whole."""
 
     _held: dict[str, CachedTokenizer] = {}
 
@@ -54,63 +75,93 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _by_words(json.loads(self.tokenizer.to_str()))
         self.clear()
 
     @classmethod
     def of(cls, path: str) -> CachedTokenizer:
         if path not in cls._held:
-            cls._held[path] = cls(path)
+            cls._held = {path: cls(path)}
         return cls._held[path]
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.hashes = np.empty(0, np.int64)  # sorted, of the parts that aren't in ``number``
+        self.slots = np.empty(0, np.int32)
+        self.pieces: dict[str, bytes] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.starts = np.zeros(1 << 14, np.int32)
+        self.lengths = np.zeros(1 << 14, np.int32)
+        self.used = self.count = 0
 
     def _learn(self, parts: list[bytes]) -> None:
         texts = [p.decode() for p in parts]
         cuts = [_CUT.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
         pieces, model = self.pieces, self.tokenizer.model
-        for piece in chain.from_iterable(c for c in cuts if c):
-            if piece not in pieces:
-                # what is left to do for one word of the cut text: bytes as letters, then merges
-                pieces[piece] = [t.id for t in model.tokenize(piece if piece.isascii() else "".join(map(_AS_LETTER.__getitem__, piece.encode())))]
-        whole = self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cuts) if not c], add_special_tokens=False)
-        rest = iter(whole)
-        get = pieces.__getitem__
-        found = [list(chain.from_iterable(map(get, c))) if c else next(rest).ids for c in cuts]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        found = dict.fromkeys(piece for c in cuts if c for piece in c if piece not in pieces)
+        for piece in found:
+            # what is left to do for one word of the cut text: bytes as letters, then merges
+            ids = model.tokenize(piece if piece.isascii() else "".join(map(_AS_LETTER.__getitem__, piece.encode())))
+            found[piece] = array("I", [t.id for t in ids]).tobytes()
+        if len(pieces) < WORDS:
+            pieces.update(found)
+            found = pieces
+        get = pieces.__getitem__ if found is pieces else lambda piece: pieces.get(piece) or found[piece]
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cuts) if not c], add_special_tokens=False))
+        ids = [b"".join(map(get, c)) if c else array("I", next(whole).ids).tobytes() for c in cuts]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         ends = self.used + np.cumsum(lengths)
-        k, to = len(self.number), len(self.number) + len(parts)
+        k, to = self.count, self.count + len(parts)
         while to > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
         while int(ends[-1]) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        self.ids[self.used : int(ends[-1])] = np.frombuffer(b"".join(ids), np.uint32)
         self.starts[k:to], self.lengths[k:to] = ends - lengths, lengths
         self.number.update(zip(parts, range(k, to)))
-        self.used = int(ends[-1])
+        self.used, self.count = int(ends[-1]), to
+
+    def _fold(self) -> None:
+        """Move parts beyond the first ones to the table by hash."""
+        late = list(islice(self.number.items(), CACHE, None))
+        for part, _ in late:
+            del self.number[part]
+        hashes = np.concatenate([self.hashes, np.fromiter((hash(part) for part, _ in late), np.int64, len(late))])
+        slots = np.concatenate([self.slots, np.fromiter((i for _, i in late), np.int32, len(late))])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.slots = hashes[order], slots[order]
+
+    def _find(self, parts: list[bytes]) -> np.ndarray:
+        which = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(which < 0)
+        if len(missing) and len(self.hashes):
+            h = np.fromiter((hash(parts[i]) for i in missing.tolist()), np.int64, len(missing))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            which[missing[known]] = self.slots[at[known]]
+        return which
 
     def encode_batch(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        if not self.by_words:
+            whole = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array([*e.ids, end], np.uint32) for e in whole]
         parts: list[bytes] = []
         marks = []
         for t in texts:
             parts += t.split()
             marks.append(len(parts))
-        which = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        which = self._find(parts)
         missing = np.flatnonzero(which < 0)
         if len(missing):
-            new = list(dict.fromkeys(parts[i] for i in missing.tolist()))
-            if len(self.number) and len(self.number) + len(new) > CACHE:
+            if self.count >= RARE or self.used >= 8 * RARE:
                 self.clear()
                 return self.encode_batch(texts, end)
-            self._learn(new)
+            self._learn(list(dict.fromkeys(parts[i] for i in missing.tolist())))
             which[missing] = np.fromiter((self.number[parts[i]] for i in missing.tolist()), np.int64, len(missing))
-        lengths = self.lengths[which]
+            if len(self.number) > CACHE + FRESH:
+                self._fold()
+        lengths = self.lengths[which].astype(np.int64)
         ends = np.cumsum(lengths)
         n = int(ends[-1]) if len(parts) else 0
         flat = self.ids[np.arange(n) + np.repeat(self.starts[which] - (ends - lengths), lengths)] if n else np.empty(0, np.uint32)
@@ -184,12 +235,3 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, end_
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def padding(pieces: DataFrame, window: int = 2048) -> DataFrame:
-    """Report: sequences, tokens, and padding to the window (a length that is a power of two needs none)."""
-    per = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used"))
-    pad = F.when(F.bit_count("used") == 1, 0).otherwise(window - F.col("used"))
-    return per.agg(F.count("*").alias("sequences"), F.sum("used").alias("tokens"), F.sum(pad).alias("padding"))
-
-
