@@ -1,8 +1,9 @@
 """WARC archives: write, read back, and tell records from bytes that look like them.
 
 Archives are plain WARC 1.1 written by Spark's text sink, whose line separator is the four
-bytes that end a record, with at most ``per_file`` records each. Reading, a task scans an
-archive for every ``WARC/1.`` at the start of a line and emits each as a candidate with the
+bytes that end a record; an archive has at most ``per_file`` records and about ``per_bytes``
+bytes, or one record. Only pages whose payload stands elsewhere, too, are shuffled to learn
+their record type. Reading, a task scans an archive for every ``WARC/1.`` at the start of a line and emits each as a candidate with the
 offset where its record would end. Which candidates are records is a matter of the chain from
 the file's start: pointer jumping (each round doubles the distance) keeps what the chain
 reaches, so a record header inside a payload is rejected. An archive whose chain doesn't
@@ -10,8 +11,9 @@ reach its end is an error.
 
 Cases: a null html is an empty payload; a null url is left out of the header, line ends in it
 are escaped; a null page_id is larger than any other, and comes back null; rows that repeat a
-page_id and payload are of one type; an empty table gives no rows; further columns aren't read.
-One task reads an archive whole: bound archives by ``per_file``.
+page_id and payload are of one type; of equal payloads the smallest page_id is the response;
+very long payloads get archives of their own; an empty table gives no rows; further columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, written
+from .bloom import maybe_in
+from .common import forget, fresh_path, table, written
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -53,7 +56,17 @@ def classify(pages: DataFrame, least: int = 0, id_col: str = "page_id", html_col
     )
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = 1000, date: str = "2020-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(
+    pages: DataFrame,
+    path: str,
+    least: int = 0,
+    per_file: int = 1000,
+    date: str = "2020-01-01T00:00:00Z",
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    per_bytes: int = 64 << 20,
+) -> None:
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("page_id"),
@@ -61,8 +74,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int =
         html.alias("html"),
         F.sha1(html.cast("binary")).alias("digest"),
     )
-    again = classify(pages, least, id_col, html_col).withColumnsRenamed({"page_id": "again_id", "digest": "again_digest"})
-    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    again = written(classify(pages, least, id_col, html_col).withColumnsRenamed({"page_id": "again_id", "digest": "again_digest"}), "revisits")
+    # payloads that stand nowhere else are written from where they are read
+    maybe = maybe_in(again, "again_digest", F.col("digest"), again.count())
+    same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest"))
+    alone = rows.where(~maybe).withColumn("refers_to", F.lit(None).cast(pages.schema[id_col].dataType))
+    rows = rows.where(maybe).join(again, same, "left").select(*alone.columns).unionByName(alone)
     revisit = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
@@ -85,8 +102,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int =
         F.lit(CRLF),
         F.col("block"),
     )
-    # the sink ends each row with the separator: exactly what ends a record
-    rows.withColumn("block", block).select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(path)
+    # the sink bounds an archive by records only: each size of payloads gets its own bound
+    size_of = lambda c: F.greatest(F.ceil(F.log2((F.octet_length(c) + 1) * per_file / per_bytes)), F.lit(0)).cast("int")
+    sizes = sorted(r["size"] for r in pages.select(size_of(html).alias("size")).distinct().collect()) or [0]  # 31 at most
+    for k in sizes:
+        some = rows.where(size_of(F.col("html")) == k) if len(sizes) > 1 else rows
+        # the sink ends each row with the separator: exactly what ends a record
+        out = some.withColumn("block", block).select(record.alias("value")).write.mode("append").option("lineSep", CRLF + CRLF)
+        out.option("maxRecordsPerFile", max(1, per_file >> k)).text(path)
+    forget(pages.sparkSession, again)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -142,16 +166,18 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def reachable(steps: DataFrame, rounds: int = 48) -> DataFrame:
     """(path, off) of what the chain from offset 0 reaches, by pointer jumping over (path, off, succ)."""
-    jump = written(steps.select("path", "off", "succ"), "jump")
+    first = jump = written(steps.select("path", "off", "succ"), "jump")
     starts = jump.select("path", F.col("off").alias("succ"))
     reached = written(jump.where("off = 0").select("path", "off"), "reached")
     for _ in range(rounds):
         ahead = reached.join(jump, ["path", "off"]).join(starts, ["path", "succ"], "left_semi")
         grown = written(reached.union(ahead.select("path", F.col("succ").alias("off"))).distinct(), "reached")
         far = jump.select("path", F.col("off").alias("succ"), F.col("succ").alias("far"))
-        jump = written(jump.join(far, ["path", "succ"]).select("path", "off", F.col("far").alias("succ")), "jump")
-        reached = grown
+        jumped = written(jump.join(far, ["path", "succ"]).select("path", "off", F.col("far").alias("succ")), "jump")
+        forget(steps.sparkSession, reached, *([jump] if jump is not first else []))
+        reached, jump = grown, jumped
         if jump.isEmpty():
+            forget(steps.sparkSession, first, jump)
             return reached
     raise RuntimeError("an archive has more records than rounds can reach")
 
@@ -159,11 +185,13 @@ def reachable(steps: DataFrame, rounds: int = 48) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives: page_id (text), payload_bytes, payload_digest, record_type, refers_to (text)."""
     found = written(candidates(spark, path), "candidates")
-    records = written(found.where("off >= 0").join(reachable(found.where("off >= 0")), ["path", "off"], "left_semi"), "records")
+    reached = reachable(found.where("off >= 0"))
+    records = written(found.where("off >= 0").join(reached, ["path", "off"], "left_semi"), "records")
     ends = records.groupBy("path").agg(F.max("succ").alias("end"))
     broken = found.where("off < 0").join(ends, "path", "left").where("size > 0 and not (size <=> end)")
     if first := broken.select("path").first():
         raise ValueError(f"the chain of records breaks off in {first['path']}")
+    forget(spark, found, reached)
     page = lambda c: F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1)
     return records.select(
         page(F.col("id")).alias("page_id"),
