@@ -7,8 +7,9 @@ notice with words added or missing. A copy counts when enough of the notice's wo
 there, word for word.
 
 Cases: null text is empty; texts with fewer than k words have no hits; repeated rows get the
-same answer each; an empty table gives no rows; further columns aren't read. A null doc_id
-is an id.
+same answer each; very long texts are rows of k words each, never one row; of equally good
+copies each counts, and a document's score is the best coverage; an empty table gives no rows;
+further columns aren't read. A null doc_id is an id.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, table, whole_text
 
+#: Rows of k words of all notices up to which they are broadcast (some 20 MB); Spark joins more as it sees fit.
+FEW_GRAMS = 200_000
+
 #: What stands between words, in a text whose A-Z are still upper case.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -97,15 +101,16 @@ def notice_copies(
     # two comparisons, so that the text stays out of the join key and is read for hits only
     low = ascii_lower(F.concat_ws(" ", *[F.col(f"gram.w{d}") for d in range(k)]))
     same = (low <= F.col("notice_gram")) & (low >= F.col("notice_gram"))
-    # bounded: the notices are constants of this module or a handful given by the caller
-    hits = grams.join(F.broadcast(notice_table(spark, notices, k)), "h").where(same)
+    listed = notice_table(spark, notices, k)
+    few = sum(len(t.split()) for t in notices.values()) <= FEW_GRAMS
+    hits = grams.join(F.broadcast(listed) if few else listed, "h").where(same)
     by_diagonal = (
         hits.withColumn("d", F.col("p") - F.col("q"))
         .groupBy("doc_id", "text_hash", "notice", "n_notice", "d", F.floor(F.col("p") / F.col("n_notice")).alias("part"))
         .agg(
             F.min("p").alias("lo"),
             F.max("p").alias("hi"),
-            F.bit_or(F.expr("shiftleft(1L, q)")).alias("mask"),
+            F.collect_set("q").alias("places"),  # no more than the notice has words
         )
     )
     # neighbouring diagonals whose spans meet are one copy
@@ -116,14 +121,12 @@ def notice_copies(
         | F.lag("d").over(order).isNull()
     )
     copies = by_diagonal.withColumn("new", new.cast("int")).withColumn("copy", F.sum("new").over(order))
-    # 64 words of a notice fit one mask; longer notices are refused in notice_copies' callers
-    covered = F.lit(0).cast("bigint")
-    for d in range(k):
-        covered = covered.bitwiseOR(F.shiftleft(F.col("mask"), d))
+    # words of the notice that stand in the copy, each once
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda q: F.sequence(q, q + k - 1))))
     return (
         copies.groupBy("doc_id", "text_hash", "notice", "n_notice", "copy")
-        .agg(F.min("lo").alias("first_word"), (F.max("hi") + k - 1).alias("last_word"), F.bit_or("mask").alias("mask"))
-        .withColumn("coverage", F.bit_count(covered) / F.col("n_notice"))
+        .agg(F.min("lo").alias("first_word"), (F.max("hi") + k - 1).alias("last_word"), F.flatten(F.collect_list("places")).alias("places"))
+        .withColumn("coverage", F.size(covered) / F.col("n_notice"))
         .where(F.col("coverage") >= least)
         .select("doc_id", "text_hash", "notice", "first_word", "last_word", "coverage")
     )
@@ -138,8 +141,6 @@ def scan_licenses(
     text_col: str = "text",
 ) -> DataFrame:
     """A row for each document with its phrases, its notices and the best coverage."""
-    if any(len(t.split()) > 62 for t in notices.values()):
-        raise ValueError("a notice may have 62 words at most; split longer ones")
     maybe = "(?i)" + "|".join((GAP + "+").join(p.split()) for p in phrases)
     found = (
         notice_copies(docs, notices, k, id_col=id_col, text_col=text_col)
@@ -185,3 +186,51 @@ def scan_licenses(
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _phrase_sql(phrase: str, name: str) -> str:
+    parts = phrase.split()
+    here = " AND ".join(f"w[i + {d}] = '{part}'" for d, part in enumerate(parts))
+    return f"SELECT k, i, '{name}' AS label FROM places WHERE {here}"
+
+
+_NOTICE_SQL = ", ".join(f"('{name}', string_split('{text}', ' '))" for name, text in NOTICES.items())
+
+OP10_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), places AS (
+  SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM docs
+), base AS (
+  {" UNION ALL ".join(_phrase_sql(p, n) for p, n in BASE.items())}
+), bases AS (
+  SELECT k, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY k
+), notices(notice, v) AS (VALUES {_NOTICE_SQL}
+), grams AS (
+  SELECT notice, len(v) AS n, v, unnest(range(1, len(v) - 1)) AS q FROM notices
+), hits AS (
+  SELECT p.k, g.notice, g.n, p.i - 1 AS p, g.q - 1 AS q
+  FROM places p JOIN grams g ON p.w[p.i] = g.v[g.q] AND p.w[p.i + 1] = g.v[g.q + 1] AND p.w[p.i + 2] = g.v[g.q + 2]
+), diagonals AS (
+  SELECT k, notice, n, p - q AS d, p // n AS part, min(p) AS lo, max(p) AS hi, list(DISTINCT q) AS qs FROM hits GROUP BY ALL
+), marked AS (
+  SELECT *, CASE WHEN lag(d) OVER o IS NULL OR abs(d - lag(d) OVER o) > 3 OR lo > lag(hi) OVER o + 6 THEN 1 ELSE 0 END AS new
+  FROM diagonals WINDOW o AS (PARTITION BY k, notice ORDER BY lo, d)
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY k, notice ORDER BY lo, d RANGE UNBOUNDED PRECEDING) AS copy FROM marked
+), words AS (
+  SELECT k, notice, n, copy, unnest(qs) AS q FROM numbered
+), copies AS (
+  SELECT k, notice, count(DISTINCT q + x.d) / n AS coverage FROM words, (VALUES (0), (1), (2)) x(d) GROUP BY k, notice, n, copy HAVING count(DISTINCT q + x.d) / n >= 0.6
+), found AS (
+  SELECT k, list(DISTINCT notice) AS labels, max(coverage) AS score FROM copies GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       CAST(coalesce(f.score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN bases b USING (k) LEFT JOIN found f USING (k)
+"""

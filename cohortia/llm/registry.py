@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_hnsw, decontaminate, license_scan, near_dup, packing, quality_crf, sharding, substring_dedup, url_filter, warc
+from . import ann_hnsw, corpus_sql, decontaminate, license_scan, near_dup, packing, quality_crf, sharding, substring_dedup, url_filter, warc
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,4 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op9_url_verdicts": url_filter.OP9_SQL}
+    return {
+        "op4_warc": corpus_sql.OP4,
+        "op5_near_duplicates": corpus_sql.OP5,
+        "op6_repeats": corpus_sql.OP6,
+        "op8_decontaminate": corpus_sql.OP8,
+        "op9_url_verdicts": url_filter.OP9_SQL,
+        "op10_license_scan": license_scan.OP10_SQL,
+    }

@@ -7,9 +7,14 @@ wrongly; and so on until nothing is wrong. As the levels are built over every ke
 corpus has, a walk down them is an exact test for each of its keys, made by bit arithmetic
 on literals: the pages are never joined with the list.
 
+A list whose filters would pass ``max_bytes`` is dealt into parts by hash, each with cascades
+of its own, which judge the pages one after the other.
+
 Cases: a null URL, or one without ``://``, has an empty host and path and fits no rule;
-repeated rows are judged alike; an empty table or an empty list gives filters that take
-nothing; further columns aren't read.
+repeated rows are judged alike; of fitting rules of equal length the one with more labels
+wins, and a key on both lists is blocked; very long URLs are hashed by the few prefixes that
+rules have; an empty table or an empty list gives filters that take nothing; further columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, table, written
 
 #: (verdict, host, path): the longest host + path that fits wins.
 RULES = (
@@ -142,22 +147,29 @@ def judge_urls(
     path_lengths = sorted({len(p) for _, _, p in rules})
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     keyed = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), label_counts, path_lengths))
-    universe = keyed.select(F.explode("keys").alias("key")).distinct()
-    lists = {
-        verdict: BloomCascade(
-            spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string"), universe, **cascade
-        )
-        for verdict in ("block", "allow")
-    }
-    told = F.transform(
-        F.col("keys"),
-        lambda k: F.struct(
-            k.alias("key"),
-            F.when(lists["block"].contains(k), F.lit("block")).when(lists["allow"].contains(k), F.lit("allow")).alias("verdict"),
-        ),
-    )
-    first = F.get(F.filter(told, lambda x: x["verdict"].isNotNull()), F.lit(0))
-    return keyed.withColumn("first", first).select(
+    # written once: every level of every cascade reads it, not the pages
+    universe = written(keyed.select(F.explode("keys").alias("key")).distinct(), "keys")
+    listed = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, key string")
+    bits, most = cascade.get("bits_per_key", 12), cascade.get("max_bytes", 16 << 20)
+    parts = max(1, math.ceil(2 * len(rules) * bits / 8 / most))
+    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    nothing = F.lit(None).cast("struct<at: int, key: string, verdict: string>")
+    keyed = keyed.withColumn("first", nothing)
+    for n in range(parts):
+        own = [df.where(part_of(F.col("key")) == n) if parts > 1 else df for df in (listed, universe)]
+        lists = {verdict: BloomCascade(own[0].where(F.col("verdict") == verdict), own[1], **cascade) for verdict in ("block", "allow")}
+
+        def verdict_of(k: Column, lists=lists, n=n) -> Column:
+            told = F.when(lists["block"].contains(k), F.lit("block")).when(lists["allow"].contains(k), F.lit("allow"))
+            return F.when(part_of(k) == n, told) if parts > 1 else told
+
+        told = F.transform(F.col("keys"), lambda k, i: F.struct(i.alias("at"), k.alias("key"), verdict_of(k).alias("verdict")))
+        found = F.get(F.filter(told, lambda x: x["verdict"].isNotNull()), F.lit(0))
+        if parts > 1:
+            keyed = written(keyed.withColumn("first", F.array_min(F.array_compact(F.array("first", found)))), "judged")
+        else:
+            keyed = keyed.withColumn("first", found)
+    return keyed.select(
         "page_id",
         "host",
         "path",
