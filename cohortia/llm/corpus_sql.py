@@ -25,10 +25,12 @@ FROM bits
 OP5 = rf"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
-), places AS (
-  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM docs WHERE len(w) > 0
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs
+), led AS (
+  SELECT doc_id, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM places
+  SELECT DISTINCT doc_id, concat_ws(' ', a, b, c) AS s FROM led WHERE c IS NOT NULL OR i = 1
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), shared AS (
@@ -68,6 +70,10 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) A
 FROM docs LEFT JOIN cut USING (doc_id)
 """
 
+def _gram(size: int) -> str:
+    return f"SELECT k, i, {size} AS size, concat_ws(' ', {', '.join(f'w{d}' for d in range(size))}) AS s FROM led WHERE w{size - 1} IS NOT NULL AND {size} IN (SELECT size FROM windows)"
+
+
 OP8 = f"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id, {_ALNUM} AS w FROM documents
@@ -76,18 +82,20 @@ WITH docs AS (
 ), windows AS (
   SELECT DISTINCT name, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS s
   FROM (SELECT name, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
-), places AS (
-  SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM docs
-), hits AS (
-  SELECT k, i, windows.size, name
-  FROM places, (SELECT DISTINCT size FROM windows) sizes JOIN windows ON windows.size = sizes.size AND windows.s = array_to_string(w[i:i + sizes.size - 1], ' ')
-  WHERE i + sizes.size - 1 <= len(w)
 ), words AS (
+  SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs
+), led AS (
+  SELECT k, i, word AS w0, {", ".join(f"lead(word, {d}) OVER o AS w{d}" for d in range(1, 10))} FROM words WINDOW o AS (PARTITION BY k ORDER BY i)
+), grams AS (
+  {" UNION ALL ".join(map(_gram, range(1, 11)))}
+), hits AS (
+  SELECT k, i, size, name FROM grams JOIN windows USING (size, s)
+), covered AS (
   SELECT k, count(*) AS n FROM (SELECT DISTINCT k, unnest(range(i, i + size)) AS p FROM hits) GROUP BY k
 ), named AS (
   SELECT k, list_sort(list(DISTINCT name)) AS names FROM hits GROUP BY k
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
-FROM docs LEFT JOIN words USING (k) LEFT JOIN named USING (k)
+FROM docs LEFT JOIN covered USING (k) LEFT JOIN named USING (k)
 """

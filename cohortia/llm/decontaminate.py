@@ -1,113 +1,159 @@
-"""Benchmark decontamination by a prefix-filtered join of word windows.
+"""Benchmark decontamination by a prefix-filtered join of word shingles.
 
-Words are ordered by rarity, counted over the whole corpus; of each window of a benchmark
-item only its rarest word (the prefix that containment of the whole window makes
-necessary) is joined with the documents' words. Where it occurs, the window must lie at one
-place only (positional bound), inside the document (length bound), and is compared word
-for word there.
+An item is its windows of ``window`` consecutive words, a window the shingles of ``SHINGLE`` words
+in it. Shingles are ordered by rarity, counted over the whole corpus; a document holds a window
+only if it holds the window's rarest shingle, so that one (the prefix) is joined with the
+documents' shingles. The window must then lie inside the document (length bound) at the one place
+which the shingle's place in it allows (positional bound), and is verified there: every shingle
+of the window must stand at its place, which is the window word for word.
+
+Documents give only shingles that some item has: a Bloom filter of the items' shingles keeps the
+others from leaving the scan; it has no false negatives and its false positives meet the join.
 
 Cases: null text has no words, empty texts likewise; an item with fewer words than a window is
-one window, one without words none; repeated rows are judged alike, each for itself; items with
-equal texts are all named; empty tables give no rows or no hits; a null doc_id is an id, a null
-item_id is left out of the names; further columns aren't read.
+one window, one without words none; very long texts are rows of shingles like others; repeated
+rows are judged alike, each for itself; of shingles equally rare the one of least hash is the
+prefix; items with equal texts are all named; empty tables give no rows or no hits; a null
+doc_id is an id, a null item_id is left out; further columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .bloom import maybe_in
+from .common import forget, table, written
+from .near_dup import gram_hashes, word_hashes
+
+#: Words of a shingle (fewer in shorter windows).
+SHINGLE = 5
 
 #: A-Z to lower case; what isn't 0-9, a-z or beyond ASCII to a space.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256)
 )
+#: Bits of a shingle's hash that give its places in the filter.
+_SHIFTS = (0, 18, 36)
 
 
 def fold_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def item_windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
-
-
-class WindowIndex:
-    """Windows of one block of items, to be found by their rarest word."""
-
-    def __init__(self, items: list[tuple[str, bytes]], size: int, counts: dict[bytes, int]):
-        self.names = sorted({name for name, _ in items})
-        number = {name: i for i, name in enumerate(self.names)}
-        self.windows: dict[bytes, tuple[int, ...]] = {}
-        owners: dict[bytes, set[int]] = defaultdict(set)
-        bounds: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
-        for name, text in items:
-            for w in item_windows(fold_words(text), size):
-                owners[b" ".join(w)].add(number[name])
-                rarest = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-                bounds[w[rarest]].add((rarest, len(w)))
-        self.windows = {w: tuple(sorted(o)) for w, o in owners.items()}
-        self.bounds = {w: tuple(sorted(b)) for w, b in bounds.items()}
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans [from, to) of the windows found, and their items."""
-        spans, items, bounds, windows, n = [], set(), self.bounds, self.windows, len(words)
-        for i in [i for i, w in enumerate(words) if w in bounds]:
-            for before, size in bounds[words[i]]:
-                at = i - before
-                if at >= 0 and at + size <= n and (own := windows.get(b" ".join(words[at : at + size]))):
-                    spans.append((at, at + size))
-                    items.update(own)
-        return spans, items
-
-
-def covered(spans: list[tuple[int, int]]) -> int:
-    n = end = 0
-    for a, b in sorted(spans):
-        if b > end:
-            n += b - max(a, end)
-            end = b
-    return n
-
-
-def _digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-
-
-def benchmark_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> dict[bytes, int]:
-    """How often each benchmark word occurs in the whole corpus."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, n = held.value, Counter()
+def item_windows(benchmark: DataFrame, window: int, item_id: str, item_text: str) -> DataFrame:
+    """name, w (hash of the window), size, k (words of a shingle), grams (its shingles in turn)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                n.update(w for w in fold_words(text) if w in known)
-        yield pd.DataFrame({"word": list(n), "n": list(n.values())})
-
-    rows = (
-        docs.select(F.col(text_col).cast("binary").alias("text"))
-        .mapInPandas(count, "word binary, n bigint")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-    )
-    return {bytes(r["word"]): r["n"] for r in rows.toLocalIterator()}
+            out = []
+            for name, text in zip(batch["name"], batch["text"]):
+                words = fold_words(text)
+                if not words:
+                    continue
+                size = min(window, len(words))
+                k = min(SHINGLE, size)
+                grams = gram_hashes(word_hashes(words), k).view(np.int64)
+                for i in range(len(words) - size + 1):
+                    w = hashlib.blake2b(b" ".join(words[i : i + size]), digest_size=8).digest()
+                    out.append((name, int.from_bytes(w, "little", signed=True), size, k, grams[i : i + size - k + 1]))
+            yield pd.DataFrame(out, columns=["name", "w", "size", "k", "grams"])
+
+    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text"))
+    return items.where("name is not null").mapInPandas(run, "name string, w bigint, size int, k int, grams array<bigint>")
+
+
+def _filter(grams: DataFrame, most_bytes: int) -> np.ndarray | None:
+    """A Bloom filter of the shingles as bytes of bits; none if it would pass ``most_bytes``."""
+    n = grams.count()
+    bits = 1 << max(10, math.ceil(math.log2(16 * n + 1)))
+    if bits > 8 * most_bytes:
+        return None
+    places = [F.shiftrightunsigned("gram", s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS]
+    byte = grams.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 3).alias("at"))
+    got = byte.agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
+    return out
+
+
+def document_shingles(rows: DataFrame, sizes: list[int], held) -> DataFrame:
+    """a, b (what names the row), p (place of the first word), gram, of the shingles that the filter lets through."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = held.value
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                x = batch.iloc[start : start + 256]
+                words, n = [], []
+                for text in x["text"]:
+                    own = fold_words(text)
+                    words += own
+                    n.append(len(own))
+                if not words:
+                    continue
+                h, n = word_hashes(words), np.array(n)
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                for k in sizes:
+                    if len(h) < k:
+                        continue
+                    grams = gram_hashes(h, k)
+                    found = place[: len(grams)] + k <= n[row[: len(grams)]]
+                    if bits is not None:
+                        for shift in _SHIFTS:
+                            at = (grams >> np.uint64(shift)) & np.uint64(8 * len(bits) - 1)
+                            found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    found = np.flatnonzero(found)
+                    if len(found):
+                        of = row[found]
+                        yield pd.DataFrame({"a": x["a"].to_numpy()[of], "b": x["b"].to_numpy()[of], "p": place[found], "gram": grams[found].view(np.int64)})
+
+    return rows.mapInPandas(run, "a bigint, b bigint, p bigint, gram bigint")
+
+
+def _keys(id_col: str, text_col: str) -> dict[str, Column]:
+    """What names a row: rows of equal id and text are judged alike."""
+    return {"a": F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull()), "b": F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))}
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int, filter_bytes: int, id_col: str, text_col: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """a, b, start, size, w of each window in each document; and name, w of each item and window."""
+    spark = docs.sparkSession
+    windows = written(item_windows(benchmark, window, item_id, item_text), "windows")
+    sizes = sorted(r["k"] for r in windows.select("k").distinct().collect())  # SHINGLE numbers at most
+    each = windows.dropDuplicates(["w"]).select("w", "size", F.posexplode("grams").alias("r", "gram"))
+    grams = each.select("gram").distinct()
+    held = spark.sparkContext.broadcast(_filter(grams, filter_bytes))
+    rows = docs.select(*[c.alias(n) for n, c in _keys(id_col, text_col).items()], F.col(text_col).cast("binary").alias("text"))
+    found = document_shingles(rows, sizes, held)
+    # rows repeated in full, and shingles of several of an item's windows, count once
+    hits = written(found.join(grams, "gram", "left_semi").distinct(), "hits")
+    held.destroy()
+    rarity = hits.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = each.join(rarity, "gram", "left").select("w", "size", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "r").alias("x"))
+    prefix = ranked.groupBy("w", "size").agg(F.min("x").alias("x"), F.count("*").alias("parts"))
+    prefix = prefix.where("x.n > 0").select("w", "size", "parts", "x.gram", "x.r")
+    places = hits.join(prefix, "gram").withColumn("start", F.col("p") - F.col("r")).where("start >= 0").select("a", "b", "start", "w", "size", "parts")
+    # every shingle of the window at its place; the last one's place keeps the window inside the document
+    wanted = places.join(each.select("w", "r", "gram"), "w").withColumn("p", F.col("start") + F.col("r"))
+    stand = wanted.join(hits, ["a", "b", "p", "gram"], "left_semi").groupBy("a", "b", "start", "w", "size", "parts").agg(F.count("*").alias("n"))
+    out = written(stand.where("n = parts").select("a", "b", "start", "size", "w"), "occurrences")
+    forget(spark, hits)
+    return out, windows.select("name", "w").distinct()
 
 
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
-    block_bytes: int = 16 << 20,
+    filter_bytes: int = 16 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id: str = "item_id",
@@ -115,109 +161,42 @@ def decontaminate(
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (names), items_sha256, contaminated.
 
-    The benchmark is read in blocks of at most about ``block_bytes`` of text, each with a scan
-    of the documents, so what is sent to executors has a bound whatever its size."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    held = list(_indices(rows, benchmark, window, block_bytes, item_id, item_text))
-    blocks = len(held)
-    parts = [_scan(rows, h, final=blocks == 1) for h in held]
-    if blocks == 1:
-        return parts[0]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    merged = merged.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        (F.count("*") / blocks).cast("int").alias("copies"),
-    )
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            found = [_row(d, n, [(s["a"], s["b"]) for s in spans], list(names)) for d, n, spans, names, c in zip(x["doc_id"], x["n_words"], x["spans"], x["items"], x["copies"]) for _ in range(c)]
-            yield _frame(found)
-
-    return merged.drop("text_hash").mapInPandas(finish, _final(docs, id_col))
-
-
-def _indices(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, item_id: str, item_text: str) -> Iterator:
-    """A broadcast index for each block of the benchmark, at most about ``block_bytes`` of text each."""
-    sc = rows.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text")).where(
-        "name is not null and text is not null"
+    A filter over ``filter_bytes`` isn't made: all shingles of the documents then meet the join."""
+    found, names = occurrences(docs, benchmark, window, filter_bytes, id_col, text_col, item_id, item_text)
+    # merged spans: [end so far, words covered]
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    zero = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
+    more = lambda s, x: F.greatest(x["end"] - F.greatest(x["start"], s["end"]), F.lit(0))
+    step = lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["n"] + more(s, x)).alias("n"))
+    hit = found.groupBy("a", "b").agg(F.aggregate(spans, zero, step, lambda s: s["n"]).alias("n_hit"))
+    items = found.select("a", "b", "w").distinct().join(names, "w").groupBy("a", "b").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    judged = written(hit.join(items, ["a", "b"]), "judged")
+
+    @F.pandas_udf("bigint")
+    def count(text: pd.Series) -> pd.Series:
+        return pd.Series([len(fold_words(t)) for t in text], dtype="int64")
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in _keys(id_col, text_col).items()], count(F.col(text_col).cast("binary")).alias("n_words"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    return rows.join(judged, ["a", "b"], "left").select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"),
+        items.alias("items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
     )
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) if blocks > 1 else items
-        listed = [(r["name"], bytes(r["text"])) for r in own.toLocalIterator()]
-        vocabulary = {w for _, text in listed for w in fold_words(text)}
-        counts = benchmark_counts(rows, vocabulary, "text") if vocabulary else {}
-        yield sc.broadcast(WindowIndex(listed, window, counts))
 
 
-def _holds_window(held):
-    @F.pandas_udf("boolean")
-    def hit(text: pd.Series) -> pd.Series:
-        return pd.Series([bool(held.value.find(fold_words(t))[0]) for t in text], dtype=bool)
-
-    return hit
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
-    """The documents without any window of the benchmark, all columns; nothing is shuffled."""
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
-    held = list(_indices(rows, benchmark, window, block_bytes, "item_id", "text"))
-    for k, h in enumerate(held):
-        docs = docs.where(~_holds_window(h)(F.col(text_col).cast("binary")))
-        if k + 1 < len(held):
-            docs = written(docs, "clean")  # one index at a time in a worker
-    return docs
-
-
-def _final(docs: DataFrame, id_col: str) -> str:
-    kind = docs.schema[id_col].dataType.simpleString()
-    return f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, contaminated boolean"
-
-
-def _row(doc_id, n_words: int, spans: list[tuple[int, int]], names: list[str]) -> tuple:
-    n_hit = covered(spans)
-    return doc_id, n_words, n_hit, len(names), sorted(names), _digest(names), n_hit > 0
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
-    out["doc_id"] = pd.Series([r[0] for r in rows], dtype=object)
-    return out
-
-
-def _scan(rows: DataFrame, held, final: bool) -> DataFrame:
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = held.value
-        for batch in batches:
-            found = []
-            for x in batch.itertuples(index=False):
-                words = fold_words(x.text)
-                spans, own = index.find(words)
-                names = [index.names[i] for i in own]
-                if final:
-                    found.append(_row(x.doc_id, len(words), spans, names))
-                else:
-                    found.append((x.doc_id, x.text_hash, len(words), [{"a": a, "b": b} for a, b in set(spans)], names))
-            if final:
-                yield _frame(found)
-            else:
-                out = pd.DataFrame(found, columns=["doc_id", "text_hash", "n_words", "spans", "items"])
-                out["doc_id"] = pd.Series([r[0] for r in found], dtype=object)
-                yield out
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    if final:
-        return rows.mapInPandas(scan, _final(rows, "doc_id"))
-    return rows.withColumn("text_hash", F.xxhash64("text")).mapInPandas(
-        scan, f"doc_id {kind}, text_hash bigint, n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>"
-    )
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, filter_bytes: int = 16 << 20) -> DataFrame:
+    """The documents without any window of the benchmark, all columns; only rows that may hold one are shuffled."""
+    found, _ = occurrences(docs, benchmark, window, filter_bytes, "doc_id", "text", "item_id", "text")
+    gone = written(found.select("a", "b").distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in _keys("doc_id", "text").items()])
+    near = maybe_in(gone.select(F.xxhash64("a", "b").alias("key")), "key", F.xxhash64("a", "b"), gone.count())
+    return rows.where(~near).unionByName(rows.where(near).join(gone, ["a", "b"], "left_anti").select(*rows.columns)).select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,25 +71,34 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
-def shingle_set(words: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles (all words as one, if fewer)."""
-    if not words:
-        return np.empty(0, np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words: sums of byte values times powers of a base by place in the word."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     data = np.frombuffer(b"".join(words), np.uint8)
     first = np.cumsum(size) - size
-    # value of a word: sum of byte values times powers of a base by place in the word
     place = np.arange(len(data)) - np.repeat(first, size)
     top = int(size.max())
     power = np.cumprod(np.full(top, _BASE, np.uint64)) if top > 1 else np.full(1, _BASE, np.uint64)
-    h = _mixed(np.add.reduceat(_BYTE[data] * power[place], first) + size.astype(np.uint64))
-    n = len(words)
-    if n < k:
-        return _mixed((h * _STEP[np.arange(n) % 64]).sum(keepdims=True) + np.uint64(n + 1))
+    return _mixed(np.add.reduceat(_BYTE[data] * power[place], first) + size.astype(np.uint64))
+
+
+def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of each k consecutive words, of which there are k at least."""
+    n = len(h)
     out = h[: n - k + 1] * _STEP[0]
     for d in range(1, k):
         out = out + h[d : n - k + 1 + d] * _STEP[d % 64]
-    return np.unique(_mixed(out))
+    return _mixed(out)
+
+
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles (all words as one, if fewer)."""
+    if not words:
+        return np.empty(0, np.uint64)
+    h, n = word_hashes(words), len(words)
+    if n < k:
+        return _mixed((h * _STEP[np.arange(n) % 64]).sum(keepdims=True) + np.uint64(n + 1))
+    return np.unique(gram_hashes(h, k))
 
 
 def signatures(sets: list[np.ndarray], n_hashes: int) -> np.ndarray:
