@@ -2,10 +2,10 @@
 
 Equal vectors are one node that knows its smallest ids, so a very common vector is one node and
 loses no tie. Nodes are dealt to shards of about ``SHARD`` by the range of their norm and by
-hash. A shard's graph is built by
-inserting nodes in order: each is linked with the nodes before it that are nearest and lie in
-different directions, and back; found by matrix products, which a shard's size bounds, instead
-of by searching the unfinished graph. The largest inner product is made a nearest distance by
+hash. A shard's graph, whatever its size, is built by inserting nodes: each searches the graph so
+far from its top level down and is linked, in each of its levels, with the nearest found that lie
+in different directions, and back. Nodes are inserted in batches, no larger than the graph so
+far, whose members also see each other. The largest inner product is made a nearest distance by
 one more coordinate that gives all vectors one length. A graph is stored as flat arrays: the
 vectors, and for each level its nodes and their neighbours. Queries come in blocks; each block
 meets each shard once, and the shards' best are merged by score.
@@ -28,10 +28,10 @@ from pyspark.sql.window import Window
 
 from .common import table, written
 
-SHARD, QUERY_BLOCK = 8192, 16384
-LINKS, CHOICE = 16, 48
-#: Shards up to this size are scanned.
-FLAT = 512
+SHARD, QUERY_BLOCK = 16384, 16384
+#: Neighbours chosen (twice as many are kept at level 0), candidates they are chosen from, and the
+#: width of the search that finds these; nodes inserted at once.
+LINKS, CHOICE, WIDTH, BATCH = 16, 48, 64, 512
 
 
 def _diverse(x: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -39,7 +39,7 @@ def _diverse(x: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np
     chosen before; then the nearest others, up to ``most``."""
     b, c = near.shape
     v = x[np.maximum(near, 0)]
-    between = np.einsum("bcd,bed->bce", v, v)
+    between = np.matmul(v, v.transpose(0, 2, 1))
     valid = near >= 0
     chosen = np.zeros((b, c), bool)
     closest = np.full((b, c), -np.inf, np.float32)  # to any chosen one
@@ -55,51 +55,11 @@ def _diverse(x: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np
     return np.where(np.take_along_axis(valid, order, 1), out, -1)
 
 
-def _layer(x: np.ndarray, nodes: np.ndarray, links: int, most: int) -> np.ndarray:
-    """Neighbours (as places in ``nodes``) of one level."""
-    n = len(nodes)
-    y = x[nodes]
-    forward = np.full((n, links), -1, np.int64)
-    for a in range(0, n, 512):
-        b = min(n, a + 512)
-        sims = y[a:b] @ y[:b].T
-        sims[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = -np.inf
-        k = min(CHOICE, b)
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        s = np.take_along_axis(sims, near, 1)
-        order = np.argsort(-s, axis=1, kind="stable")
-        near, s = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
-        near[~np.isfinite(s)] = -1
-        got = _diverse(y, near, s, links)
-        forward[a:b, : got.shape[1]] = got
-    src = np.repeat(np.arange(n), links)
-    dst = forward.ravel()
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    ends = np.unique(np.concatenate([src * n + dst, dst * n + src]))
-    one, two = ends // n, ends % n
-    sims = np.einsum("ij,ij->i", y[one], y[two])
-    order = np.lexsort((-sims, one))
-    one, two, sims = one[order], two[order], sims[order]
-    first = np.searchsorted(one, np.arange(n))
-    rank = np.arange(len(one)) - first[one]
-    width = 2 * CHOICE
-    keep = rank < width
-    near = np.full((n, width), -1, np.int64)
-    score = np.full((n, width), -np.inf, np.float32)
-    near[one[keep], rank[keep]] = two[keep]
-    score[one[keep], rank[keep]] = sims[keep]
-    out = np.full((n, most), -1, np.int32)
-    for a in range(0, n, 256):
-        got = _diverse(y, near[a : a + 256], score[a : a + 256], most)
-        out[a : a + 256, : got.shape[1]] = got
-    return out
-
-
 class Graph:
-    """One shard's graph as flat arrays."""
+    """One shard's graph: for each level, a row of neighbours for each node (-1: none, or not in the level)."""
 
-    def __init__(self, vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.vectors, self.levels = vectors, levels
+    def __init__(self, vectors: np.ndarray, near: list[np.ndarray]):
+        self.vectors, self.near = vectors, near
         self.x = self._same_length(vectors)
 
     @staticmethod
@@ -109,48 +69,96 @@ class Graph:
         return np.concatenate([v, rest[:, None]], axis=1).astype(np.float32)
 
     @classmethod
-    def build(cls, vectors: np.ndarray) -> Graph:
-        graph = cls(vectors, [])
+    def build(cls, vectors: np.ndarray) -> tuple[Graph, np.ndarray]:
+        """The graph and each node's highest level. Node 0 is in all levels: searches begin there."""
         n = len(vectors)
-        if n <= FLAT:
-            return graph
-        rng = np.random.default_rng(n)
-        height = np.minimum((-np.log(1 - rng.random(n)) / math.log(LINKS)).astype(int), 6)
-        height[0] = max(height.max(), 1)
-        for level in range(int(height.max()) + 1):
-            nodes = np.flatnonzero(height >= level)
-            if level and len(nodes) < 2 and len(graph.levels):
-                break
-            graph.levels.append((nodes.astype(np.int32), _layer(graph.x, nodes, LINKS, 2 * LINKS if level == 0 else LINKS)))
-        return graph
+        height = np.minimum((-np.log(1 - np.random.default_rng(n).random(n)) / math.log(LINKS)).astype(int), 6)
+        height[0] = height.max()
+        graph = cls(vectors, [np.full((n, LINKS if level else 2 * LINKS), -1, np.int32) for level in range(height[0] + 1)])
+        a = 1
+        while a < n:
+            b = min(n, a + min(a, BATCH))
+            graph._insert(np.arange(a, b), height[a:b])
+            a = b
+        return graph, height
+
+    def _insert(self, ids: np.ndarray, height: np.ndarray) -> None:
+        q = self.x[ids]
+        at = np.zeros(len(ids), np.int64)
+        best = q @ self.x[0]
+        for level in range(len(self.near) - 1, -1, -1):
+            passes, joins = np.flatnonzero(height < level), np.flatnonzero(height >= level)
+            if len(passes):
+                at[passes], best[passes] = self._walk(q[passes], at[passes], best[passes], level)
+            if len(joins):
+                found, sims = self._beam(q[joins], at[joins], best[joins], WIDTH, level)
+                at[joins], best[joins] = found[:, 0], sims[:, 0]
+                self._link(level, ids[joins], found, sims)
+
+    def _link(self, level: int, ids: np.ndarray, found: np.ndarray, sims: np.ndarray) -> None:
+        x, near, m = self.x, self.near[level], len(ids)
+        own = x[ids] @ x[ids].T  # of a batch, each node sees those before it
+        own[np.arange(m)[None, :] >= np.arange(m)[:, None]] = -np.inf
+        first = np.argsort(-own, axis=1, kind="stable")[:, : CHOICE // 2]
+        ids_, sims_ = np.concatenate([found, ids[first]], axis=1), np.concatenate([sims, np.take_along_axis(own, first, 1)], axis=1)
+        chosen = self._chosen(ids_, sims_, LINKS)
+        near[ids, : chosen.shape[1]] = chosen
+        # and back: the new ones beside those a node has; where they are too many, it chooses anew
+        one, two = chosen.ravel(), np.repeat(ids, chosen.shape[1])
+        one, two = one[chosen.ravel() >= 0], two[chosen.ravel() >= 0]
+        order = np.lexsort((-np.einsum("nd,nd->n", x[one], x[two]), one))
+        one, two = one[order], two[order]
+        nodes, begin, count = np.unique(one, return_index=True, return_counts=True)
+        rank = np.arange(len(one)) - np.repeat(begin, count)
+        have = (near[nodes] >= 0).sum(axis=1)
+        fits = np.repeat(have + count <= near.shape[1], count)
+        near[one[fits], (np.repeat(have, count) + rank)[fits]] = two[fits]
+        over = have + count > near.shape[1]
+        if over.any():
+            row = np.repeat(np.cumsum(over) - 1, count)
+            new = np.full((int(over.sum()), min(int(count[over].max()), CHOICE)), -1, np.int64)
+            some = ~fits & (rank < new.shape[1])
+            new[row[some], rank[some]] = two[some]
+            nodes = nodes[over]
+            for a in range(0, len(nodes), 512):
+                all_ = np.concatenate([near[nodes[a : a + 512]], new[a : a + 512]], axis=1)
+                s = np.matmul(x[np.maximum(all_, 0)], x[nodes[a : a + 512], :, None])[:, :, 0]
+                near[nodes[a : a + 512]] = self._chosen(all_, np.where(all_ >= 0, s, -np.inf), near.shape[1])
+
+    def _chosen(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+        order = np.argsort(-sims, axis=1, kind="stable")[:, : max(CHOICE, most)]
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        return np.concatenate([_diverse(self.x, np.where(np.isfinite(s), i, -1), s, most) for i, s in zip(np.array_split(ids, -(-len(ids) // 512)), np.array_split(sims, -(-len(ids) // 512)))])
 
     def search(self, queries: np.ndarray, k: int, ef: int) -> np.ndarray:
         """Up to max(k, ef) nearest nodes of each query, -1 for none, nearest first."""
         norm = np.sqrt((queries**2).sum(axis=1, keepdims=True))
         q = np.concatenate([queries / np.maximum(norm, 1e-300), np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-        if not self.levels:
-            return np.argsort(-(q @ self.x.T), axis=1, kind="stable")
         at = np.zeros(len(q), np.int64)
         best = q @ self.x[0]
-        for nodes, near in reversed(self.levels[1:]):
-            place = np.full(len(self.x), -1, np.int64)
-            place[nodes] = np.arange(len(nodes))
-            todo = np.arange(len(q))
-            while len(todo):
-                to = near[place[at[todo]]]
-                ids = np.where(to >= 0, nodes[np.maximum(to, 0)], at[todo][:, None])
-                s = np.einsum("qmd,qd->qm", self.x[ids], q[todo])
-                j = s.argmax(axis=1)
-                better = s[np.arange(len(todo)), j] > best[todo]
-                moved = todo[better]
-                best[moved] = s[better, j[better]]
-                at[moved] = ids[better, j[better]]
-                todo = moved
-        return self._beam(q, at, best, max(k, ef))
-
-    def _beam(self, q: np.ndarray, at: np.ndarray, best: np.ndarray, ef: int, step: int = 4) -> np.ndarray:
-        m = len(q)
-        near = self.levels[0][1]
+        for level in range(len(self.near) - 1, 0, -1):
+            at, best = self._walk(q, at, best, level)
+        return self._beam(q, at, best, max(k, ef), 0)[0]
+
+    def _walk(self, q: np.ndarray, at: np.ndarray, best: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """From each query's place to the nearest neighbour, while there is a nearer one."""
+        at, best, near = at.copy(), best.copy(), self.near[level]
+        todo = np.arange(len(q))
+        while len(todo):
+            to = near[at[todo]]
+            ids = np.where(to >= 0, to, at[todo][:, None])
+            s = np.matmul(self.x[ids], q[todo][:, :, None])[:, :, 0]
+            j = s.argmax(axis=1)
+            better = s[np.arange(len(todo)), j] > best[todo]
+            moved = todo[better]
+            best[moved] = s[better, j[better]]
+            at[moved] = ids[better, j[better]]
+            todo = moved
+        return at, best
+
+    def _beam(self, q: np.ndarray, at: np.ndarray, best: np.ndarray, ef: int, level: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """The ``ef`` nearest nodes met (-1: none) and their similarities; ``step`` nodes are opened at once."""
+        m, near = len(q), self.near[level]
         ids = np.full((m, ef), -1, np.int64)
         sims = np.full((m, ef), -np.inf, np.float32)
         done = np.ones((m, ef), bool)
@@ -159,13 +167,14 @@ class Graph:
         seen[np.arange(m), at] = True
         todo = np.arange(m)
         while len(todo):
-            open_ = np.where(done[todo], -np.inf, sims[todo])
-            pick = np.argsort(-open_, axis=1, kind="stable")[:, :step]
-            ok = np.isfinite(np.take_along_axis(open_, pick, 1))
-            done[todo[:, None], pick] = True
-            source = np.where(ok, np.take_along_axis(ids[todo], pick, 1), -1)
+            # rows are sorted by similarity: the first open ones are the nearest
+            place = np.cumsum(~done[todo], axis=1)
+            rows, cols = np.nonzero(~done[todo] & (place <= step))
+            done[todo[rows], cols] = True
+            source = np.full((len(todo), step), -1, np.int64)
+            source[rows, place[rows, cols] - 1] = ids[todo[rows], cols]
             to = np.where(source[:, :, None] >= 0, near[np.maximum(source, 0)], -1).reshape(len(todo), -1).astype(np.int64)
-            to = np.sort(to, axis=1)
+            to.sort(axis=1)
             fresh = (to >= 0) & ~seen[todo[:, None], np.maximum(to, 0)]
             fresh[:, 1:] &= to[:, 1:] != to[:, :-1]
             rows, cols = np.nonzero(fresh)
@@ -181,7 +190,7 @@ class Graph:
             ids[todo] = np.take_along_axis(all_i, keep, 1)
             done[todo] = np.take_along_axis(all_d, keep, 1)
             todo = todo[(~done[todo]).any(axis=1)]
-        return ids
+        return ids, sims
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -215,7 +224,8 @@ def build_index(vectors: DataFrame, k: int = 20, shard_size: int = SHARD) -> Dat
         order = np.lexsort(x.T[::-1])  # the same graph however the rows arrive
         order = order[np.random.default_rng(len(x)).permutation(len(x))]
         x, ids = x[order], [rows["ids"].iloc[i] for i in order]
-        graph = Graph.build(x)
+        graph, height = Graph.build(x)
+        nodes = [np.flatnonzero(height >= level).astype(np.int32) for level in range(len(graph.near))]
         return pd.DataFrame(
             {
                 "shard": [rows["shard"].iloc[0]],
@@ -223,8 +233,8 @@ def build_index(vectors: DataFrame, k: int = 20, shard_size: int = SHARD) -> Dat
                 "vectors": [x.tobytes()],
                 "id_counts": [np.array([len(i) for i in ids], np.int32).tobytes()],
                 "ids": [np.concatenate(ids).astype(np.int64).tobytes()],
-                "nodes": [[a.tobytes() for a, _ in graph.levels]],
-                "links": [[b.tobytes() for _, b in graph.levels]],
+                "nodes": [[a.tobytes() for a in nodes]],
+                "links": [[near[a].tobytes() for near, a in zip(graph.near, nodes)]],
             }
         )
 
@@ -249,8 +259,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = 160, bl
             return pd.DataFrame(columns=columns)
         r = own.iloc[0]
         vectors = np.frombuffer(r["vectors"], np.float64).reshape(r["n"], -1)
-        levels = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(len(np.frombuffer(a, np.int32)), -1)) for a, b in zip(r["nodes"], r["links"])]
-        graph = Graph(vectors, levels)
+        near = []
+        for a, b in zip(r["nodes"], r["links"]):
+            nodes = np.frombuffer(a, np.int32)
+            links = np.frombuffer(b, np.int32).reshape(len(nodes), -1)
+            near.append(np.full((r["n"], links.shape[1]), -1, np.int32))
+            near[-1][nodes] = links
+        graph = Graph(vectors, near)
         counts = np.frombuffer(r["id_counts"], np.int32)
         ids = np.frombuffer(r["ids"], np.int64)
         begin = np.cumsum(counts) - counts

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,13 @@ def whole_text(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``; where
+    that is unset, a folder of our own if all runs on this machine, else an error."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_to:
         return set_to.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.environ.get("COHORTIA_SHARED") or tempfile.mkdtemp(prefix="cohortia-")
     os.environ["COHORTIA_SHARED"] = own
     return f"file://{own}"
