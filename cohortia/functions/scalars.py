@@ -38,8 +38,3 @@ def safe_name(name: Column) -> Column:
 def present(value: Column) -> Column:
     """1 where a criterion has a value over zero."""
     return (value > 0).cast("int")
-
-
-def missing_to_null(value: Column) -> Column:
-    """NaN as null, which aggregates skip."""
-    return F.when(~F.isnan(value), value)

@@ -251,7 +251,3 @@ def permutation_test(spark: SparkSession, cohort: Cohort, name: str, params: dic
     every = resample.permuted_labels(labels, n_perm, seed).unionByName(real)
     aucs = cv_aucs(spark, cohort, name, params, every, n_folds, seed)
     return aucs.withColumn("auc_real", F.max(F.when(F.col("perm") == -1, F.col("auc"))).over(Window.partitionBy())).where("perm >= 0").select("perm", "auc_real", "auc")
-
-
-def pooled_auc(predictions: DataFrame) -> DataFrame:
-    return roc_auc(predictions, ["model"])

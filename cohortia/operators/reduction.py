@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -66,10 +68,29 @@ def correlations(long: DataFrame, method: str = "spearman", by: tuple[str, ...]
         keys = [*by, "i", "j"]
         ranked = pairs.withColumn("x", midrank(keys, "x")).withColumn("y", midrank(keys, "y"))
         return ranked.groupBy(*keys).agg(F.corr("x", "y").alias("rho"))
+    # complete features: each id is one array of centred ranks, each task sums products of columns
     ranked = cells.withColumn("r", midrank([*by, "feature"], "value"))
-    a = ranked.select(*by, "id", F.col("feature").alias("i"), F.col("r").alias("x"))
-    b = ranked.select(*by, "id", F.col("feature").alias("j"), F.col("r").alias("y"))
-    return a.join(b, ["id", *by]).where("i < j").groupBy(*by, "i", "j").agg(F.corr("x", "y").alias("rho"))
+    middle = ((F.col("n") + 1) / 2).cast("double")
+    ranked = ranked.join(full, [*by, "feature"]).select(*by, "id", F.struct("feature", (F.col("r") - middle).alias("r")).alias("c"))
+    packed = ranked.groupBy(*by, "id").agg(F.sort_array(F.collect_list("c")).alias("c")).select(*by, F.col("c.feature").alias("f"), F.col("c.r").alias("r"))
+    kinds = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in by)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, tuple[list[str], np.ndarray]] = {}
+        for batch in batches:
+            groups = batch.groupby(list(by), sort=False, dropna=False) if by else [((), batch)]
+            for key, rows in groups:
+                x = np.stack(rows["r"].to_numpy())
+                names, before = sums.get(key, (list(rows["f"].iloc[0]), 0.0))
+                sums[key] = names, before + x.T @ x
+        for key, (names, g) in sums.items():
+            i, j = np.triu_indices(len(names), 1)
+            own = np.array(names, object)
+            yield pd.DataFrame(dict(zip(by, key)) | {"i": own[i], "j": own[j], "xy": g[i, j], "xx": g[i, i], "yy": g[j, j]})
+
+    parts = packed.mapInPandas(products, ", ".join(filter(None, [kinds, "i string, j string, xy double, xx double, yy double"])))
+    total = parts.groupBy(*by, "i", "j").agg(F.sum("xy").alias("xy"), F.sqrt(F.sum("xx")).alias("sx"), F.sqrt(F.sum("yy")).alias("sy"))
+    return total.select(*by, "i", "j", F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("xy") / (F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def distances(rho: DataFrame) -> DataFrame:

@@ -48,6 +48,19 @@ def usable_bootstraps(drawn: DataFrame, n_boot: int) -> DataFrame:
     return drawn.join(first.select("b"), "b", "left_semi")
 
 
+def bootstraps(labels: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """``n_boot`` draws that hold both classes; draws go on until there are so many."""
+    if labels.select("y").distinct().count() < 2:
+        raise ValueError("a bootstrap of one class never holds both")
+    n = n_boot + n_boot // 5
+    while True:
+        drawn = bootstrap_counts(labels, n, seed)
+        both = drawn.groupBy("b").agg(F.countDistinct("y").alias("k")).where("k > 1").count()
+        if both >= n_boot:
+            return usable_bootstraps(drawn, n_boot)
+        n *= 2
+
+
 def permuted_labels(labels: DataFrame, n_perm: int, seed: int) -> DataFrame:
     """(perm, id, y): labels dealt in one hash order to ids in another."""
     rows = labels.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))

@@ -144,6 +144,13 @@ def batch_left_join(spark, sf):
     return align.with_batch(mart.labels(spark, sf).select("id"), mart.batches(spark, sf))
 
 
+@query("SELECT count(*) AS n_ids, count(n_name) AS n_with_batch, count(DISTINCT n_name) AS n_batches FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey")
+def batch_coverage(spark, sf):
+    """How many ids have a batch."""
+    rows = align.with_batch(mart.labels(spark, sf).select("id"), mart.batches(spark, sf))
+    return rows.agg(F.count("*").alias("n_ids"), F.count("batch").alias("n_with_batch"), F.countDistinct("batch").alias("n_batches"))
+
+
 @query("SELECT c_mktsegment AS label, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) + 0.0::DOUBLE AS pct FROM customer GROUP BY c_mktsegment")
 def label_distribution(spark, sf):
     n = mart.labels(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
@@ -319,6 +326,13 @@ def histogram_bins(spark, sf):
     return metrics.histogram(mart.predictions(spark, sf), "p", 20, ["model"])
 
 
+@query(sql(f"SELECT model, count(*) AS n_folds, {r('min(auc) AS auc_min', 'max(auc) AS auc_max')} FROM auc GROUP BY model", "auc"))
+def auc_range(spark, sf):
+    """Size of each model's group of results, and the range of their AUCs."""
+    auc = metrics.roc_auc(mart.predictions(spark, sf), ["model", "fold"])
+    return rounded(auc.groupBy("model").agg(F.count("*").alias("n_folds"), F.min("auc").alias("auc_min"), F.max("auc").alias("auc_max")))
+
+
 @query(sql(_POOLED + " ORDER BY pooled_oof_auc DESC, model LIMIT 1", "pred"))
 def best_model(spark, sf):
     return rounded(metrics.pooled(mart.predictions(spark, sf), ["model"])).orderBy(F.desc("pooled_oof_auc"), "model").limit(1)
@@ -347,6 +361,15 @@ def paired_bootstrap_auc_diff(spark, sf):
     return rounded(hypothesis_tests.bootstrap_summary(_paired_diffs(spark, sf)))
 
 
+_DIFF = _DIFFS.rsplit(" SELECT b, round(max", 1)[0] + ", df AS (SELECT round(max(CASE WHEN m='a' THEN auc END) - max(CASE WHEN m='b' THEN auc END), 9) AS diff FROM bauc GROUP BY b)"
+
+
+@query(_DIFF + " SELECT CAST(least(floor((diff - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM (SELECT *, min(diff) OVER () AS lo, max(diff) OVER () AS hi FROM df) GROUP BY ALL")
+def bootstrap_histogram(spark, sf):
+    """Bootstrap differences of AUC in bins of equal width."""
+    return metrics.histogram(_paired_diffs(spark, sf), "diff", 20)
+
+
 _VCOMP = "SELECT model, id, y, CASE WHEN y=1 THEN (ra - ro)/n ELSE 1 - (ra - ro)/m END AS v FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY model, y ORDER BY p) + (count(*) OVER (PARTITION BY model, y, p) - 1) / 2.0::DOUBLE AS ro, CAST(sum(y) OVER (PARTITION BY model) AS DOUBLE) AS m, CAST(sum(1-y) OVER (PARTITION BY model) AS DOUBLE) AS n FROM pred)"
 
 
@@ -445,6 +468,12 @@ def _votes(spark, sf):
     return consensus.votes(per, ["fold"], TOP)
 
 
+@query(sql(f"SELECT feature, n_specs_selected, {r(f'n_specs_selected * 100.0::DOUBLE / {FOLDS} AS pct')} FROM vot", "vot"))
+def vote_percents(spark, sf):
+    """Votes as shares of the specifications, as a bar chart shows them."""
+    return rounded(_votes(spark, sf).withColumn("pct", F.col("n_specs_selected") * F.lit(100.0) / FOLDS))
+
+
 @query(sql("SELECT feature, n_specs_selected FROM vot", "vot"))
 def feature_votes(spark, sf):
     return _votes(spark, sf)

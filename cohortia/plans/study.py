@@ -78,7 +78,8 @@ class Study:
         shap = result.attributions.where(F.col("model") == best)
         write(shap, "shap")
         write(consensus.mean_abs(shap), "shap_importance")
-        sinks.write_config(spark, c, root, run)
+        size = lambda df: df.select("feature").distinct().count()
+        sinks.write_config(spark, c, root, run, n_ids=self.long.select("id").distinct().count(), n_features=size(self.long), n_reduced=len(cohort.features), best_model=best)
         return {"best_model": best, "params": params}
 
     @staticmethod
@@ -95,6 +96,7 @@ class Study:
         sinks.write_table(perms, root, run, "permutations")
         perms = spark.read.parquet(f"{root}/{run}/permutations")
         summary = hypothesis_tests.verdicts(hypothesis_tests.permutation_summary(perms))
+        sinks.write_table(summary, root, run, "permutation_summary")
         out = {"permutation": summary, "permutation_histogram": metrics.histogram(perms, "auc", 20)}
         scores = multiverse.pca_scores(spark, self.cohort())
         out["pca"] = scores.join(self.labels, "id", "left")
@@ -106,6 +108,37 @@ class Study:
         return out
 
 
+SOURCES = {"imaging": ("rad",), "genes": ("gen",), "both": ("rad", "gen")}
+
+
+def from_sheets(
+    spark: SparkSession,
+    metadata: str,
+    key: str,
+    label: str,
+    imaging: str | None = None,
+    genes: str | None = None,
+    batch: str | None = None,
+    source: str = "both",
+    drop: int = 2,
+    config: Config = Config(),
+) -> Study:
+    """A study of CSV exports: ``metadata`` and ``genes`` have entities in columns (the last ``drop``
+    columns of genes aren't entities), ``imaging`` has them in rows. Only sheets of ``source`` are read."""
+    cells = sheets.transposed(sheets.read_text_table(spark, metadata))
+    labels = sheets.attribute(cells, key, label, "label")
+    if labels is None:
+        raise ValueError(f"no attribute {label!r} in {metadata}")
+    batches = sheets.attribute(cells, key, batch, "batch") if batch else None
+    parts = []
+    if "rad" in SOURCES[source]:
+        parts.append(sheets.feature_block(sheets.upright(sheets.read_text_table(spark, imaging)), "rad"))
+    if "gen" in SOURCES[source]:
+        parts.append(sheets.feature_block(sheets.transposed(sheets.drop_last(sheets.read_text_table(spark, genes), drop)), "gen"))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return Study(spark, long, labels, config, batches)
+
+
 def compare_sources(spark: SparkSession, root: str, model: str, one: str, two: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """DeLong test and paired bootstrap of two sources' out-of-fold predictions of one model."""
     from ..operators import resample
@@ -113,17 +146,22 @@ def compare_sources(spark: SparkSession, root: str, model: str, one: str, two: s
     own = lambda run: spark.read.parquet(f"{root}/{run}/predictions").where(F.col("model") == model)
     pairs = align.pair_results(own(one), own(two)).persist()
     test = hypothesis_tests.delong(pairs, [])
-    drawn = resample.usable_bootstraps(resample.bootstrap_counts(pairs.select("id", "y"), n_boot + n_boot // 5, seed), n_boot)
+    drawn = resample.bootstraps(pairs.select("id", "y"), n_boot, seed)
     long = drawn.withColumnRenamed("b", "draw").select("draw", "id", "times").join(pairs, "id").unpivot(["draw", "id", "y", "times"], ["a", "b"], "m", "p")
     auc = metrics.roc_auc(long, ["draw", "m"], weight="times")
     of = lambda m: F.max(F.when(F.col("m") == m, F.col("auc")))
     diffs = auc.groupBy("draw").agg((of("a") - of("b")).alias("diff"))
     observed = test.select(F.col("diff").alias("observed"))
-    sinks.write_table(diffs, root, "comparisons", f"{model}_{one}_{two}")
+    diffs = spark.read.parquet(sinks.write_table(diffs, root, "comparisons", f"{model}_{one}_{two}"))
+    sinks.write_table(metrics.histogram(diffs, "diff", 30), root, "comparisons", f"{model}_{one}_{two}_histogram")
     boot = hypothesis_tests.bootstrap_summary(diffs.join(F.broadcast(observed)))  # one row
     summary = boot.select(F.col("ci_low").alias("boot_ci_low"), F.col("ci_high").alias("boot_ci_high"), F.col("p_value").alias("boot_p_value"))
     row = test.first()
-    return test.join(F.broadcast(summary)).withColumn("p_value", F.lit(hypothesis_tests.delong_p(row)))
+    out = test.join(F.broadcast(summary)).withColumn("p_value", F.lit(hypothesis_tests.delong_p(row)))  # one row
+    out = out.withColumns({"differs_by_test": F.col("p_value") < 0.05, "differs_by_interval": (F.col("boot_ci_low") > 0) | (F.col("boot_ci_high") < 0)})
+    sinks.write_table(out, root, "comparisons", f"{model}_{one}_{two}_summary")
+    pairs.unpersist()
+    return out
 
 
 def consensus_of(spark: SparkSession, root: str, run: str, votes: str, catalog: DataFrame | None = None) -> DataFrame:
@@ -147,6 +185,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--source-b")
     parser.add_argument("--votes")
     parser.add_argument("--n-boot", type=int, default=2000)
+    parser.add_argument("--source", choices=list(SOURCES), default="both", help="blocks to study")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.action == "compare":
@@ -155,7 +194,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.action == "consensus":
         consensus_of(spark, a.root, a.run, a.votes or f"{a.root}/spec_curve/votes").show(25, truncate=False)
         return
-    long, labels = spark.read.parquet(a.features), spark.read.parquet(a.labels)
+    long, labels = spark.read.parquet(a.features).where(F.col("block").isin(*SOURCES[a.source])), spark.read.parquet(a.labels)
     study = Study(spark, long, labels, Config(positive=a.positive))
     if a.action == "run":
         print(study.run(a.root, a.run))

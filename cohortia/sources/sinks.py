@@ -17,9 +17,9 @@ def write_table(df: DataFrame, root: str, run: str, kind: str, by: tuple[str, ..
     return path
 
 
-def write_config(spark: SparkSession, config: object, root: str, run: str) -> str:
-    """The whole configuration as one JSON row."""
-    text = json.dumps(dataclasses.asdict(config), sort_keys=True, default=list)
+def write_config(spark: SparkSession, config: object, root: str, run: str, **found: object) -> str:
+    """The whole configuration, and what was found with it (rows, features), as one JSON row."""
+    text = json.dumps(dataclasses.asdict(config) | {"run": run} | found, sort_keys=True, default=list)
     path = f"{root}/{run}/config"
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
