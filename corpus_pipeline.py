@@ -3,6 +3,11 @@
 STAGES: (name, function) in order. Each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's ``docs``; all but the
 last return the columns of ``documents``. Every stage works on all that its predecessor kept.
+
+Cases, for every stage: null and empty texts are documents without words, which only the first
+stage judges; rows with a null doc_id stay documents; other columns may hold nulls and have any
+name; an empty table gives no rows. Repeated rows are kept or dropped alike, but the second stage
+keeps one of them; a doc_id with several texts is several documents.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at 0.8 over five-word shingles, the one of the smallest doc_id stays."""
+    """Of documents linked at 0.8 over five-word shingles, the one of the smallest doc_id stays;
+    rows without a doc_id or words are linked with nothing. Ties can't be: texts of equal doc_id
+    are told apart."""
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
@@ -50,7 +57,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No stage but the fourth can be stated in SQL (trained scores, tokens); tests use brute force.
+#: The first stage's trained scores and the last one's tokens can't be stated in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
