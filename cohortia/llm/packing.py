@@ -32,7 +32,7 @@ from .common import table, written
 #: 200 bytes each), so many more by 64-bit hash (some 30 bytes each); with more it starts anew.
 CACHE, RARE = 100_000, 2_000_000
 #: Parts that join the hashed ones at once, and words of parts kept at hand.
-FRESH, WORDS = 50_000, 150_000
+FRESH, WORDS = 50_000, 400_000
 
 #: Parts of printable ASCII and Latin letters that lower-case and normalize letter by letter.
 _PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+")
