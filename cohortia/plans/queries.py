@@ -64,7 +64,7 @@ C = {
     "msh": "SELECT feature, avg(abs(shap)) AS mean_abs_shap FROM shap GROUP BY feature",
 }
 # Bootstrap importances: differences of class means on each resample.
-N_BOOT, TOP = 10, 8
+N_BOOT, TOP, N_PERM = 200, 8, 200
 
 
 def _draws(n: int) -> str:
@@ -257,12 +257,12 @@ def bootstrap_indices(spark, sf):
     return resample.bootstrap_counts(mart.vector_labels(spark, sf), N_BOOT, SEED)
 
 
-_PERM = f"SELECT CAST(perm AS INT) AS perm, i.id, l.y FROM (SELECT perm, id, row_number() OVER (PARTITION BY perm ORDER BY md5('{SEED}:id:' || perm || ':' || id)) AS k FROM lab, range(20) r(perm)) i JOIN (SELECT perm, y, row_number() OVER (PARTITION BY perm ORDER BY md5('{SEED}:y:' || perm || ':' || id)) AS k FROM lab, range(20) r(perm)) l USING (perm, k)"
+_PERM = f"SELECT CAST(perm AS INT) AS perm, i.id, l.y FROM (SELECT perm, id, row_number() OVER (PARTITION BY perm ORDER BY md5('{SEED}:id:' || perm || ':' || id)) AS k FROM lab, range({N_PERM}) r(perm)) i JOIN (SELECT perm, y, row_number() OVER (PARTITION BY perm ORDER BY md5('{SEED}:y:' || perm || ':' || id)) AS k FROM lab, range({N_PERM}) r(perm)) l USING (perm, k)"
 
 
 @query(sql(_PERM, "lab"))
 def permuted_labels(spark, sf):
-    return resample.permuted_labels(mart.vector_labels(spark, sf), 20, SEED)
+    return resample.permuted_labels(mart.vector_labels(spark, sf), N_PERM, SEED)
 
 
 @query(sql(f"SELECT fold, feature, {r('mean', 'sd')} FROM imp", "imp"))
@@ -340,7 +340,7 @@ def best_model(spark, sf):
 
 # --- tests -----------------------------------------------------------------------------------
 
-_BOOT = 40
+_BOOT = 2000
 _BAUC = "SELECT b, m, (sum(CASE WHEN y=1 THEN t * (below + own/2) END)) / (sum(CASE WHEN y=1 THEN t END) * sum(CASE WHEN y=0 THEN t END)) AS auc FROM (SELECT b, m, y, p, t, sum(CASE WHEN y=0 THEN t ELSE 0 END) OVER (PARTITION BY b, m ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - own AS below, own FROM (SELECT *, sum(CASE WHEN y=0 THEN t ELSE 0 END) OVER (PARTITION BY b, m, p) AS own FROM (SELECT d.b AS b, 'a' AS m, d.y, a AS p, CAST(times AS DOUBLE) AS t FROM dr d JOIN sco USING (id) UNION ALL SELECT d.b, 'b', d.y, b_ AS p, CAST(times AS DOUBLE) FROM dr d JOIN (SELECT id, b AS b_ FROM sco) USING (id)))) GROUP BY ALL"
 _OBS = "SELECT max(CASE WHEN model='a' THEN auc END) - max(CASE WHEN model='b' THEN auc END) AS observed FROM (SELECT model, (sum(CASE WHEN y=1 THEN r END) - sum(y)*(sum(y)+1)/2.0::DOUBLE) / (CAST(sum(y) AS DOUBLE)*sum(1-y)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0::DOUBLE AS r FROM pred) GROUP BY model)"
 _DIFFS = sql("SELECT b, round(max(CASE WHEN m='a' THEN auc END) - max(CASE WHEN m='b' THEN auc END), 9) AS diff FROM bauc GROUP BY b", "sco", "pos", "pred").replace(" SELECT b, round(max", f", dr AS ({_draws(_BOOT)}), bauc AS ({_BAUC}), obs AS ({_OBS}) SELECT b, round(max")
@@ -404,7 +404,7 @@ def compare_sources(spark, sf):
 @query(sql(f"SELECT {r('auc_real', 'p_value', 'perm_mean', 'perm_sd')} FROM (SELECT max(re) AS auc_real, (sum(CAST(auc >= re AS INT)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p_value, avg(auc) AS perm_mean, stddev_pop(auc) AS perm_sd FROM (SELECT perm, (sum(CASE WHEN y=1 THEN rk END) - sum(y)*(sum(y)+1)/2.0::DOUBLE) / (CAST(sum(y) AS DOUBLE)*sum(1-y)) AS auc FROM ({_PERM}) JOIN ra USING (id) GROUP BY perm) CROSS JOIN (SELECT (sum(CASE WHEN y=1 THEN rk END) - sum(y)*(sum(y)+1)/2.0::DOUBLE) / (CAST(sum(y) AS DOUBLE)*sum(1-y)) AS re FROM ra))", "sco").replace(" SELECT round(auc_real", ", ra AS (SELECT id, y, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS rk FROM sco) SELECT round(auc_real", 1).replace("JOIN ra USING (id)", "JOIN (SELECT id, rk FROM ra) USING (id)"))
 def permutation_pvalue(spark, sf):
     s = mart.scored(spark, sf)
-    perms = resample.permuted_labels(s.select("id", "y"), 20, SEED).join(s.select("id", F.col("a").alias("p")), "id")
+    perms = resample.permuted_labels(s.select("id", "y"), N_PERM, SEED).join(s.select("id", F.col("a").alias("p")), "id")
     real = metrics.roc_auc(s.withColumnRenamed("a", "p"), []).select(F.col("auc").alias("auc_real"))
     return rounded(hypothesis_tests.permutation_summary(metrics.roc_auc(perms, ["perm"]).join(F.broadcast(real))))  # one row
 
@@ -509,9 +509,8 @@ def consensus_rank(spark, sf):
 
 # --- models: results that SQL can't express --------------------------------------------------
 
+# Tree models search a part of their grids, in three by three folds; the README has the figures of the whole.
 _GRIDS = {
-    "elastic_net": [{"C": 0.05, "l1_ratio": 0.5}, {"C": 0.5, "l1_ratio": 0.1}],
-    "svm_linear": [{"C": 0.01}, {"C": 0.1}],
     "random_forest": [{"trees": 30, "depth": 3, "leaf": 3}, {"trees": 30, "depth": None, "leaf": 5}],
     "gbt": [{"trees": 20, "depth": 2, "rate": 0.1}, {"trees": 20, "depth": 3, "rate": 0.05}],
 }
@@ -523,14 +522,15 @@ def _cohort(spark, sf):
 
 def _nested(name):
     def run(spark, sf):
-        result = models.nested_cv(spark, _cohort(spark, sf), [name], 3, 3, SEED, {name: _GRIDS[name]})
+        k, grids = (3, {name: _GRIDS[name]}) if name in _GRIDS else (5, None)
+        result = models.nested_cv(spark, _cohort(spark, sf), [name], k, k, SEED, grids)
         return result.metrics.join(result.best, ["model", "fold"])
 
     run.__name__ = "nested_cv_" + {"svm_linear": "svm", "random_forest": "forest"}.get(name, name)
     return run
 
 
-for _name in _GRIDS:
+for _name in models.MODELS:
     query()(_nested(_name))
 
 
@@ -548,7 +548,7 @@ def neutral_reduction(spark, sf):
 @query()
 def stability_selection(spark, sf):
     cohort = _cohort(spark, sf)
-    n = 20
+    n = 200
     boot = models.bootstrap_importances(spark, cohort, "elastic_net", {"C": 0.1, "l1_ratio": 0.5}, n, SEED)
     return consensus.stability(boot, ["b"], max(5, int(len(cohort.features) ** 0.5)), n)
 
@@ -561,7 +561,7 @@ def tree_shap(spark, sf):
 
 @query()
 def permutation_test(spark, sf):
-    perms = models.permutation_test(spark, _cohort(spark, sf), "elastic_net", {"C": 0.1, "l1_ratio": 0.5}, 20, 3, SEED)
+    perms = models.permutation_test(spark, _cohort(spark, sf), "elastic_net", {"C": 0.1, "l1_ratio": 0.5}, N_PERM, 5, SEED)
     return hypothesis_tests.verdicts(hypothesis_tests.permutation_summary(perms))
 
 
