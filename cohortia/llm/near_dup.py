@@ -266,6 +266,21 @@ def _near_pairs(u: np.ndarray, s: np.ndarray, least: float) -> list[tuple[int, i
     return edges
 
 
+def _stars(edges: list[tuple[int, int]]) -> pd.DataFrame:
+    """The same components with an edge from each vertex to its smallest: chains would cost rounds."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    for a, b in edges:
+        a, b = find(int(a)), find(int(b))
+        root[max(a, b)] = min(a, b)
+    return pd.DataFrame([(i, find(i)) for i in root if find(i) != i], columns=["a", "b"], dtype="int64")
+
+
 def _region_edges(rows: DataFrame, least: float) -> DataFrame:
     """Edges inside each region g of rows (g, label, u, sketch)."""
 
@@ -281,7 +296,7 @@ def _region_edges(rows: DataFrame, least: float) -> DataFrame:
                 if b - a > 2:
                     edges += _near_pairs(u[a:b], _unpacked(sketches[a:b]), least)
             if edges:
-                yield pd.DataFrame(edges, columns=["a", "b"])
+                yield _stars(edges)
 
     return rows.repartition("g").sortWithinPartitions("g", "label", "u").mapInPandas(run, "a bigint, b bigint")
 
@@ -333,7 +348,8 @@ def candidate_edges(members: DataFrame, n_trees: int, least: float, shallow: int
         return edges
     known = components(edges).withColumnsRenamed({"vertex": "u", "component": "comp"})
     leaves = leaves.join(known, "u", "left").withColumn("comp", F.coalesce("comp", "u"))
-    return edges.unionByName(_stray_edges(_stray_meetings(leaves, REGION), least)).distinct()
+    settled = known.select(F.col("u").alias("a"), F.col("comp").alias("b"))
+    return settled.unionByName(_stray_edges(_stray_meetings(leaves, REGION), least)).distinct()
 
 
 def _links(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None, over: int, under: int) -> list[tuple[int, int]]:
@@ -406,14 +422,14 @@ def _compare(rows: DataFrame, shingle: int, over: int, under: int, sided: bool)
                 if len(new) > 1:
                     found += _links(u[new], list(sets[new]), side[new] if sided else None, over, under)
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+                yield _stars(found)
 
     out = rows.repartition("g").sortWithinPartitions("g", "u", "side").select("g", "u", "side", "text").mapInPandas(run, "a bigint, b bigint")
     return out.where("a <> b")
 
 
 def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links whose components are those of all links inside ``clusters`` (u, n, cluster); texts: u, text."""
+    """Edges whose components are those of all links inside ``clusters`` (u, n, cluster); texts: u, text."""
     sizes = clusters.groupBy("cluster").agg(
         F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
@@ -427,9 +443,10 @@ def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int, percent: int
     if large.isEmpty():
         return links
     known = components(links).withColumnsRenamed({"vertex": "u", "component": "comp"})
+    settled = known.select(F.col("u").alias("a"), F.col("comp").alias("b"))
     large = large.join(known, "u", "left").select(F.col("cluster").alias("group"), "blocks", "u", F.coalesce("comp", "u").alias("comp"))
     met = _stray_meetings(large, BLOCK).select("u", "g", "side")
-    return links.unionByName(_compare(texts.join(met, "u"), shingle, percent, 100, sided=True))
+    return settled.unionByName(_compare(texts.join(met, "u"), shingle, percent, 100, sided=True))
 
 
 def _answers(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
