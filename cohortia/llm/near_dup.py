@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .bloom import maybe_in
 from .common import forget, table, written
-from .components import components
+from .components import components, stars
 
 DEPTH, LEAST, REGION = 6, 4, 1024
 #: Values of a signature that its sketch has.
@@ -266,21 +266,6 @@ def _near_pairs(u: np.ndarray, s: np.ndarray, least: float) -> list[tuple[int, i
     return edges
 
 
-def _stars(edges: list[tuple[int, int]]) -> pd.DataFrame:
-    """The same components with an edge from each vertex to its smallest: chains would cost rounds."""
-    root: dict[int, int] = {}
-
-    def find(i: int) -> int:
-        while (up := root.setdefault(i, i)) != i:
-            root[i] = i = root[up]
-        return i
-
-    for a, b in edges:
-        a, b = find(int(a)), find(int(b))
-        root[max(a, b)] = min(a, b)
-    return pd.DataFrame([(i, find(i)) for i in root if find(i) != i], columns=["a", "b"], dtype="int64")
-
-
 def _region_edges(rows: DataFrame, least: float) -> DataFrame:
     """Edges inside each region g of rows (g, label, u, sketch)."""
 
@@ -296,7 +281,7 @@ def _region_edges(rows: DataFrame, least: float) -> DataFrame:
                 if b - a > 2:
                     edges += _near_pairs(u[a:b], _unpacked(sketches[a:b]), least)
             if edges:
-                yield _stars(edges)
+                yield stars(edges)
 
     return rows.repartition("g").sortWithinPartitions("g", "label", "u").mapInPandas(run, "a bigint, b bigint")
 
@@ -422,7 +407,7 @@ def _compare(rows: DataFrame, shingle: int, over: int, under: int, sided: bool)
                 if len(new) > 1:
                     found += _links(u[new], list(sets[new]), side[new] if sided else None, over, under)
             if found:
-                yield _stars(found)
+                yield stars(found)
 
     out = rows.repartition("g").sortWithinPartitions("g", "u", "side").select("g", "u", "side", "text").mapInPandas(run, "a bigint, b bigint")
     return out.where("a <> b")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortia.llm import ann_hnsw, near_dup, substring_dedup, url_filter, warc
+from cohortia.llm import components as components_module
 from cohortia.llm.components import components
 
 
@@ -25,6 +26,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("per_task", [1, 7, 60])
+def test_components_over_many_tasks(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components_module, "PER_TASK", per_task)
+    r = random.Random(per_task)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(70)] + [(200, k) for k in range(201, 260)] + [(k, k + 1) for k in range(300, 340)]
+    root = list(range(400))
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = sorted((x["vertex"], x["component"]) for x in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6)).collect())
+    assert got == sorted((v, root[v]) for v in {v for a, b in edges for v in (a, b) if a != b})
+
+
 # --- 5 near duplicates -----------------------------------------------------------------------
 
 
