@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +66,25 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             at = jvm.org.apache.hadoop.fs.Path(parent)
             at.getFileSystem(conf).delete(at, True)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def handing_back(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` of a mapInPandas, whose worker gives freed memory back to the system after each
+    batch and at the end: workers are used again and would keep the peak of every stage."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch
+            _give_back()
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(each(batches))
+        _give_back()
+
+    return whole

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, handing_back, written
 
 #: Edges contracted in one task, and vertices of the forest a task has at hand (some 100 bytes each).
 PER_TASK = 250_000
@@ -69,7 +69,7 @@ def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
                 forest = _Forest()
         yield forest.stars(roots)
 
-    return edges.coalesce(tasks).mapInPandas(run, "a bigint, b bigint")
+    return edges.coalesce(tasks).mapInPandas(handing_back(run), "a bigint, b bigint")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import maybe_in
-from .common import forget, table, written
+from .common import forget, handing_back, table, written
 from .near_dup import gram_hashes, word_hashes
 
 #: Words of a shingle (fewer in shorter windows).
@@ -66,7 +66,7 @@ def item_windows(benchmark: DataFrame, window: int, item_id: str, item_text: str
             yield pd.DataFrame(out, columns=["name", "w", "size", "k", "grams"])
 
     items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text"))
-    return items.where("name is not null").mapInPandas(run, "name string, w bigint, size int, k int, grams array<bigint>")
+    return items.where("name is not null").mapInPandas(handing_back(run), "name string, w bigint, size int, k int, grams array<bigint>")
 
 
 def _filter(grams: DataFrame, most_bytes: int) -> np.ndarray | None:
@@ -115,7 +115,7 @@ def document_shingles(rows: DataFrame, sizes: list[int], held) -> DataFrame:
                         of = row[found]
                         yield pd.DataFrame({"a": x["a"].to_numpy()[of], "b": x["b"].to_numpy()[of], "p": place[found], "gram": grams[found].view(np.int64)})
 
-    return rows.mapInPandas(run, "a bigint, b bigint, p bigint, gram bigint")
+    return rows.mapInPandas(handing_back(run), "a bigint, b bigint, p bigint, gram bigint")
 
 
 def _keys(id_col: str, text_col: str) -> dict[str, Column]:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import maybe_in
-from .common import forget, table, written
+from .common import forget, handing_back, table, written
 from .components import components, stars
 
 DEPTH, LEAST, REGION = 6, 4, 1024
@@ -170,7 +170,7 @@ def sign(docs: DataFrame, shingle: int, n_hashes: int, id_col: str, text_col: st
                 yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(object), "h": rows["h"].to_numpy(), "seq": seq, "n": n, "sig": sig})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), _text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, h bigint, seq binary, n bigint, sig binary")
+    return rows.mapInPandas(handing_back(run), f"doc_id {kind}, h bigint, seq binary, n bigint, sig binary")
 
 
 def _regions(sig: np.ndarray, tree: int) -> Iterator[np.ndarray]:
@@ -197,7 +197,7 @@ def _orders(members: DataFrame, n_trees: int, trees: int, deep: bool, sketched:
                 for t in range(trees):
                     yield pd.DataFrame(dict(zip(names, _regions(sig, t))) | {"u": x["u"].to_numpy()} | more)
 
-    return members.select("u", "sig").mapInPandas(run, ", ".join(f"{g} bigint" for g in names) + ", u bigint" + ", sketch binary" * sketched)
+    return members.select("u", "sig").mapInPandas(handing_back(run), ", ".join(f"{g} bigint" for g in names) + ", u bigint" + ", sketch binary" * sketched)
 
 
 def _crowded(rows: DataFrame, g: str) -> DataFrame:
@@ -283,7 +283,7 @@ def _region_edges(rows: DataFrame, least: float) -> DataFrame:
             if edges:
                 yield stars(edges)
 
-    return rows.repartition("g").sortWithinPartitions("g", "label", "u").mapInPandas(run, "a bigint, b bigint")
+    return rows.repartition("g").sortWithinPartitions("g", "label", "u").mapInPandas(handing_back(run), "a bigint, b bigint")
 
 
 def _stray_edges(rows: DataFrame, least: float) -> DataFrame:
@@ -303,7 +303,7 @@ def _stray_edges(rows: DataFrame, least: float) -> DataFrame:
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(run, "a bigint, b bigint")
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(handing_back(run), "a bigint, b bigint")
 
 
 def candidate_edges(members: DataFrame, n_trees: int, least: float, shallow: int | None = None) -> DataFrame:
@@ -409,7 +409,7 @@ def _compare(rows: DataFrame, shingle: int, over: int, under: int, sided: bool)
             if found:
                 yield stars(found)
 
-    out = rows.repartition("g").sortWithinPartitions("g", "u", "side").select("g", "u", "side", "text").mapInPandas(run, "a bigint, b bigint")
+    out = rows.repartition("g").sortWithinPartitions("g", "u", "side").select("g", "u", "side", "text").mapInPandas(handing_back(run), "a bigint, b bigint")
     return out.where("a <> b")
 
 
