@@ -68,15 +68,24 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+#: What a worker keeps from one task of an operator to the next.
+KEPT: dict = {}
+
+
+def _drop_kept() -> None:
+    KEPT.clear()
+
+
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
-def handing_back(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def handing_back(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], keeps: bool = False) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """``run`` of a mapInPandas, whose worker gives freed memory back to the system after each
-    batch and at the end: workers are used again and would keep the peak of every stage."""
+    batch and at the end: workers are used again and would keep the peak of every stage. What an
+    earlier operator kept in the worker is dropped, unless this one ``keeps`` it."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,6 +93,8 @@ def handing_back(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
             _give_back()
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not keeps:
+            _drop_kept()
         yield from run(each(batches))
         _give_back()
 

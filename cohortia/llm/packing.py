@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import handing_back, table, written
+from .common import KEPT, handing_back, table, written
 
 #: A worker's table of parts: so many, the first and so mostly the frequent ones, by themselves (some
 #: 200 bytes each), so many more by 64-bit hash (some 30 bytes each); with more it starts anew.
@@ -68,8 +68,6 @@ class CachedTokenizer:
     are those of its white-space-separated parts in turn; parts seen before are looked up. With
     other vocabularies texts go to the tokenizer whole."""
 
-    _held: dict[str, CachedTokenizer] = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
@@ -80,9 +78,10 @@ class CachedTokenizer:
 
     @classmethod
     def of(cls, path: str) -> CachedTokenizer:
-        if path not in cls._held:
-            cls._held = {path: cls(path)}
-        return cls._held[path]
+        if path not in KEPT:
+            KEPT.clear()
+            KEPT[path] = cls(path)
+        return KEPT[path]
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
@@ -195,7 +194,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, id_
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return written(rows.mapInPandas(handing_back(encode), f"doc_id {kind}, part int, at bigint, n bigint, ids binary"), "tokens")
+    return written(rows.mapInPandas(handing_back(encode, keeps=True), f"doc_id {kind}, part int, at bigint, n bigint, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +227,7 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, end_
             yield frame
 
     return tokens.mapInPandas(
-        handing_back(cut), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+        handing_back(cut, keeps=True), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     )
 
 
