@@ -173,6 +173,17 @@ def test_repeats_against_brute_force(documents, crowd):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_repeats_with_zero_bytes(documents, crowd):
+    r = random.Random(8)
+    passage = prose(r, 60).encode()[:100].decode("utf-8", "ignore")
+    parts = ["\0" * 120, passage, "".join(r.choice("\0a") for _ in range(110)), passage + "\0", passage + "\0\0"]
+    rows = [(1, "a" + passage + "\0"), (2, "c" + passage), (3, "b" + passage + "\0")]
+    rows += [(i, r.choice("xyz\0") + r.choice(parts) + r.choice(["", "\0", "\0\0", "q", "\0q"]) + r.choice(parts)) for i in range(10, 60)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(documents(rows), crowd=crowd).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_repeat_cases(documents):
     rows = [(1, "q" * 50 + "é" * 80), (1, "q" * 50 + "é" * 80), (2, "é" * 80 + "z")]
     out = [r.asDict() for r in substring_dedup.remove_repeats(documents(rows)).collect()]
