@@ -99,3 +99,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(
        sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (k) LEFT JOIN named USING (k)
 """
+
+#: CRC-32 byte by byte: a common table ``crc`` of its table ``t``, and the checksum of an ASCII string beside it.
+CRC_TABLE = """crc AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b: xor(crc.t[(xor(a, b) & 255) + 1], a >> 8), 4294967295))"

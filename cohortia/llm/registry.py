@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_hnsw, corpus_sql, decontaminate, license_scan, near_dup, packing, quality_crf, sharding, substring_dedup, url_filter, warc
+from . import ann_hnsw, corpus_sql, decontaminate, license_scan, near_dup, packing, prefix_trie, quality_crf, sharding, structure_repair, substring_dedup, url_filter, warc
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_url_verdicts": url_filter.op9_url_verdicts,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_structure_repair": structure_repair.op12_structure_repair,
         "pipeline": _pipeline,
     }
 
@@ -39,4 +41,6 @@ def oracles() -> dict[str, str]:
         "op8_decontaminate": corpus_sql.OP8,
         "op9_url_verdicts": url_filter.OP9_SQL,
         "op10_license_scan": license_scan.OP10_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
+        "op12_structure_repair": structure_repair.OP12_SQL,
     }
