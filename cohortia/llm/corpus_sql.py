@@ -22,30 +22,38 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
-OP5 = rf"""
+
+def _near(shingle: int, percent: int, kept: str) -> str:
+    words = [chr(ord("a") + d) for d in range(shingle)]
+    led = ", ".join(f"lead(word, {d}) OVER o AS {w}" for d, w in enumerate(words) if d)
+    return rf"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
 ), words AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs
 ), led AS (
-  SELECT doc_id, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, word AS a, {led} FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), shingles AS (
-  SELECT DISTINCT doc_id, concat_ws(' ', a, b, c) AS s FROM led WHERE c IS NOT NULL OR i = 1
+  SELECT DISTINCT doc_id, concat_ws(' ', {', '.join(words)}) AS s FROM led WHERE {words[-1]} IS NOT NULL OR i = 1
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= {percent} * (x.n + y.n - shared.n)
 ), reach(a, b) AS (
   SELECT doc_id, doc_id FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
 ), named AS (
   SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
 )
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{kept}
 FROM docs LEFT JOIN sizes USING (doc_id) JOIN named USING (doc_id)
 """
 
+
+OP5 = _near(3, 85, ", doc_id = component_id AS kept")
+OP13 = _near(4, 85, "")
+
 OP6 = """
 WITH docs AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents

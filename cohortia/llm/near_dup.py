@@ -145,7 +145,7 @@ def trees_for(threshold: float, miss: float, depth: int) -> int:
     return max(4, math.ceil(math.log(miss) / math.log(1 - min(threshold, 0.999) ** depth)))
 
 
-def _text_hash(column: str) -> Column:
+def text_hash(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column).cast("binary"), F.lit(b"")))
 
 
@@ -169,7 +169,7 @@ def sign(docs: DataFrame, shingle: int, n_hashes: int, id_col: str, text_col: st
                     sig[i] = s.tobytes()
                 yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(object), "h": rows["h"].to_numpy(), "seq": seq, "n": n, "sig": sig})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), _text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInPandas(handing_back(run), f"doc_id {kind}, h bigint, seq binary, n bigint, sig binary")
 
 
@@ -436,7 +436,7 @@ def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int, percent: int
 
 def _answers(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, h, n_shingles, component_id, kept of each row."""
-    spark, p = docs.sparkSession, percent / 100
+    p = percent / 100
     n_trees = trees_for(p, miss / 2, DEPTH)
     shallow = min(n_trees, trees_for(p, miss / 2, LEAST))
     signed = written(sign(docs, shingle, DEPTH * n_trees, id_col, text_col), "signed")
@@ -452,8 +452,15 @@ def _answers(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: s
     least_of = alone.groupBy("shingle").agg(F.min("u").alias("a"), F.count("*").alias("count")).where("count > 1").select("shingle", "a")
     edges = edges.unionByName(alone.join(least_of, "shingle").select("a", F.col("u").alias("b")).where("a <> b"))
     clusters = components(edges).withColumnsRenamed({"vertex": "u", "component": "cluster"})
+    return resolved(docs, signed, members, clusters, shingle, percent, id_col, text_col)
+
+
+def resolved(docs: DataFrame, signed: DataFrame, members: DataFrame, clusters: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h, n_shingles, component_id, kept of each row, from ``clusters`` (u, cluster), inside which
+    all links lie. ``signed`` has doc_id, h, seq, n of each row; ``members`` has u, first, h, n of each seq."""
+    spark = docs.sparkSession
     clusters = written(clusters.join(members.select("u", "first", "h", "n"), "u"), "clusters")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("first"), _text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text")).where("first is not null")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("first"), text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text")).where("first is not null")
     keyed = clusters.select(F.xxhash64("first", "h").alias("key"))
     rows = rows.where(maybe_in(keyed, "key", F.xxhash64("first", "h"), clusters.count()))
     texts = written(rows.join(clusters.select("u", "first", "h"), ["first", "h"]).select("u", "text"), "texts")
@@ -492,7 +499,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m
     counted = found.groupBy("doc_id", "h", "kept").agg(F.count("*").alias("m"), F.max("n_shingles").alias("n"))
     todo = written(counted.where("not kept or m > 1 and n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "kept"), "gone")
     # only rows that may be among those meet the joins; the others aren't shuffled
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _text_hash("text").alias("hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_hash("text").alias("hash"))
     near = maybe_in(todo.select(F.xxhash64("id", "hash").alias("key")), "key", F.xxhash64("id", "hash"), todo.count())
     some = rows.where(near)
     left = some.join(todo, ["id", "hash"], "left_anti")

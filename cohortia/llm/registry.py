@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_hnsw, corpus_sql, decontaminate, license_scan, near_dup, packing, prefix_trie, quality_crf, sharding, structure_repair, substring_dedup, url_filter, warc
+from . import ann_hnsw, corpus_sql, decontaminate, license_scan, near_dup, packing, prefix_join, prefix_trie, quality_crf, sharding, structure_repair, substring_dedup, url_filter, warc
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": license_scan.op10_license_scan,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_structure_repair": structure_repair.op12_structure_repair,
+        "op13_prefix_join": prefix_join.op13_prefix_join,
         "pipeline": _pipeline,
     }
 
@@ -43,4 +44,5 @@ def oracles() -> dict[str, str]:
         "op10_license_scan": license_scan.OP10_SQL,
         "op11_prefix_trie": prefix_trie.OP11_SQL,
         "op12_structure_repair": structure_repair.OP12_SQL,
+        "op13_prefix_join": corpus_sql.OP13,
     }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortia.llm import ann_hnsw, near_dup, substring_dedup, url_filter, warc
+from cohortia.llm import ann_hnsw, groups, near_dup, prefix_join, substring_dedup, url_filter, warc
 from cohortia.llm import components as components_module
 from cohortia.llm.components import components
 
@@ -140,6 +140,58 @@ def test_texts_of_one_repeated_word(documents, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+# --- 13 prefix join --------------------------------------------------------------------------
+
+
+def joined_rows(seed):
+    """Near copies, a family around a common passage, texts of little else than that passage."""
+    r = random.Random(seed)
+    passage = prose(r, 40)
+    rows = near_rows(seed) + [(600 + i, prose(r, r.choice([2, 6, 60])) + " " + passage) for i in range(50)]
+    for i in range(40):
+        w = passage.split()
+        w[r.randrange(len(w))] = prose(r, 1)
+        rows.append((700 + i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent", "small"), [(4, 85, False), (5, 80, True), (2, 60, False)])
+def test_prefix_join_against_brute_force(documents, monkeypatch, k, percent, small):
+    if small:  # many blocks, joins for all but the most frequent n-grams
+        monkeypatch.setattr(near_dup, "BLOCK", 4)
+        monkeypatch.setattr(groups, "HEAVY", 60)
+    rows = joined_rows(k)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.prefix_join(documents(rows), k, percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
+@pytest.mark.parametrize("k", [4, 2])
+def test_prefix_join_of_repeated_words(documents, k):
+    rows = [(10 * w + n, " ".join([word] * n)) for w, word in enumerate(["spam", "egg"]) for n in range(1, 10)]
+    rows += [(30, "spam spam spam egg"), (31, "Spam  spam spam spam SPAM spam"), (32, None), (33, "a b a b a b a b"), (34, "b a b a b a b")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.prefix_join(documents(rows), k, 85).collect()}
+    assert got == brute_components(rows, k, 85)
+
+
+def test_prefix_join_cases(documents):
+    text = "one two three four five"
+    rows = [(2, text), (1, text.title()), (2, text), (2, "another text of six words"), (None, text), (3, None), (4, " "), (5, "w " * 60_000)]
+    out = prefix_join.prefix_join(documents(rows), 4, 85)
+    assert out.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in out.collect()) == [
+        ("1", 2, "1"), ("2", 2, "1"), ("2", 2, "1"), ("2", 2, "2"), ("3", 0, "3"), ("4", 0, "4"), ("5", 1, "5"), ("None", 2, "None"),
+    ]
+    assert prefix_join.prefix_join(documents([]), 4, 85).count() == 0
+
+
+def test_an_order_cuts_clusters_by_its_own_prefixes(spark):
+    rows = [(1, 0, [5, 6], [1]), (2, 0, [6, 9], [2]), (3, 0, [9], [2]), (4, 0, [70], [2]), (5, 1, [6], [1])]
+    members = spark.createDataFrame(rows, "u bigint, cluster bigint, rare array<bigint>, other array<bigint>")
+    once = prefix_join.cut(members, "rare")
+    assert {(r["u"], r["cluster"]) for r in once.collect()} == {(1, 1), (2, 1), (3, 1)}  # 4 shares none, 5 none in its cluster
+    assert {(r["u"], r["cluster"]) for r in prefix_join.cut(once, "other").collect()} == {(2, 2), (3, 2)}
+
+
 # --- 6 repeats -------------------------------------------------------------------------------
 
 
