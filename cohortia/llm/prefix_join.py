@@ -1,10 +1,11 @@
 """Jaccard self-join of n-gram sets by prefixes under several global orders of the n-grams.
 
-Put the n-grams of all sets in any one order: sets that overlap by ``percent`` share an n-gram among
-the first ``n - ceil(percent n / 100) + 1`` of each (its prefix). That holds for every order, so
-linked sets share a prefix n-gram under each of three:
+Put the n-grams of all sets in any one order: sets that overlap by ``percent`` share k n-grams among
+the first ``n - ceil(percent n / 100) + k`` of each (its prefix), whatever k. That holds for every
+order, so linked sets share prefix n-grams under each of three:
 
-1. by hash. It needs no statistics, so all sets take part; those that share no prefix n-gram retire;
+1. by hash. It needs no statistics, so all sets take part, with k a tenth of n: those that share
+   fewer than k of a quarter of their n-grams with any others retire;
 2. of the sets that are left, by number of sets that hold the n-gram, then by hash: n-grams of one
    set come first and can't be shared, so a set with enough of them retires;
 3. by the same number, then by another hash.
@@ -46,11 +47,16 @@ from .near_dup import resolved, shingle_set, text_hash, words_of
 ROWS = 128
 
 
-def prefix_length(n: Column | int, percent: int) -> Column | int:
-    """How many n-grams of a set of n any linked set shares at least one of."""
+def prefix_length(n: Column | int, percent: int, k: Column | int = 1) -> Column | int:
+    """How many n-grams of a set of n, from its first on, any linked set shares k of at least."""
     if isinstance(n, Column):
-        return n - F.ceil(n * percent / 100) + 1
-    return n - -(-percent * n // 100) + 1
+        return n - F.ceil(n * percent / 100) + k
+    return n - -(-percent * n // 100) + k
+
+
+def least_shared(n: Column | int) -> Column | int:
+    """k of the first order: a tenth of n, one at least."""
+    return F.greatest(F.lit(1), F.floor(n / 10)) if isinstance(n, Column) else max(1, n // 10)
 
 
 def _sets(batches: Iterator[pd.DataFrame], gram: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -67,7 +73,7 @@ def sets_by_hash(docs: DataFrame, gram: int, percent: int, id_col: str, text_col
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, sets in _sets(batches, gram):
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            low = [s[: prefix_length(len(s), percent)] if len(s) else s for s in sets]
+            low = [s[: prefix_length(len(s), percent, least_shared(len(s)))] if len(s) else s for s in sets]
             seq = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(object), "h": rows["h"].to_numpy(), "seq": seq, "n": n, "low": low})
 
@@ -126,8 +132,10 @@ def clusters_of(docs: DataFrame, members: DataFrame, gram: int, percent: int, id
     """(u, cluster) of ``members`` (u, first, h, n, low), inside which all links lie; others have none."""
     low = members.select("u", F.explode("low").alias("t"))
     total = members.agg(F.sum(F.size("low"))).first()[0] or 0
-    left = written(_counted(low, _shared(low), total).select("u").distinct(), "left")
-    members = written(members.join(left, "u"), "left")
+    met = _counted(low, _shared(low), total).groupBy("u").agg(F.count("*").alias("met"))
+    left = members.join(met, "u").where(F.col("met") >= least_shared(F.col("n"))).drop("met")
+    left = written(left.withColumn("low", F.slice("low", F.lit(1), prefix_length(F.col("n"), percent).cast("int"))), "left")
+    members = left
     grams = written(full_sets(docs, members, gram, id_col, text_col), "grams")
     total = members.agg(F.sum("n")).first()[0] or 0
     ranked = by_rarity(grams, members, total, percent).join(members.select("u", "low"), "u")
