@@ -1,7 +1,10 @@
-"""Ranks with ties, and row numbers that need no single task."""
+"""Ranks with ties, prefix sums, quantiles and row numbers; those of whole tables need no single task."""
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,66 @@ def midrank(by: list[str], value: str) -> Column:
     return F.rank().over(ordered) + (F.count("*").over(tied) - 1) / F.lit(2.0)
 
 
+def below(df: DataFrame, by: list[str], value: str, sums: list[str], parts: int = 64) -> DataFrame:
+    """``df``, which has a value once in each group of ``by``, with ``<c>_below`` for each of ``sums``:
+    the sum of c over the group's smaller values.
+
+    Values are dealt into ranges of about equal rows, summed inside each (group, range); prefix
+    sums over at most ``parts`` ranges of a group do the rest, so no task sees all rows of a group."""
+    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    rows = df.join(F.broadcast(cuts))  # one row
+    rows = rows.withColumn("_b", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    starts = starts.select(*by, "_b", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    out = rows.alias("l").join(starts.alias("r"), _same([*by, "_b"]))
+    return out.select(*[F.col(f"l.{c}") for c in df.columns], *[(F.col(f"l.{c}_below") + F.col(f"r._{c}")).alias(f"{c}_below") for c in sums])
+
+
+def _same(keys: list[str]) -> Column:
+    """Equal keys of frames l and r, where null equals null."""
+    return functools.reduce(operator.and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys])
+
+
+def value_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
+    """by..., value, n (rows), ``out`` (average rank) of each distinct value of each group."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    return below(counts, by, value, ["n"]).select(*by, value, "n", (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
+
+
+def with_midrank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with average ranks of ties inside each group of ``by``, from the ranks of distinct values.
+    A value that a thousandth of all rows or more have is one of a thousand at most, which are broadcast."""
+    ranks = value_ranks(df, by, value, out)
+    total = df.agg(F.count("*").alias("_all"))
+    ranks = ranks.join(F.broadcast(total)).withColumn("_heavy", F.col("n") * 1000 >= F.col("_all"))  # one row
+    keys = [*by, value]
+    pick = lambda heavy: ranks.where(heavy).select(*keys, F.col(out).alias("_rank")).alias("r")
+    own = [F.col(f"l.{c}").alias(c) for c in df.columns]
+    found = df.alias("l").join(F.broadcast(pick(F.col("_heavy"))), _same(keys), "left").select(*own, "_rank")
+    light = found.where("_rank is null").drop("_rank").alias("l").join(pick(~F.col("_heavy")), _same(keys)).select(*own, "_rank")
+    return found.where("_rank is not null").unionByName(light).withColumnRenamed("_rank", out)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], out: str = "q") -> DataFrame:
+    """by..., ``out``: exact quantiles of each group, between neighbours in proportion; nulls don't
+    count. They are picked from the running counts of distinct values, so no buffer holds a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
+    rows = below(counts, by, value, ["n"])
+    rows = rows.alias("l").join(totals.alias("r"), _same(by)).select("l.*", "_all") if by else rows.join(F.broadcast(totals))  # one row
+    ends = []
+    for i, q in enumerate(shares):
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        holds = lambda r: (F.col("n_below") <= r) & (r < F.col("n_below") + F.col("n"))
+        ends += [F.max(F.when(holds(F.floor(place)), F.col(value))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(place)), F.col(value))).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_at{i}")]
+    # only values at a wanted place are summed
+    wanted = rows.groupBy(*by).agg(*ends)
+    return wanted.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_at{i}") for i in range(len(shares))]).alias(out))
+
+
 def normalized_rank(value: str) -> Column:
     """(midrank - 1) / (n - 1) over the whole frame, 0 where there is one row: for summary
     tables, which have one row a feature."""

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import below
+
 
 def roc_auc(scored: DataFrame, by: list[str], score: str = "p", label: str = "y", weight: str | None = None) -> DataFrame:
     """by..., auc, n_pos, n_neg; ties count half; null where a class is missing.
 
-    Rows are first summed by distinct score, so the ordered pass sees distinct scores only;
-    a weight counts a row several times (a bootstrap's multiplicity)."""
+    Rows are first summed by distinct score, and scores are passed in ranges, so that no task sees
+    all scores of a group; a weight counts a row several times (a bootstrap's multiplicity)."""
     w = F.col(weight) if weight else F.lit(1)
     sums = scored.groupBy(*by, score).agg(F.sum(w * F.col(label)).cast("double").alias("_p"), F.sum(w * (1 - F.col(label))).cast("double").alias("_n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0.0)) + F.col("_n") / 2)
-    out = sums.withColumn("_w", wins).groupBy(*by).agg(F.sum("_w").alias("_w"), F.sum("_p").cast("bigint").alias("n_pos"), F.sum("_n").cast("bigint").alias("n_neg"))
+    wins = F.col("_p") * (F.col("_n_below") + F.col("_n") / 2)
+    out = below(sums, by, score, ["_n"]).withColumn("_w", wins)
+    out = out.groupBy(*by).agg(F.sum("_w").alias("_w"), F.sum("_p").cast("bigint").alias("n_pos"), F.sum("_n").cast("bigint").alias("n_neg"))
     auc = F.col("_w") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0))
     return out.withColumn("auc", auc).drop("_w").select(*by, "auc", "n_pos", "n_neg")
 

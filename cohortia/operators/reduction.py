@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import midrank, top_k
+from ..functions.ranking import midrank, quantiles, top_k
 from ..functions.scalars import is_shape
 
 
@@ -28,8 +28,10 @@ def variance_filter(long: DataFrame, threshold: float = 0.01) -> DataFrame:
 
 
 def iqr(long: DataFrame) -> DataFrame:
-    q = F.expr("percentile(value, array(0.25D, 0.75D))")
-    return long.groupBy("feature").agg(q.alias("q")).select("feature", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    """(feature, iqr); null for a feature without values."""
+    q = quantiles(long, ["feature"], "value", [0.25, 0.75])
+    spread = q.select("feature", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    return long.select("feature").distinct().join(spread, "feature", "left")
 
 
 def select_genes(long: DataFrame, method: str = "iqr_top_pct", top_n: int = 50, top_pct: float = 0.05, threshold: float = 1000.0) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
@@ -32,13 +34,29 @@ def inner_folds(folds: DataFrame, k: int, seed: int, n_outer: int) -> DataFrame:
     return stratified_folds(outer, k, seed, ("outer",), "inner").select("outer", "id", "y", "inner")
 
 
+#: Rows that are sent whole to each task that draws from them.
+MOST_SENT = 1_000_000
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """``rows`` with pos, their places from 0 in hash order."""
+    return numbered(rows.withColumn("_h", _md5("row", F.col("id"))), [], "_h", "pos").drop("_h")
+
+
+def draws(spark: SparkSession, rows: DataFrame, n: int, which: Sequence[int], seed: int, attempt: int = 0) -> DataFrame:
+    """b, times and the columns of ``rows`` (n of them, with pos): n drawn with replacement for each b
+    of ``which``. A resample is drawn and counted in one task, so that no single draw is shuffled."""
+    which = spark.createDataFrame([(int(b),) for b in which], "b int").repartition("b")
+    key = [seed, F.col("b"), *([attempt] if attempt else []), F.col("j")]
+    every = which.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    drawn = every.select("b", draw(F.lit(n), *key).alias("pos")).groupBy("b", "pos").agg(F.count("*").alias("times"))
+    return drawn.join(F.broadcast(rows) if n <= MOST_SENT else rows, "pos").drop("pos")
+
+
 def bootstrap_counts(labels: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """(b, id, y, times): rows drawn with replacement, as many as there are."""
-    rows = numbered(labels.withColumn("_h", _md5("row", F.col("id"))), [], "_h", "pos").drop("_h")
-    n = labels.count()
-    draws = rows.select("pos").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    drawn = draws.select("b", draw(F.lit(n), seed, F.col("b"), F.col("pos")).alias("pos")).groupBy("b", "pos").agg(F.count("*").alias("times"))
-    return drawn.join(rows, "pos").select("b", "id", "y", "times")
+    rows = positions(labels.select("id", "y"))
+    return draws(labels.sparkSession, rows, labels.count(), range(n_boot), seed).select("b", "id", "y", "times")
 
 
 def usable_bootstraps(drawn: DataFrame, n_boot: int) -> DataFrame:
@@ -49,16 +67,19 @@ def usable_bootstraps(drawn: DataFrame, n_boot: int) -> DataFrame:
 
 
 def bootstraps(labels: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """``n_boot`` draws that hold both classes; draws go on until there are so many."""
+    """``n_boot`` draws that hold both classes: one that doesn't is drawn again, with its attempt in the hash."""
     if labels.select("y").distinct().count() < 2:
         raise ValueError("a bootstrap of one class never holds both")
-    n = n_boot + n_boot // 5
-    while True:
-        drawn = bootstrap_counts(labels, n, seed)
-        both = drawn.groupBy("b").agg(F.countDistinct("y").alias("k")).where("k > 1").count()
-        if both >= n_boot:
-            return usable_bootstraps(drawn, n_boot)
-        n *= 2
+    rows, n = positions(labels.select("id", "y")), labels.count()
+    wanted, attempt, out = list(range(n_boot)), 0, None
+    while wanted:
+        drawn = draws(labels.sparkSession, rows, n, wanted, seed, attempt)
+        one = drawn.groupBy("b").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi")
+        again = sorted(r["b"] for r in one.select("b").collect())  # at most n_boot numbers
+        kept = drawn.where(~F.col("b").isin(again)) if again else drawn
+        out = kept if out is None else out.unionByName(kept)
+        wanted, attempt = again, attempt + 1
+    return out.select("b", "id", "y", "times")
 
 
 def permuted_labels(labels: DataFrame, n_perm: int, seed: int) -> DataFrame:

@@ -275,7 +275,7 @@ def train_fold_standardize(spark, sf):
 
 @query(sql("SELECT model, fold, id, r AS midrank FROM mid", "mid"))
 def midrank(spark, sf):
-    return mart.predictions(spark, sf).select("model", "fold", "id", ranking.midrank(["model", "fold"], "p").alias("midrank"))
+    return ranking.with_midrank(mart.predictions(spark, sf), ["model", "fold"], "p", "midrank").select("model", "fold", "id", "midrank")
 
 
 @query(sql(f"SELECT model, fold, {r('auc')}, n_pos, n_neg FROM auc", "auc"))
@@ -341,33 +341,45 @@ def best_model(spark, sf):
 # --- tests -----------------------------------------------------------------------------------
 
 _BOOT = 2000
+
+
+def _simpson(density: Callable[[str], str], to: str) -> str:
+    """SQL: the integral of a density from 0, by 2,000 parabolas."""
+    at = f"(i / 4000.0::DOUBLE * ({to}))"
+    return f"(({to}) / 12000 * list_sum(list_transform(range(4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density(at)}))))"
+
+
+def _normal_tails(z: str) -> str:
+    return f"(1 - sqrt(2 / pi()) * {_simpson(lambda t: f'exp(-{t} * {t} / 2)', f'least(abs({z}), 40)')})"
+
+
+def _chi2_tail(x: str, df: str) -> str:
+    return f"(1 - {_simpson(lambda t: f'pow({t}, ({df}) / 2.0::DOUBLE - 1) * exp(-{t} / 2)', x)} / (pow(2, ({df}) / 2.0::DOUBLE) * gamma(({df}) / 2.0::DOUBLE)))"
+
+
 _BAUC = "SELECT b, m, (sum(CASE WHEN y=1 THEN t * (below + own/2) END)) / (sum(CASE WHEN y=1 THEN t END) * sum(CASE WHEN y=0 THEN t END)) AS auc FROM (SELECT b, m, y, p, t, sum(CASE WHEN y=0 THEN t ELSE 0 END) OVER (PARTITION BY b, m ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - own AS below, own FROM (SELECT *, sum(CASE WHEN y=0 THEN t ELSE 0 END) OVER (PARTITION BY b, m, p) AS own FROM (SELECT d.b AS b, 'a' AS m, d.y, a AS p, CAST(times AS DOUBLE) AS t FROM dr d JOIN sco USING (id) UNION ALL SELECT d.b, 'b', d.y, b_ AS p, CAST(times AS DOUBLE) FROM dr d JOIN (SELECT id, b AS b_ FROM sco) USING (id)))) GROUP BY ALL"
-_OBS = "SELECT max(CASE WHEN model='a' THEN auc END) - max(CASE WHEN model='b' THEN auc END) AS observed FROM (SELECT model, (sum(CASE WHEN y=1 THEN r END) - sum(y)*(sum(y)+1)/2.0::DOUBLE) / (CAST(sum(y) AS DOUBLE)*sum(1-y)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0::DOUBLE AS r FROM pred) GROUP BY model)"
-_DIFFS = sql("SELECT b, round(max(CASE WHEN m='a' THEN auc END) - max(CASE WHEN m='b' THEN auc END), 9) AS diff FROM bauc GROUP BY b", "sco", "pos", "pred").replace(" SELECT b, round(max", f", dr AS ({_draws(_BOOT)}), bauc AS ({_BAUC}), obs AS ({_OBS}) SELECT b, round(max")
+_OBS = "SELECT max(CASE WHEN model='b' THEN auc END) - max(CASE WHEN model='a' THEN auc END) AS observed FROM (SELECT model, (sum(CASE WHEN y=1 THEN r END) - sum(y)*(sum(y)+1)/2.0::DOUBLE) / (CAST(sum(y) AS DOUBLE)*sum(1-y)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0::DOUBLE AS r FROM pred) GROUP BY model)"
+_DIFFS = sql("SELECT b, round(max(CASE WHEN m='b' THEN auc END) - max(CASE WHEN m='a' THEN auc END), 9) AS diff FROM bauc GROUP BY b", "sco", "pos", "pred").replace(" SELECT b, round(max", f", dr AS ({_draws(_BOOT)}), bauc AS ({_BAUC}), obs AS ({_OBS}) SELECT b, round(max")
 
 
 def _paired_diffs(spark, sf):
-    s = mart.scored(spark, sf)
-    drawn = resample.usable_bootstraps(resample.bootstrap_counts(s.select("id", "y"), _BOOT, SEED), _BOOT)
-    long = drawn.select("b", "id", "times").withColumnRenamed("b", "draw").join(s, "id").unpivot(["draw", "id", "y", "times"], ["a", "b"], "m", "p")
-    own = lambda d, m: F.max(F.when(F.col("m") == m, F.col("auc")))
-    d = metrics.roc_auc(long, ["draw", "m"], weight="times").groupBy("draw").agg(F.round(own(0, "a") - own(0, "b"), 9).alias("diff"))
-    real = metrics.roc_auc(s.unpivot(["id", "y"], ["a", "b"], "m", "p"), ["m"]).agg((own(0, "a") - own(0, "b")).alias("observed"))
-    return d.join(F.broadcast(real))  # one row
+    pairs = mart.scored(spark, sf).select("id", "y", "a", "b")
+    diffs = hypothesis_tests.paired_auc_diffs(pairs, _BOOT, SEED).withColumn("diff", F.round("diff", 9))
+    return diffs.join(F.broadcast(hypothesis_tests.auc_diff(pairs)))  # one row
 
 
-@query(_DIFFS.rsplit(" SELECT b, round(max", 1)[0] + f" SELECT {r('(SELECT observed FROM obs) AS observed', 'quantile_cont(diff, 0.025) AS ci_low', 'quantile_cont(diff, 0.975) AS ci_high', 'least(1.0::DOUBLE, 2 * CASE WHEN (SELECT observed FROM obs) >= 0 THEN avg(CAST(diff <= 0 AS DOUBLE)) ELSE avg(CAST(diff >= 0 AS DOUBLE)) END) AS p_value')}, count(*) AS n FROM (SELECT b, round(max(CASE WHEN m='a' THEN auc END) - max(CASE WHEN m='b' THEN auc END), 9) AS diff FROM bauc GROUP BY b)")
+@query(_DIFFS.rsplit(" SELECT b, round(max", 1)[0] + f" SELECT {r('(SELECT observed FROM obs) AS observed', 'quantile_cont(diff, 0.025) AS ci_low', 'quantile_cont(diff, 0.975) AS ci_high', 'least(1.0::DOUBLE, 2 * CASE WHEN (SELECT observed FROM obs) >= 0 THEN avg(CAST(diff <= 0 AS DOUBLE)) ELSE avg(CAST(diff >= 0 AS DOUBLE)) END) AS p_value')}, count(*) AS n FROM (SELECT b, round(max(CASE WHEN m='b' THEN auc END) - max(CASE WHEN m='a' THEN auc END), 9) AS diff FROM bauc GROUP BY b)")
 def paired_bootstrap_auc_diff(spark, sf):
     return rounded(hypothesis_tests.bootstrap_summary(_paired_diffs(spark, sf)))
 
 
-_DIFF = _DIFFS.rsplit(" SELECT b, round(max", 1)[0] + ", df AS (SELECT round(max(CASE WHEN m='a' THEN auc END) - max(CASE WHEN m='b' THEN auc END), 9) AS diff FROM bauc GROUP BY b)"
+_DIFF = _DIFFS.rsplit(" SELECT b, round(max", 1)[0] + ", df AS (SELECT round(max(CASE WHEN m='b' THEN auc END) - max(CASE WHEN m='a' THEN auc END), 9) AS diff FROM bauc GROUP BY b)"
 
 
-@query(_DIFF + " SELECT CAST(least(floor((diff - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM (SELECT *, min(diff) OVER () AS lo, max(diff) OVER () AS hi FROM df) GROUP BY ALL")
+@query(_DIFF + " SELECT CAST(least(floor((diff - lo) / ((hi - lo) / 40)), 39) AS INT) AS bin, count(*) AS n FROM (SELECT *, min(diff) OVER () AS lo, max(diff) OVER () AS hi FROM df) GROUP BY ALL")
 def bootstrap_histogram(spark, sf):
     """Bootstrap differences of AUC in bins of equal width."""
-    return metrics.histogram(_paired_diffs(spark, sf), "diff", 20)
+    return metrics.histogram(_paired_diffs(spark, sf), "diff", 40)
 
 
 _VCOMP = "SELECT model, id, y, CASE WHEN y=1 THEN (ra - ro)/n ELSE 1 - (ra - ro)/m END AS v FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY model, y ORDER BY p) + (count(*) OVER (PARTITION BY model, y, p) - 1) / 2.0::DOUBLE AS ro, CAST(sum(y) OVER (PARTITION BY model) AS DOUBLE) AS m, CAST(sum(1-y) OVER (PARTITION BY model) AS DOUBLE) AS n FROM pred)"
@@ -378,7 +390,7 @@ def delong_components(spark, sf):
     return rounded(hypothesis_tests.delong_components(mart.scored(spark, sf).select("id", "y", "a", "b"), []))
 
 
-_DELONG = f"""SELECT {r('auc_a', 'auc_b', 'auc_a - auc_b AS diff', 'sqrt(var) AS se_diff', 'auc_a - auc_b - 1.96 * sqrt(var) AS ci_low', 'auc_a - auc_b + 1.96 * sqrt(var) AS ci_high', '(auc_a - auc_b) / sqrt(var) AS z')} FROM (
+_DELONG = f"""SELECT {r('auc_a', 'auc_b', 'auc_b - auc_a AS diff', 'sqrt(var) AS se_diff', 'auc_b - auc_a - 1.96 * sqrt(var) AS ci_low', 'auc_b - auc_a + 1.96 * sqrt(var) AS ci_high', '(auc_b - auc_a) / sqrt(var) AS z', _normal_tails('(auc_b - auc_a) / sqrt(var)') + ' AS p_value')} FROM (
  SELECT max(CASE WHEN y=1 THEN ma END) AS auc_a, max(CASE WHEN y=1 THEN mb END) AS auc_b, sum(part) AS var FROM (
   SELECT y, avg(va) AS ma, avg(vb) AS mb, (var_samp(va) + var_samp(vb) - 2 * covar_samp(va, vb)) / count(*) AS part FROM (
    SELECT id, y, max(CASE WHEN model='a' THEN v END) AS va, max(CASE WHEN model='b' THEN v END) AS vb FROM ({_VCOMP}) GROUP BY ALL) GROUP BY y))"""
@@ -389,16 +401,27 @@ def delong_test(spark, sf):
     return rounded(hypothesis_tests.delong(mart.scored(spark, sf).select("id", "y", "a", "b"), []))
 
 
-@query(sql(_DELONG.replace("SELECT round(auc_a", "SELECT (SELECT count(*) FROM sco WHERE fold <> 4) AS n_joined, (SELECT count(*) FROM sco WHERE fold <> 4 OR fold = 4) - (SELECT count(*) FROM sco WHERE fold <> 4) AS n_dropped, round(auc_a", 1).replace("FROM pred)", "FROM pred WHERE fold <> 4)"), "pred"))
+def _compared() -> str:
+    order = ", ".join([f"{n} AS ({C[n]})" for n in ("lab", "fol")] + [f"every AS ({C['sco']})", "sco AS (SELECT * FROM every WHERE fold <> 4)", f"pred AS ({C['pred']})"])
+    pos = "pos AS (SELECT id, y, row_number() OVER (ORDER BY md5('row:' || id)) - 1 AS pos FROM sco)"
+    diffs = "df AS (SELECT b, round(max(CASE WHEN m='b' THEN auc END) - max(CASE WHEN m='a' THEN auc END), 9) AS diff FROM bauc GROUP BY b)"
+    boot = r("quantile_cont(diff, 0.025) AS boot_ci_low", "quantile_cont(diff, 0.975) AS boot_ci_high", "least(1.0::DOUBLE, 2 * CASE WHEN (SELECT observed FROM obs) >= 0 THEN avg(CAST(diff <= 0 AS DOUBLE)) ELSE avg(CAST(diff >= 0 AS DOUBLE)) END) AS boot_p_value")
+    return f"""WITH {order}, {pos}, dr AS ({_draws(_BOOT)}), bauc AS ({_BAUC}), obs AS ({_OBS}), {diffs}, t AS ({_DELONG}), x AS (SELECT {boot} FROM df)
+ SELECT (SELECT count(*) FROM sco) AS n_joined, (SELECT count(*) FROM every) - (SELECT count(*) FROM sco) AS n_dropped, t.*, x.*, p_value < 0.05 AS differs_by_test, boot_ci_low > 0 OR boot_ci_high < 0 AS differs_by_interval FROM t CROSS JOIN x"""
+
+
+@query(_compared())
 def compare_sources(spark, sf):
-    """Two sources' out-of-fold tables, one of which lacks a fold: inner by id, labels checked."""
+    """Two sources' out-of-fold tables, one of which lacks a fold: inner by id, labels checked, then
+    both tests of the difference and their verdicts."""
     p = mart.predictions(spark, sf)
     one, two = p.where("model = 'a'"), p.where("model = 'b' and fold <> 4")
     pairs = align.pair_results(one, two)
     n_joined = pairs.agg(F.count("*").alias("n_joined"))
     n_one = one.agg(F.count("*").alias("n_one"))
     counts = n_joined.join(F.broadcast(n_one)).select("n_joined", (F.col("n_one") - F.col("n_joined")).alias("n_dropped"))  # one row each
-    return rounded(hypothesis_tests.delong(pairs, []).join(F.broadcast(counts)))
+    diffs = hypothesis_tests.paired_auc_diffs(pairs, _BOOT, SEED).withColumn("diff", F.round("diff", 9))
+    return rounded(hypothesis_tests.compared(pairs, diffs).join(F.broadcast(counts)))
 
 
 @query(sql(f"SELECT {r('auc_real', 'p_value', 'perm_mean', 'perm_sd')} FROM (SELECT max(re) AS auc_real, (sum(CAST(auc >= re AS INT)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p_value, avg(auc) AS perm_mean, stddev_pop(auc) AS perm_sd FROM (SELECT perm, (sum(CASE WHEN y=1 THEN rk END) - sum(y)*(sum(y)+1)/2.0::DOUBLE) / (CAST(sum(y) AS DOUBLE)*sum(1-y)) AS auc FROM ({_PERM}) JOIN ra USING (id) GROUP BY perm) CROSS JOIN (SELECT (sum(CASE WHEN y=1 THEN rk END) - sum(y)*(sum(y)+1)/2.0::DOUBLE) / (CAST(sum(y) AS DOUBLE)*sum(1-y)) AS re FROM ra))", "sco").replace(" SELECT round(auc_real", ", ra AS (SELECT id, y, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS rk FROM sco) SELECT round(auc_real", 1).replace("JOIN ra USING (id)", "JOIN (SELECT id, rk FROM ra) USING (id)"))
@@ -409,7 +432,10 @@ def permutation_pvalue(spark, sf):
     return rounded(hypothesis_tests.permutation_summary(metrics.roc_auc(perms, ["perm"]).join(F.broadcast(real))))  # one row
 
 
-@query(sql(f"SELECT {r('(12.0::DOUBLE / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)) AS h')}, df, n FROM (SELECT sum(part) AS s, CAST(sum(m) AS BIGINT) AS n, count(*) - 1 AS df FROM (SELECT grp, sum(rk) * sum(rk) / count(*) AS part, count(*) AS m FROM (SELECT grp, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS rk FROM sco) GROUP BY grp)) CROSS JOIN (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM sco GROUP BY a))", "sco"))
+_KW = "SELECT (12.0::DOUBLE / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)) AS h, df, n FROM (SELECT sum(part) AS s, CAST(sum(m) AS BIGINT) AS n, count(*) - 1 AS df FROM (SELECT grp, sum(rk) * sum(rk) / count(*) AS part, count(*) AS m FROM (SELECT grp, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS rk FROM sco) GROUP BY grp)) CROSS JOIN (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM sco GROUP BY a))"
+
+
+@query(sql(f"SELECT {r('h')}, df, n, {r(_chi2_tail('h', 'df') + ' AS p_value')} FROM ({_KW})", "sco"))
 def kruskal_wallis_h(spark, sf):
     return rounded(hypothesis_tests.kruskal_wallis(mart.scored(spark, sf), "a", "grp", []))
 

@@ -102,9 +102,8 @@ class Study:
         out["pca"] = scores.join(self.labels, "id", "left")
         if self.batches is not None:
             out["pca"] = align.with_batch(out["pca"], self.batches)
-            h = hypothesis_tests.kruskal_wallis(out["pca"], "pc1", "batch", []).first()
-            p = hypothesis_tests.chi2_upper(spark, h["h"], h["df"]) if h and h["df"] > 0 and h["h"] is not None else None
-            out["batch"] = spark.createDataFrame([(h["h"], p, p is not None and p < 0.05)], "h double, p_value double, significant boolean")
+            test = hypothesis_tests.kruskal_wallis(out["pca"], "pc1", "batch", [])
+            out["batch"] = test.select("h", "p_value", F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"))
         return out
 
 
@@ -141,24 +140,12 @@ def from_sheets(
 
 def compare_sources(spark: SparkSession, root: str, model: str, one: str, two: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """DeLong test and paired bootstrap of two sources' out-of-fold predictions of one model."""
-    from ..operators import resample
-
     own = lambda run: spark.read.parquet(f"{root}/{run}/predictions").where(F.col("model") == model)
     pairs = align.pair_results(own(one), own(two)).persist()
-    test = hypothesis_tests.delong(pairs, [])
-    drawn = resample.bootstraps(pairs.select("id", "y"), n_boot, seed)
-    long = drawn.withColumnRenamed("b", "draw").select("draw", "id", "times").join(pairs, "id").unpivot(["draw", "id", "y", "times"], ["a", "b"], "m", "p")
-    auc = metrics.roc_auc(long, ["draw", "m"], weight="times")
-    of = lambda m: F.max(F.when(F.col("m") == m, F.col("auc")))
-    diffs = auc.groupBy("draw").agg((of("a") - of("b")).alias("diff"))
-    observed = test.select(F.col("diff").alias("observed"))
+    diffs = hypothesis_tests.paired_auc_diffs(pairs, n_boot, seed)
     diffs = spark.read.parquet(sinks.write_table(diffs, root, "comparisons", f"{model}_{one}_{two}"))
-    sinks.write_table(metrics.histogram(diffs, "diff", 30), root, "comparisons", f"{model}_{one}_{two}_histogram")
-    boot = hypothesis_tests.bootstrap_summary(diffs.join(F.broadcast(observed)))  # one row
-    summary = boot.select(F.col("ci_low").alias("boot_ci_low"), F.col("ci_high").alias("boot_ci_high"), F.col("p_value").alias("boot_p_value"))
-    row = test.first()
-    out = test.join(F.broadcast(summary)).withColumn("p_value", F.lit(hypothesis_tests.delong_p(row)))  # one row
-    out = out.withColumns({"differs_by_test": F.col("p_value") < 0.05, "differs_by_interval": (F.col("boot_ci_low") > 0) | (F.col("boot_ci_high") < 0)})
+    sinks.write_table(metrics.histogram(diffs, "diff", 40), root, "comparisons", f"{model}_{one}_{two}_histogram")
+    out = hypothesis_tests.compared(pairs, diffs)
     sinks.write_table(out, root, "comparisons", f"{model}_{one}_{two}_summary")
     pairs.unpersist()
     return out
