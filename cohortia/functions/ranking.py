@@ -8,6 +8,8 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut_lineage
+
 
 def midrank(by: list[str], value: str) -> Column:
     """Average rank of ties inside each group of ``by``."""
@@ -45,18 +47,25 @@ def value_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank") ->
     return below(counts, by, value, ["n"]).select(*by, value, "n", (F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
 
 
-def with_midrank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """``df`` with average ranks of ties inside each group of ``by``, from the ranks of distinct values.
-    A value that a thousandth of all rows or more have is one of a thousand at most, which are broadcast."""
-    ranks = value_ranks(df, by, value, out)
-    total = df.agg(F.count("*").alias("_all"))
-    ranks = ranks.join(F.broadcast(total)).withColumn("_heavy", F.col("n") * 1000 >= F.col("_all"))  # one row
-    keys = [*by, value]
-    pick = lambda heavy: ranks.where(heavy).select(*keys, F.col(out).alias("_rank")).alias("r")
+def with_value(df: DataFrame, values: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``df``, of ``total`` rows, with the other columns of ``values``, which has one row for each ``keys``
+    of it and ``n``, its rows in ``df``. Keys that a thousandth of all rows or more have are a
+    thousand at most and broadcast; the others meet in a join none of whose keys has more."""
+    more = [c for c in values.columns if c not in keys and c != n]
+    heavy = F.col(n) * 1000 >= total
+    pick = lambda which: values.where(which).select(*keys, *more, F.lit(True).alias("_met")).alias("r")
     own = [F.col(f"l.{c}").alias(c) for c in df.columns]
-    found = df.alias("l").join(F.broadcast(pick(F.col("_heavy"))), _same(keys), "left").select(*own, "_rank")
-    light = found.where("_rank is null").drop("_rank").alias("l").join(pick(~F.col("_heavy")), _same(keys)).select(*own, "_rank")
-    return found.where("_rank is not null").unionByName(light).withColumnRenamed("_rank", out)
+    found = df.alias("l").join(F.broadcast(pick(heavy)), _same(keys), "left").select(*own, *more, "_met")
+    if total <= 1000:
+        return found.drop("_met")
+    light = found.where("_met is null").drop("_met", *more).alias("l").join(pick(~heavy), _same(keys)).select(*own, *more, "_met")
+    return found.where("_met is not null").unionByName(light).drop("_met")
+
+
+def with_midrank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with average ranks of ties inside each group of ``by``, from the ranks of distinct values."""
+    df = cut_lineage(df)
+    return with_value(df, value_ranks(df, by, value, out), [*by, value], "n", df.count())
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], out: str = "q") -> DataFrame:

@@ -7,21 +7,25 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import quantiles, value_ranks, with_midrank
+from ..functions.ranking import below, quantiles, value_ranks, with_value
 from ..functions.tails import chi2_tail, normal_tails
+from ..sources.sinks import cut_lineage
 from . import resample
 from .metrics import roc_auc
 
 
 def delong_components(pairs: DataFrame, by: list[str]) -> DataFrame:
     """by..., model, id, y, v: a positive's share of negatives below it, a negative's share of positives above it."""
-    long = pairs.unpivot([*by, "id", "y"], ["a", "b"], "model", "p")
+    long = cut_lineage(pairs.unpivot([*by, "id", "y"], ["a", "b"], "model", "p"))
     keys = [*by, "model"]
-    sizes = long.groupBy(*keys).agg(F.sum("y").cast("double").alias("m"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-    ranked = with_midrank(with_midrank(long, keys, "p", "all"), [*keys, "y"], "p", "own").join(F.broadcast(sizes), keys)  # a row a model and group
-    gap = F.col("all") - F.col("own")
-    v = F.when(F.col("y") == 1, gap / F.col("n")).otherwise(1 - gap / F.col("m"))
-    return ranked.select(*keys, "id", "y", v.alias("v"))
+    pos, neg = F.sum("y").cast("double"), F.sum(1 - F.col("y")).cast("double")
+    sizes = long.groupBy(*keys).agg(pos.alias("m"), neg.alias("n"))  # a row a model and group
+    scores = below(long.groupBy(*keys, "p").agg(pos.alias("pos"), neg.alias("neg"), F.count("*").alias("rows")), keys, "p", ["pos", "neg"])
+    under = (F.col("neg_below") + F.col("neg") / 2) / F.col("n")
+    over = 1 - (F.col("pos_below") + F.col("pos") / 2) / F.col("m")
+    scores = scores.join(F.broadcast(sizes), keys).select(*keys, "p", "rows", under.alias("under"), over.alias("over"))
+    v = F.when(F.col("y") == 1, F.col("under")).otherwise(F.col("over"))
+    return with_value(long, scores, [*keys, "p"], "rows", long.count()).select(*keys, "id", "y", v.alias("v"))
 
 
 def delong(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -78,11 +82,12 @@ def paired_auc_diffs(pairs: DataFrame, n_boot: int, seed: int) -> DataFrame:
     A resample without both classes is drawn again, with the attempt in its hash, until it has
     both. A resample is drawn, counted and judged in one task; one number of each, at most
     ``n_boot``, comes to the driver, which asks for the missing ones again."""
-    classes = pairs.groupBy("y").agg(F.count("*").alias("n"))
-    if classes.count() < 2:
+    spark = pairs.sparkSession
+    rows = cut_lineage(resample.positions(pairs.select("id", "y", F.col("a").alias("p_a"), F.col("b").alias("p_b"))))
+    classes = [r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()]  # two numbers
+    if len(classes) < 2:
         raise ValueError("a bootstrap of one class never holds both")
-    spark, n = pairs.sparkSession, pairs.count()
-    rows = resample.positions(pairs.select("id", "y", F.col("a").alias("p_a"), F.col("b").alias("p_b")))
+    n = sum(classes)
     wanted, found, attempt = list(range(n_boot)), [], 0
     while wanted:
         drawn = resample.draws(spark, rows, n, wanted, seed, attempt)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import midrank, quantiles, top_k
+from ..functions.ranking import quantiles, top_k, with_midrank
 from ..functions.scalars import is_shape
+from ..sources.sinks import cut_lineage
 
 
 def zscores(long: DataFrame) -> DataFrame:
@@ -49,50 +49,126 @@ def select_genes(long: DataFrame, method: str = "iqr_top_pct", top_n: int = 50,
     raise ValueError(f"unknown gene selection {method!r}")
 
 
+#: Cells of a column tile, values of a column that are worked on whole, and columns of a tile.
+TILE_CELLS, WHOLE, COLUMNS = 8_000_000, 4_000_000, 512
+
+
+def _unit(x: np.ndarray, ranks: bool) -> np.ndarray:
+    """Columns centred (their ranks, with ties in the middle) and of length 1; constant ones are missing."""
+    x = pd.DataFrame(x).rank().to_numpy() if ranks else x
+    x = x - x.mean(axis=0)
+    length = np.sqrt((x**2).sum(axis=0))
+    # what rounding leaves of a constant is no length
+    return x / np.where(length > 1e-12 * np.sqrt(len(x)) * np.maximum(np.abs(x).max(axis=0, initial=0), 1e-300), length, np.nan)
+
+
+def _tile_correlations(x: np.ndarray, y: np.ndarray, ranks: bool) -> np.ndarray:
+    """Correlations of the columns of x with those of y over the rows that both have; a column's
+    missing cells are NaN. Columns missing the same cells are worked on together."""
+    out = np.full((x.shape[1], y.shape[1]), np.nan)
+    masks = []
+    for m in (~np.isnan(x), ~np.isnan(y)):
+        kinds, of = np.unique(m, axis=1, return_inverse=True)
+        masks.append((kinds, of.ravel()))
+    (kx, ox), (ky, oy) = masks
+    for p in range(kx.shape[1]):
+        for q in range(ky.shape[1]):
+            rows = kx[:, p] & ky[:, q]
+            if rows.sum() > 1:
+                i, j = np.flatnonzero(ox == p), np.flatnonzero(oy == q)
+                out[np.ix_(i, j)] = _unit(x[np.ix_(rows, i)], ranks).T @ _unit(y[np.ix_(rows, j)], ranks)
+    return out
+
+
 def correlations(long: DataFrame, method: str = "spearman", by: tuple[str, ...] = ()) -> DataFrame:
-    """(i, j, rho) for i < j over the ids that have both values, inside each group of ``by``.
-
-    Complete features are ranked once; pairs with missing cells are ranked on what both have."""
-    cells = long.where("value is not null")
-    one = cells.select(*by, "id", F.col("feature").alias("i"), F.col("value").alias("x"))
-    two = cells.select(*by, "id", F.col("feature").alias("j"), F.col("value").alias("y"))
-    if method == "pearson":
-        pairs = one.join(two, ["id", *by]).where("i < j")
-        return pairs.groupBy(*by, "i", "j").agg(F.corr("x", "y").alias("rho"))
-    if method != "spearman":
+    """(i, j, rho) for i < j over the ids that have both values, inside each group of ``by``; null where
+    one of them is constant.
+
+    Columns are packed, one row each, and dealt into tiles; a task has two tiles of columns and
+    multiplies them, so pairs never meet in a join. Beyond ``WHOLE`` ids, rows are dealt into
+    chunks, too, whose sums are added up (``_chunked``)."""
+    if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown correlation {method!r}")
+    cells = long.where("value is not null").select(*by, "id", "feature", F.col("value").cast("double").alias("value"))
+    size = cells.groupBy(*by, "feature").agg(F.count("*").alias("n"))
+    most, n_features = size.agg(F.max("n"), F.count("*")).first()
+    if most and most > WHOLE:
+        return _chunked(cells, method, by)
+    width = max(1, min(COLUMNS, TILE_CELLS // max(most or 1, 1)))
+    packed = _tiles(cells.groupBy(*by, "feature").agg(F.collect_list("id").alias("ids"), F.collect_list("value").alias("values")), by, width, n_features)
+    ranks = method == "spearman"
+    kinds = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in by)
+
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("feature")
+        places, ids = pd.factorize(np.concatenate(list(rows["ids"])))
+        x = np.full((len(ids), len(rows)), np.nan)
+        x[places, np.repeat(np.arange(len(rows)), rows["ids"].map(len))] = np.concatenate(list(rows["values"]))
+        name, tile = rows["feature"].to_numpy(object), rows["tile"].to_numpy()
+        one, two = np.flatnonzero(tile == rows["t"].iloc[0]), np.flatnonzero(tile == rows["s"].iloc[0])
+        rho = _tile_correlations(x[:, one], x[:, two], ranks)
+        i, j = np.triu_indices(len(one), 1) if rows["t"].iloc[0] == rows["s"].iloc[0] else (g.ravel() for g in np.indices(rho.shape))
+        r = rho[i, j]
+        return pd.DataFrame({c: rows[c].iloc[0] for c in by} | {"i": name[one][i], "j": name[two][j], "rho": pd.Series(r).astype(object).where(~np.isnan(r), None)})
+
+    return packed.groupBy(*by, "t", "s").applyInPandas(products, ", ".join(filter(None, [kinds, "i string, j string, rho double"])))
+
+
+def _tiles(columns: DataFrame, by: tuple[str, ...], width: int, n_features: int) -> DataFrame:
+    """``columns`` once for each tile that theirs meets (t, s: the pair of tiles, t <= s)."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy("feature")) - 1
+    names = columns.select(*by, "feature").withColumn("tile", F.floor(n / width).cast("int"))  # names alone are numbered
+    tiles = -(-n_features // width)
+    if tiles <= 1:
+        return columns.withColumns({"tile": F.lit(0), "t": F.lit(0), "s": F.lit(0)})
+    met = columns.join(names, [*by, "feature"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    met = met.withColumns({"t": F.least("tile", "other"), "s": F.greatest("tile", "other")}).drop("other")
+    last = names.groupBy(*by).agg(F.max("tile").alias("last"))
+    met = met.join(last, list(by)) if by else met.join(F.broadcast(last))  # one row
+    return met.where("s <= last").drop("last")
+
+
+def _chunked(cells: DataFrame, method: str, by: tuple[str, ...], rows_each: int = 65_536) -> DataFrame:
+    """Correlations of columns too long for one task: sums over chunks of ids, with masks of missing cells."""
+    keys = [*by, "feature"]
     ids = cells.select(*by, "id").distinct()
-    n_ids = ids.groupBy(*by).count() if by else ids.agg(F.count("*").alias("count"))
-    full = cells.groupBy(*by, "feature").agg(F.count("*").alias("n"))
-    gaps = (full.join(n_ids, list(by)) if by else full.crossJoin(n_ids)).where("n < count").limit(1).count() > 0
-    if gaps:
-        pairs = one.join(two, ["id", *by]).where("i < j")
-        keys = [*by, "i", "j"]
-        ranked = pairs.withColumn("x", midrank(keys, "x")).withColumn("y", midrank(keys, "y"))
-        return ranked.groupBy(*keys).agg(F.corr("x", "y").alias("rho"))
-    # complete features: each id is one array of centred ranks, each task sums products of columns
-    ranked = cells.withColumn("r", midrank([*by, "feature"], "value"))
-    middle = ((F.col("n") + 1) / 2).cast("double")
-    ranked = ranked.join(full, [*by, "feature"]).select(*by, "id", F.struct("feature", (F.col("r") - middle).alias("r")).alias("c"))
-    packed = ranked.groupBy(*by, "id").agg(F.sort_array(F.collect_list("c")).alias("c")).select(*by, F.col("c.feature").alias("f"), F.col("c.r").alias("r"))
+    n_ids = ids.groupBy(*by).agg(F.count("*").alias("m")) if by else ids.agg(F.count("*").alias("m"))
+    if method == "spearman":
+        full = cells.groupBy(*keys).agg(F.count("*").alias("n"))
+        if (full.join(n_ids, list(by)) if by else full.join(F.broadcast(n_ids))).where("n < m").take(1):  # one row
+            raise ValueError(f"ranks of columns with missing cells need columns of at most {WHOLE} ids")
+        cells = with_midrank(cells, keys, "value", "rank").select(*by, "id", "feature", F.col("rank").alias("value"))
+    # centred on the column's mean, so that sums of products lose nothing
+    middle = cells.groupBy(*keys).agg(F.avg("value").alias("middle"))
+    cells = cells.join(middle, keys).select(*by, "id", "feature", (F.col("value") - F.col("middle")).alias("value"))
+    n_chunks = max(1, -(-int(n_ids.agg(F.max("m")).first()[0] or 0) // rows_each))
+    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)).cast("int"))
+    n_features = cells.select(*keys).distinct().count()
+    packed = cells.groupBy(*keys, "chunk").agg(F.collect_list("id").alias("ids"), F.collect_list("value").alias("values"))
+    names = _tiles(cells.select(*keys).distinct(), by, COLUMNS, n_features)
+    packed = packed.join(names, keys)
     kinds = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in by)
+    sums = ("n", "x", "y", "xx", "yy", "xy")
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, tuple[list[str], np.ndarray]] = {}
-        for batch in batches:
-            groups = batch.groupby(list(by), sort=False, dropna=False) if by else [((), batch)]
-            for key, rows in groups:
-                x = np.stack(rows["r"].to_numpy())
-                names, before = sums.get(key, (list(rows["f"].iloc[0]), 0.0))
-                sums[key] = names, before + x.T @ x
-        for key, (names, g) in sums.items():
-            i, j = np.triu_indices(len(names), 1)
-            own = np.array(names, object)
-            yield pd.DataFrame(dict(zip(by, key)) | {"i": own[i], "j": own[j], "xy": g[i, j], "xx": g[i, i], "yy": g[j, j]})
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("feature")
+        places, ids = pd.factorize(np.concatenate(list(rows["ids"])))
+        x, m = np.zeros((len(ids), len(rows))), np.zeros((len(ids), len(rows)))
+        at = places, np.repeat(np.arange(len(rows)), rows["ids"].map(len))
+        x[at], m[at] = np.concatenate(list(rows["values"])), 1.0
+        name, tile = rows["feature"].to_numpy(object), rows["tile"].to_numpy()
+        one, two = np.flatnonzero(tile == rows["t"].iloc[0]), np.flatnonzero(tile == rows["s"].iloc[0])
+        xa, ma, xb, mb = x[:, one], m[:, one], x[:, two], m[:, two]
+        grids = (ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa**2).T @ mb, ma.T @ xb**2, xa.T @ xb)
+        i, j = np.triu_indices(len(one), 1) if rows["t"].iloc[0] == rows["s"].iloc[0] else (g.ravel() for g in np.indices(grids[0].shape))
+        return pd.DataFrame({c: rows[c].iloc[0] for c in by} | {"i": name[one][i], "j": name[two][j]} | {k: g[i, j] for k, g in zip(sums, grids)})
 
-    parts = packed.mapInPandas(products, ", ".join(filter(None, [kinds, "i string, j string, xy double, xx double, yy double"])))
-    total = parts.groupBy(*by, "i", "j").agg(F.sum("xy").alias("xy"), F.sqrt(F.sum("xx")).alias("sx"), F.sqrt(F.sum("yy")).alias("sy"))
-    return total.select(*by, "i", "j", F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("xy") / (F.col("sx") * F.col("sy"))).alias("rho"))
+    parts = packed.groupBy(*by, "t", "s", "chunk").applyInPandas(products, ", ".join(filter(None, [kinds, "i string, j string"] + [f"{k} double" for k in sums])))
+    c = parts.groupBy(*by, "i", "j").agg(*[F.sum(k).alias(k) for k in sums]).where("n > 0")
+    n, sx, sy = F.col("n"), F.col("x"), F.col("y")
+    vx, vy = F.col("xx") - sx * sx / n, F.col("yy") - sy * sy / n
+    apart = (vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy"))
+    return c.select(*by, "i", "j", F.when(apart, (F.col("xy") - sx * sy / n) / F.sqrt(vx * vy)).alias("rho"))
 
 
 def distances(rho: DataFrame) -> DataFrame:
@@ -120,22 +196,52 @@ def average_linkage(d: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
-def clusters(long: DataFrame, threshold: float = 0.9, method: str = "spearman", by: str = "reduction_group") -> DataFrame:
-    """(by, feature, cluster): all groups in one pass, each clustered in one task (a group is a
-    block's features, some hundreds)."""
-    rho = correlations(long, method, (by,))
-    names = long.select(by, F.col("feature").alias("i"), F.col("feature").alias("j"), F.lit(1.0).alias("rho")).distinct()
+def close_components(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by..., feature, component: the smallest feature reachable over ``pairs`` (by..., i, j), by smallest
+    neighbours and pointer jumping; each round's table is cut from its lineage."""
+    both = cut_lineage(pairs.select(*by, "i", "j").unionByName(pairs.select(*by, F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    now = both.groupBy(*by, "i").agg(F.least(F.min("j"), F.first("i")).alias("c"))
+    while True:
+        near = both.join(now.withColumnRenamed("i", "j"), [*by, "j"]).groupBy(*by, "i").agg(F.min("c").alias("near"))
+        least = now.join(near, [*by, "i"]).select(*by, "i", F.least("c", "near").alias("m"), "c")
+        jump = least.select(*by, F.col("i").alias("m"), F.col("m").alias("then"))
+        then = cut_lineage(least.join(jump, [*by, "m"], "left").select(*by, "i", F.coalesce("then", "m").alias("c"), F.col("c").alias("before")))
+        now = then.drop("before")
+        if not then.where("c <> before").take(1):
+            return now.select(*by, F.col("i").alias("feature"), F.col("c").alias("component"))
+
+
+def cut_clusters(rho: DataFrame, names: DataFrame, thresholds: Sequence[float], by: str = "reduction_group") -> DataFrame:
+    """(by, threshold, feature, cluster) of ``names`` (by, feature) for every threshold, from one linkage
+    tree for each component of pairs that are close at the loosest threshold: clusters merge at a
+    mean distance within the cut only, so some pair of them is within it, and no cluster leaves
+    its component. A task has one component's pairs."""
+    loosest, cuts = min(thresholds), sorted(thresholds)
+    close = rho.where(F.abs("rho") >= loosest - 1e-12)
+    comp = close_components(close, [by])
+    inside = rho.join(comp.withColumnsRenamed({"feature": "i", "component": "component"}), [by, "i"])
+    inside = inside.join(comp.withColumnsRenamed({"feature": "j", "component": "other"}), [by, "j"]).where("component = other")
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        features = sorted(set(rows["i"]))
+        features = sorted(set(rows["i"]) | set(rows["j"]))
         at = {f: k for k, f in enumerate(features)}
         d = np.ones((len(features), len(features)))
-        for i, j, r in zip(rows["i"], rows["j"], rows["rho"]):
-            d[at[i], at[j]] = d[at[j], at[i]] = 1 - abs(r) if r == r else 1.0
-        label = average_linkage(d, 1 - threshold + 1e-12)
-        return pd.DataFrame({by: rows[by].iloc[0], "feature": features, "cluster": [features[k] for k in label]})
+        i, j = rows["i"].map(at).to_numpy(), rows["j"].map(at).to_numpy()
+        r = rows["rho"].to_numpy(float)
+        d[i, j] = d[j, i] = np.where(np.isnan(r), 1.0, 1 - np.abs(r))
+        out = [(t, f, features[k]) for t in cuts for f, k in zip(features, average_linkage(d, 1 - t + 1e-12))]
+        return pd.DataFrame(out, columns=["threshold", "feature", "cluster"]).assign(**{by: rows[by].iloc[0]})
+
+    found = inside.groupBy(by, "component").applyInPandas(cluster, f"threshold double, feature string, cluster string, {by} string")
+    every = names.select(by, "feature").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in cuts])))
+    out = every.join(found, [by, "threshold", "feature"], "left")
+    return out.select(by, "threshold", "feature", F.coalesce("cluster", "feature").alias("cluster"))
 
-    return rho.unionByName(names).groupBy(by).applyInPandas(cluster, f"{by} string, feature string, cluster string")
+
+def clusters(long: DataFrame, threshold: float = 0.9, method: str = "spearman", by: str = "reduction_group") -> DataFrame:
+    """(by, feature, cluster) of each group's features."""
+    long = cut_lineage(long.select(by, "id", "feature", "value"))
+    return cut_clusters(cut_lineage(correlations(long, method, (by,))), long, [threshold], by).drop("threshold")
 
 
 def representatives(long: DataFrame, clustered: DataFrame, by: list[str]) -> DataFrame:

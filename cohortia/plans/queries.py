@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking, scalars
 from ..operators import align, consensus, hypothesis_tests, metrics, models, multiverse, reduction, resample
 from ..sources import sheets
+from ..sources.sinks import cut_lineage
 from . import mart
 from .mart import FOLDS, SEED
 
@@ -363,7 +364,7 @@ _DIFFS = sql("SELECT b, round(max(CASE WHEN m='b' THEN auc END) - max(CASE WHEN
 
 
 def _paired_diffs(spark, sf):
-    pairs = mart.scored(spark, sf).select("id", "y", "a", "b")
+    pairs = cut_lineage(mart.scored(spark, sf).select("id", "y", "a", "b"))
     diffs = hypothesis_tests.paired_auc_diffs(pairs, _BOOT, SEED).withColumn("diff", F.round("diff", 9))
     return diffs.join(F.broadcast(hypothesis_tests.auc_diff(pairs)))  # one row
 
@@ -416,7 +417,7 @@ def compare_sources(spark, sf):
     both tests of the difference and their verdicts."""
     p = mart.predictions(spark, sf)
     one, two = p.where("model = 'a'"), p.where("model = 'b' and fold <> 4")
-    pairs = align.pair_results(one, two)
+    pairs = cut_lineage(align.pair_results(one, two))
     n_joined = pairs.agg(F.count("*").alias("n_joined"))
     n_one = one.agg(F.count("*").alias("n_one"))
     counts = n_joined.join(F.broadcast(n_one)).select("n_joined", (F.col("n_one") - F.col("n_joined")).alias("n_dropped"))  # one row each

@@ -4,10 +4,31 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the folder all executors share, and read again: what follows reads
+    fixed rows, and a lost executor costs its running tasks only. ``spark.checkpoint.dir`` names the
+    folder; where that is unset, it is one of our own if all runs on this machine, else an error."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = os.environ.get("COHORTIA_SHARED") or tempfile.mkdtemp(prefix="cohortia-")
+        os.environ["COHORTIA_SHARED"] = own
+        folder = f"file://{own}"
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, root: str, run: str, kind: str, by: tuple[str, ...] = (), format: str = "parquet") -> str:
     path = f"{root}/{run}/{kind}"
     writer = df.write.mode("overwrite")
