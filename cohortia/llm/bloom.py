@@ -4,6 +4,7 @@ a shuffle. It has no false negatives, and rows that pass still meet the join."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +17,7 @@ def _positions(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(_HASHES)]
 
 
-def maybe_in(keys: DataFrame, name: str, key: Column, n_keys: int) -> Column:
-    """A condition true for all keys of ``keys[name]`` and few others; true for all beyond ``MOST_KEYS``."""
-    if n_keys > MOST_KEYS:
-        return F.lit(True)
-    if not n_keys:
-        return F.lit(False)
-    bits = 64 * (max(64, 16 * n_keys) // 64)
+def _words(keys: DataFrame, name: str, bits: int) -> np.ndarray:
     words = (
         keys.select(F.explode(F.array(*_positions(F.col(name), bits))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("word"))
@@ -31,6 +26,38 @@ def maybe_in(keys: DataFrame, name: str, key: Column, n_keys: int) -> Column:
     got = words.toArrow()
     held = np.zeros(bits // 64, np.int64)
     held[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return held
+
+
+def _bits_for(n_keys: int) -> int:
+    return 64 * (max(64, 16 * n_keys) // 64)
+
+
+def possible(rows: DataFrame, key: Column, keys: DataFrame, name: str, n_keys: int) -> DataFrame:
+    """All rows of ``rows`` whose ``key`` is in ``keys[name]``, and few others; all beyond ``MOST_KEYS``.
+    The filter is a broadcast table of one row, so that it isn't part of the plan's text."""
+    if n_keys > MOST_KEYS:
+        return rows
+    if not n_keys:
+        return rows.limit(0)
+    bits = _bits_for(n_keys)
+    spark = rows.sparkSession
+    held = spark.createDataFrame(pa.table({"_bloom": pa.array([_words(keys, name, bits)])}))
+    at = lambda p: F.getbit(F.get("_bloom", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+    found = F.lit(True)
+    for p in _positions(key, bits):
+        found = found & at(p)
+    return rows.join(F.broadcast(held), found).drop("_bloom")  # one row
+
+
+def maybe_in(keys: DataFrame, name: str, key: Column, n_keys: int) -> Column:
+    """A condition true for all keys of ``keys[name]`` and few others; true for all beyond ``MOST_KEYS``."""
+    if n_keys > MOST_KEYS:
+        return F.lit(True)
+    if not n_keys:
+        return F.lit(False)
+    bits = _bits_for(n_keys)
+    held = _words(keys, name, bits)
     column = F.lit(bytearray(held.astype("<i8").tobytes()))
     found = F.lit(True)
     for p in _positions(key, bits):

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import maybe_in
+from .bloom import possible
 from .common import forget, handing_back, table, written
 from .components import components
 from .groups import with_group
@@ -84,7 +84,7 @@ def sets_by_hash(docs: DataFrame, gram: int, percent: int, id_col: str, text_col
 def full_sets(docs: DataFrame, members: DataFrame, gram: int, id_col: str, text_col: str) -> DataFrame:
     """u, t: every n-gram of ``members`` (u, first, h)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("first"), text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text")).where("first is not null")
-    rows = rows.where(maybe_in(members.select(F.xxhash64("first", "h").alias("key")), "key", F.xxhash64("first", "h"), members.count()))
+    rows = possible(rows, F.xxhash64("first", "h"), members.select(F.xxhash64("first", "h").alias("key")), "key", members.count())
     # rows repeated in full are one before they meet
     rows = rows.dropDuplicates(["first", "h"]).join(members.select("u", "first", "h"), ["first", "h"])
 
@@ -102,8 +102,7 @@ def _shared(grams: DataFrame) -> DataFrame:
 
 def _counted(grams: DataFrame, shared: DataFrame, total: int) -> DataFrame:
     """Rows of ``grams`` whose t is shared, with n."""
-    some = grams.where(maybe_in(shared, "t", F.col("t"), shared.count()))
-    return with_group(some, shared, ["t"], total).where("n is not null")
+    return with_group(grams, shared, ["t"], total).where("n is not null")
 
 
 def by_rarity(grams: DataFrame, members: DataFrame, total: int, percent: int) -> DataFrame:
