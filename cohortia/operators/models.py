@@ -30,12 +30,25 @@ class ModelSpec:
     kind: str  # linear or tree
     fit: Callable
     grid: tuple[tuple[str, tuple], ...]
+    shared: str | None = None  # a parameter whose values one run of ``fit_all`` serves
+    fit_all: Callable | None = None  # fits of combinations that differ in ``shared`` only
 
     def combinations(self) -> list[dict]:
         names = [k for k, _ in self.grid]
         return [dict(zip(names, v)) for v in itertools.product(*(v for _, v in self.grid))]
 
 
+    def runs(self, combos: Sequence[dict]) -> list[list[int]]:
+        """Places in ``combos`` of those that one run serves."""
+        found: dict[tuple, list[int]] = {}
+        for k, c in enumerate(combos):
+            found.setdefault((k,) if self.shared is None else tuple((n, v) for n, v in sorted(c.items()) if n != self.shared), []).append(k)
+        return list(found.values())
+
+    def fits(self, x: np.ndarray, y: np.ndarray, combos: Sequence[dict], seed: int) -> list:
+        return self.fit_all(x, y, combos, seed) if self.fit_all else [self.fit(x, y, c, seed) for c in combos]
+
+
 def _elastic_net(x, y, p, seed):
     return solvers.elastic_net(x, y, p["C"], p["l1_ratio"])
 
@@ -52,14 +65,28 @@ def _gbt(x, y, p, seed):
     return solvers.boosted_trees(x, y, int(p["trees"]), int(p["depth"]), p["rate"], seed)
 
 
+def _path(x, y, combos, seed):
+    return solvers.elastic_net_path(x, y, [c["C"] for c in combos], combos[0]["l1_ratio"])
+
+
+def _staged(fit: Callable) -> Callable:
+    """Models of fewer trees are the first trees of that of the most."""
+
+    def all_of(x, y, combos, seed):
+        whole = fit(x, y, combos[0] | {"trees": max(c["trees"] for c in combos)}, seed)
+        return [whole.first(int(c["trees"])) for c in combos]
+
+    return all_of
+
+
 # Hyper-parameter grids.
 MODELS = {
     m.name: m
     for m in (
-        ModelSpec("elastic_net", "linear", _elastic_net, (("C", (0.001, 0.01, 0.05, 0.1, 0.5, 1.0)), ("l1_ratio", (0.05, 0.1, 0.3, 0.5, 0.7, 0.9)))),
-        ModelSpec("random_forest", "tree", _forest, (("trees", (200, 500)), ("depth", (3, 5, None)), ("leaf", (1, 3, 5)))),
+        ModelSpec("elastic_net", "linear", _elastic_net, (("C", (0.001, 0.01, 0.05, 0.1, 0.5, 1.0)), ("l1_ratio", (0.05, 0.1, 0.3, 0.5, 0.7, 0.9))), "C", _path),
+        ModelSpec("random_forest", "tree", _forest, (("trees", (200, 500)), ("depth", (3, 5, None)), ("leaf", (1, 3, 5))), "trees", _staged(_forest)),
         ModelSpec("svm_linear", "linear", _svm, (("C", (0.001, 0.01, 0.1, 1.0, 10.0)),)),
-        ModelSpec("gbt", "tree", _gbt, (("trees", (100, 300)), ("depth", (2, 3, 4)), ("rate", (0.01, 0.05, 0.1)))),
+        ModelSpec("gbt", "tree", _gbt, (("trees", (100, 300)), ("depth", (2, 3, 4)), ("rate", (0.01, 0.05, 0.1))), "trees", _staged(_gbt)),
     )
 }
 
@@ -122,22 +149,23 @@ def grid_search(spark: SparkSession, cohort: Cohort, names: Sequence[str], n_out
     for r in resample.inner_folds(folds, n_inner, seed, n_outer).toLocalIterator():
         inner[r["outer"], at[r["id"]]] = r["inner"]
     grids = grids or {m: model(m).combinations() for m in names}
-    tasks = [(m, o, k, _params(c), i) for m in names for o in range(n_outer) for k, c in enumerate(grids[m]) for i in range(n_inner)]
-    held = spark.sparkContext.broadcast((cohort.x, cohort.y, inner))
+    tasks = [(m, o, i, ks) for m in names for ks in model(m).runs(grids[m]) for o in range(n_outer) for i in range(n_inner)]
+    held = spark.sparkContext.broadcast((cohort.x, cohort.y, inner, grids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, inner = held.value
+        x, y, inner, grids = held.value
         for batch in batches:
             out = []
-            for m, o, k, p, i in batch.itertuples(index=False):
+            for m, o, i, ks in batch.itertuples(index=False):
                 train, test = (inner[o] >= 0) & (inner[o] != i), inner[o] == i
-                auc = None
+                aucs = [None] * len(ks)
                 if len(set(y[train])) == 2 and len(set(y[test])) == 2:
-                    auc = auc_of(y[test], MODELS[m].fit(x[train], y[train], _clean(p), seed).proba(x[test]))
-                out.append((m, o, k, auc))
+                    made = MODELS[m].fits(x[train], y[train], [grids[m][k] for k in ks], seed)
+                    aucs = [auc_of(y[test], fit.proba(x[test])) for fit in made]
+                out += [(m, o, k, auc) for k, auc in zip(ks, aucs)]
             yield pd.DataFrame(out, columns=["model", "outer", "combo", "auc"])
 
-    scored = _spread(spark, tasks, f"model string, outer int, combo int, params {PARAMS}, inner int").mapInPandas(run, "model string, outer int, combo int, auc double")
+    scored = _spread(spark, tasks, "model string, outer int, inner int, combos array<int>").mapInPandas(run, "model string, outer int, combo int, auc double")
     mean = scored.groupBy("model", "outer", "combo").agg(F.avg("auc").alias("auc"))
     combos = spark.createDataFrame([(m, k, _params(c)) for m in names for k, c in enumerate(grids[m])], f"model string, combo int, params {PARAMS}")
     return mean.join(combos, ["model", "combo"]), outer

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, scalars
-from ..operators import align, consensus, hypothesis_tests, metrics, models, multiverse, reduction, resample
+from ..operators import align, attribution, consensus, hypothesis_tests, metrics, models, multiverse, reduction, resample
 from ..sources import sheets
 from ..sources.sinks import cut_lineage
 from . import mart
@@ -515,14 +515,26 @@ def vote_accumulate(spark, sf):
 _GRID = "SELECT data_source, gene_selection_method, exclude_shape, CAST(redundancy_corr_threshold AS DOUBLE) AS redundancy_corr_threshold FROM (VALUES ('imaging'), ('genes'), ('both')) a(data_source), (VALUES ('variance'), ('iqr_top_pct'), ('iqr_top_n')) b(gene_selection_method), (VALUES (true), (false)) c(exclude_shape), (VALUES (0.80), (0.90), (0.95)) d(redundancy_corr_threshold)"
 
 
-@query(_GRID)
+_SIZES = "s AS (SELECT count(*) FILTER (block = 'rad') AS rad, count(*) FILTER (block = 'gen') AS gen FROM (SELECT DISTINCT block, feature FROM blk))"
+_N = "CASE data_source WHEN 'imaging' THEN rad WHEN 'genes' THEN gen ELSE rad + gen END AS n_candidates"
+
+
+def _candidates(spark, sf, specs):
+    """Specifications with how many of the table's features they choose from."""
+    n = lambda b: F.countDistinct(F.when(F.col("block") == b, F.col("feature")))
+    sizes = mart.blocks(spark, sf).agg(n("rad").alias("rad"), n("gen").alias("gen"))  # one row
+    own = F.when(F.col("data_source") == "imaging", F.col("rad")).when(F.col("data_source") == "genes", F.col("gen")).otherwise(F.col("rad") + F.col("gen"))
+    return specs.join(F.broadcast(sizes)).withColumn("n_candidates", own).drop("rad", "gen")
+
+
+@query(sql("", "blk") + f", {_SIZES} SELECT g.*, {_N} FROM ({_GRID}) g CROSS JOIN s")
 def spec_grid(spark, sf):
-    return multiverse.spec_grid(spark)
+    return _candidates(spark, sf, multiverse.spec_grid(spark))
 
 
-@query(f"SELECT data_source, CASE WHEN data_source <> 'imaging' THEN gene_selection_method END AS gene_selection_method, CASE WHEN data_source <> 'genes' THEN exclude_shape END AS exclude_shape, redundancy_corr_threshold, count(*) AS multiplicity FROM ({_GRID}) GROUP BY ALL")
+@query(sql("", "blk") + f", {_SIZES} SELECT data_source, CASE WHEN data_source <> 'imaging' THEN gene_selection_method END AS gene_selection_method, CASE WHEN data_source <> 'genes' THEN exclude_shape END AS exclude_shape, redundancy_corr_threshold, count(*) AS multiplicity, any_value({_N.rsplit(' AS ', 1)[0]}) AS n_candidates FROM ({_GRID}) g CROSS JOIN s GROUP BY ALL")
 def spec_dedup(spark, sf):
-    return multiverse.distinct_specs(multiverse.spec_grid(spark))
+    return _candidates(spark, sf, multiverse.distinct_specs(multiverse.spec_grid(spark)))
 
 
 _NR = lambda c: f"CASE WHEN count(*) OVER () <= 1 THEN 0 ELSE (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE - 1) / (count(*) OVER () - 1) END"
@@ -536,21 +548,13 @@ def consensus_rank(spark, sf):
 
 # --- models: results that SQL can't express --------------------------------------------------
 
-# Tree models search a part of their grids, in three by three folds; the README has the figures of the whole.
-_GRIDS = {
-    "random_forest": [{"trees": 30, "depth": 3, "leaf": 3}, {"trees": 30, "depth": None, "leaf": 5}],
-    "gbt": [{"trees": 20, "depth": 2, "rate": 0.1}, {"trees": 20, "depth": 3, "rate": 0.05}],
-}
-
-
 def _cohort(spark, sf):
     return models.Cohort.of(mart.vectors(spark, sf), mart.vector_labels(spark, sf))
 
 
 def _nested(name):
     def run(spark, sf):
-        k, grids = (3, {name: _GRIDS[name]}) if name in _GRIDS else (5, None)
-        result = models.nested_cv(spark, _cohort(spark, sf), [name], k, k, SEED, grids)
+        result = models.nested_cv(spark, _cohort(spark, sf), [name], 5, 5, SEED)
         return result.metrics.join(result.best, ["model", "fold"])
 
     run.__name__ = "nested_cv_" + {"svm_linear": "svm", "random_forest": "forest"}.get(name, name)
@@ -582,8 +586,8 @@ def stability_selection(spark, sf):
 
 @query()
 def tree_shap(spark, sf):
-    result = models.nested_cv(spark, _cohort(spark, sf), ["random_forest"], 3, 2, SEED, {"random_forest": _GRIDS["random_forest"][:1]})
-    return consensus.mean_abs(result.attributions)
+    """Mean attributions of the boosted trees that a whole grid search chose in each fold."""
+    return consensus.mean_abs(models.nested_cv(spark, _cohort(spark, sf), ["gbt"], 5, 5, SEED).attributions)
 
 
 @query()
@@ -592,13 +596,39 @@ def permutation_test(spark, sf):
     return hypothesis_tests.verdicts(hypothesis_tests.permutation_summary(perms))
 
 
+def _curve(spark, sf):
+    """All 54 specifications by both models, 5 folds, 200 trees."""
+    return multiverse.spec_curve(spark, mart.aligned(spark, sf), mart.binary_labels(spark, sf), multiverse.spec_grid(spark))
+
+
 @query()
 def spec_curve(spark, sf):
-    long = mart.aligned(spark, sf)
-    grid = {"data_source": ("both",), "gene_selection_method": ("iqr_top_n",), "exclude_shape": (True, False), "redundancy_corr_threshold": (0.9,)}
-    return multiverse.spec_curve(spark, long, mart.binary_labels(spark, sf), multiverse.spec_grid(spark, grid), ("tree",), 3, trees=20)["curve"]
+    return _curve(spark, sf)["curve"]
 
 
 @query()
 def pca_scores(spark, sf):
-    return multiverse.pca_scores(spark, _cohort(spark, sf))
+    return multiverse.pca(mart.vectors(spark, sf))
+
+
+@query("SELECT count(*) AS n, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2, 0.0::DOUBLE AS corr, 0.0::DOUBLE AS gap1, 0.0::DOUBLE AS gap2, true AS falling FROM embeddings")
+def pca_invariants(spark, sf):
+    """Components are centred and uncorrelated, and each one's variance is its share of all features'."""
+    scores = multiverse.pca(mart.vectors(spark, sf))
+    width = mart.vectors(spark, sf).select("feature").distinct().count()
+    gap = lambda k: F.var_pop(f"pc{k}") / width - F.max(f"explained{k}")
+    return rounded(
+        scores.agg(F.count("*").alias("n"), F.avg("pc1").alias("mean1"), F.avg("pc2").alias("mean2"), F.corr("pc1", "pc2").alias("corr"), gap(1).alias("gap1"), gap(2).alias("gap2"), (F.max("explained1") >= F.max("explained2")).alias("falling"))
+    )
+
+
+@query(sql(f"SELECT id, feature, {r('value', 'shap')} FROM shap JOIN vec USING (id, feature) WHERE feature IN (SELECT feature FROM msh ORDER BY mean_abs_shap DESC, feature LIMIT 3)", "shap", "msh", "vec"))
+def beeswarm(spark, sf):
+    """Each row's value beside its attribution, of the three features of the largest mean attribution."""
+    return rounded(attribution.beeswarm(_shap(spark, sf), mart.vectors(spark, sf), 3))
+
+
+@query()
+def dependence(spark, sf):
+    """Value and attribution of the top three features beside the value of the one they interact with most."""
+    return rounded(attribution.dependence(_shap(spark, sf), mart.vectors(spark, sf), 3))

@@ -98,7 +98,7 @@ class Study:
         summary = hypothesis_tests.verdicts(hypothesis_tests.permutation_summary(perms))
         sinks.write_table(summary, root, run, "permutation_summary")
         out = {"permutation": summary, "permutation_histogram": metrics.histogram(perms, "auc", 20)}
-        scores = multiverse.pca_scores(spark, self.cohort())
+        scores = multiverse.pca(self.reduced())
         out["pca"] = scores.join(self.labels, "id", "left")
         if self.batches is not None:
             out["pca"] = align.with_batch(out["pca"], self.batches)
