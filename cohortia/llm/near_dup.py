@@ -1,15 +1,17 @@
 """Near duplicates by an LSH forest.
 
 Texts are sets of word shingles with a MinHash signature, cut into trees of ``DEPTH`` values. A
-tree orders documents by its values (the label); what shares a prefix of labels is a region.
-The first ``shallow`` trees are cut at ``LEAST`` values. Where that leaves more than ``REGION``
-documents in a region, the documents in it descend: in all trees they lie in the longest
-regions, of ``LEAST`` to ``DEPTH`` common values, that hold ``REGION`` documents at most. Regions
-that stay crowded at full depth are dealt into blocks; documents that lie in the region's largest
-cluster after that need no further comparison with each other, and all others (strays) meet
-every block of the region, so that nothing is capped. In a region, neighbours by common prefix
-are tried first, and every pair whose sketches (four bits of each value) are near ends in one
-cluster.
+tree's order is the documents sorted by their labels, its values as big-endian bytes. Orders are
+dealt by ranges of labels, so neighbours in a task are those of the longest common prefix; a run of
+neighbours that share d values or more is a region of depth d, and parts of a run in several tasks
+are added up. In the first ``shallow`` trees regions have ``LEAST`` values. Where that leaves more
+than ``REGION`` documents in a region, the documents in it descend: in all trees they lie in the
+longest regions, of ``LEAST`` to ``DEPTH`` common values, that hold ``REGION`` documents at most.
+Regions that stay crowded at full depth are dealt into blocks; documents that lie in the region's
+largest cluster after that need no further comparison with each other, and all others (strays) meet
+every block of the region, so that nothing is capped. In a region, documents stand in the order of
+labels: neighbours of the longest common prefix are tried first, and every pair whose sketches
+(four bits of each value) are near ends in one cluster.
 
 A link at the threshold misses all regions of LEAST values in the shallow trees, or all of DEPTH
 values in the whole forest, with odds of at most ``miss / 2`` each; the number of trees follows
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -173,37 +175,59 @@ def sign(docs: DataFrame, shingle: int, n_hashes: int, id_col: str, text_col: st
     return rows.mapInPandas(handing_back(run), f"doc_id {kind}, h bigint, seq binary, n bigint, sig binary")
 
 
-def _regions(sig: np.ndarray, tree: int) -> Iterator[np.ndarray]:
-    """Names of a tree's regions: the label's prefixes of LEAST values, LEAST + 1, and so on."""
-    h = np.full(len(sig), tree + 1, np.uint64)
-    for d in range(DEPTH):
-        h = _mixed(h * _BASE + sig[:, DEPTH * tree + d].astype(np.uint64) + np.uint64(d))
-        if d + 1 >= LEAST:
-            yield h.view(np.int64)
-
-
-def _orders(members: DataFrame, n_trees: int, trees: int, deep: bool, sketched: bool = True) -> DataFrame:
-    """A row for each member and each of the first ``trees`` trees: u, sketch, and its region of
-    LEAST values (g4), if ``deep`` those of more values, too (g5, ...)."""
-    names = [f"g{d}" for d in range(LEAST, DEPTH + 1)][: None if deep else 1]
+def _orders(members: DataFrame, n_trees: int, trees: int, sketched: bool = True) -> DataFrame:
+    """A row for each member and each of the first ``trees`` trees: label (two bytes of the tree, then
+    its values, big-endian), u and sketch; labels alone unless ``sketched``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 1024):
                 x = batch.iloc[start : start + 1024]
                 width = len(x["sig"].iloc[0]) // (DEPTH * n_trees)  # bytes of a value
-                sig = np.frombuffer(b"".join(x["sig"]), f"<u{width}").reshape(len(x), -1)
-                more = {"sketch": [s.tobytes() for s in _sketch(sig)]} if sketched else {}
+                sig = np.frombuffer(b"".join(x["sig"]), f"<u{width}").reshape(len(x), -1).astype(f">u{width}")
+                more = {"u": x["u"].to_numpy(), "sketch": [s.tobytes() for s in _sketch(sig)]} if sketched else {}
                 for t in range(trees):
-                    yield pd.DataFrame(dict(zip(names, _regions(sig, t))) | {"u": x["u"].to_numpy()} | more)
+                    own = np.ascontiguousarray(sig[:, DEPTH * t : DEPTH * (t + 1)])
+                    yield pd.DataFrame({"label": [t.to_bytes(2, "big") + v.tobytes() for v in own]} | more)
+
+    return members.select("u", "sig").mapInPandas(handing_back(run), "label binary" + ", u bigint, sketch binary" * sketched)
+
+
+def _prefix(label: str, values: int, width: int) -> Column:
+    return F.substring(label, 1, 2 + values * width)
+
 
-    return members.select("u", "sig").mapInPandas(handing_back(run), ", ".join(f"{g} bigint" for g in names) + ", u bigint" + ", sketch binary" * sketched)
+def common_values(labels: list[bytes], width: int) -> np.ndarray:
+    """Of each label and the next, how many leading values are equal; -1 in different trees."""
+    x = np.frombuffer(b"".join(labels), np.uint8).reshape(len(labels), -1)
+    differ = x[1:] != x[:-1]
+    equal = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
+    return np.where(equal < 2, -1, (equal - 2) // width)
 
 
-def _crowded(rows: DataFrame, g: str) -> DataFrame:
-    """(g, blocks) of the regions with more than REGION rows; counts are combined before the shuffle."""
-    count = rows.groupBy(g).agg(F.count("*").alias("count")).where(F.col("count") > REGION)
-    return count.select(g, F.ceil(F.col("count") / REGION).cast("int").alias("blocks"))
+def crowded_regions(orders: DataFrame, depths: Sequence[int], width: int) -> DataFrame:
+    """(depth, prefix, blocks) of the regions of ``depths`` values with more than REGION labels.
+
+    Labels are sorted over tasks of ranges; a run of neighbours with d common values that doesn't
+    touch the end of a batch is a whole region, which leaves the task only if it is crowded."""
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            labels = list(batch["label"])
+            if not labels:
+                continue
+            common, out = common_values(labels, width), []
+            for d in depths:
+                begin = np.concatenate([[0], np.flatnonzero(common < d) + 1])
+                size = np.diff(np.append(begin, len(labels)))
+                told = size > REGION
+                told[[0, -1]] = True
+                out += [(d, labels[i][: 2 + d * width], int(n)) for i, n in zip(begin[told].tolist(), size[told])]
+            yield pd.DataFrame(out, columns=["depth", "prefix", "n"])
+
+    parts = orders.select("label").repartitionByRange("label").sortWithinPartitions("label").mapInPandas(handing_back(runs), "depth int, prefix binary, n bigint")
+    total = parts.groupBy("depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > REGION)
+    return total.select("depth", "prefix", F.ceil(F.col("n") / REGION).cast("int").alias("blocks"))
 
 
 def _stray_meetings(rows: DataFrame, most: int) -> DataFrame:
@@ -312,23 +336,31 @@ def candidate_edges(members: DataFrame, n_trees: int, least: float, shallow: int
     ``members`` (u, sig) has DEPTH * n_trees values of 2 or 4 bytes; regions of LEAST values are
     made in the first ``shallow`` trees."""
     shallow = shallow or n_trees
-    crowded = written(_crowded(_orders(members, n_trees, shallow, deep=False, sketched=False), "g4"), "crowded")
-    rows = _orders(members, n_trees, shallow, deep=False)
+    first = members.select(F.octet_length("sig").alias("n")).first()
+    width = first["n"] // (DEPTH * n_trees) if first else 2
+    region = lambda d: F.xxhash64(_prefix("label", d, width))
+    labels = written(_orders(members, n_trees, shallow, sketched=False), "labels")  # read twice: ranges are sampled
+    crowded = written(crowded_regions(labels, [LEAST], width).select("prefix"), "crowded")
+    forget(members.sparkSession, labels)
+    rows = _orders(members, n_trees, shallow).withColumn("prefix", _prefix("label", LEAST, width))
     if crowded.isEmpty():
-        return _region_edges(rows.select(F.col("g4").alias("g"), F.lit(0).alias("label"), "u", "sketch"), least).where("a <> b").distinct()
-    descend = _orders(members, n_trees, shallow, deep=False, sketched=False).join(crowded, "g4", "left_semi").select("u").distinct()
-    deep = written(_orders(members.join(descend, "u", "left_semi"), n_trees, n_trees, deep=True), "deep")
-    # the longest region of few rows: names of deeper regions tell their shorter prefixes, too
+        return _region_edges(rows.select(region(LEAST).alias("g"), "label", "u", "sketch"), least).where("a <> b").distinct()
+    descend = rows.select("prefix", "u").join(crowded, "prefix", "left_semi").select("u").distinct()
+    deep = written(_orders(members.join(descend, "u", "left_semi"), n_trees, n_trees), "deep")
+    depths = range(LEAST, DEPTH + 1)
+    found = written(crowded_regions(deep, depths, width), "crowded")
+    # the longest region of few rows: in depth order, the first prefix that isn't crowded
     placed, g = deep, F.lit(None).cast("bigint")
-    for d in range(LEAST, DEPTH + 1):
-        placed = placed.join(written(_crowded(deep, f"g{d}"), "crowded").withColumnRenamed("blocks", f"blocks{d}"), f"g{d}", "left")
-        g = F.coalesce(g, F.when(F.col(f"blocks{d}").isNull(), F.col(f"g{d}")))
-    last, blocks = f"g{DEPTH}", f"blocks{DEPTH}"
+    for d in depths:
+        own = found.where(F.col("depth") == d).select(F.col("prefix").alias(f"p{d}"), F.col("blocks").alias(f"blocks{d}"))
+        placed = placed.withColumn(f"p{d}", _prefix("label", d, width)).join(own, f"p{d}", "left")
+        g = F.coalesce(g, F.when(F.col(f"blocks{d}").isNull(), region(d)))
+    last, blocks = region(DEPTH), f"blocks{DEPTH}"
     block = F.pmod(F.xxhash64("u", last), F.col(blocks)).cast("int")
-    placed = placed.withColumn("g", F.coalesce(g, F.xxhash64(last, block)))
-    small = rows.join(crowded, "g4", "left_anti").select(F.col("g4").alias("g"), F.lit(0).cast("bigint").alias("label"), "u", "sketch")
-    edges = written(_region_edges(small.unionByName(placed.select("g", F.col(last).alias("label"), "u", "sketch")), least).where("a <> b").distinct(), "edges")
-    leaves = placed.where(g.isNull()).select(F.col(last).alias("group"), F.col(blocks).alias("blocks"), "u", "sketch")
+    placed = placed.withColumns({"few": g, "last": last}).withColumn("g", F.coalesce("few", F.xxhash64("last", block)))
+    small = rows.join(crowded, "prefix", "left_anti").select(region(LEAST).alias("g"), "label", "u", "sketch")
+    edges = written(_region_edges(small.unionByName(placed.select("g", "label", "u", "sketch")), least).where("a <> b").distinct(), "edges")
+    leaves = placed.where("few is null").select(F.col("last").alias("group"), F.col(blocks).alias("blocks"), "u", "sketch")
     if leaves.isEmpty():
         return edges
     known = components(edges).withColumnsRenamed({"vertex": "u", "component": "comp"})

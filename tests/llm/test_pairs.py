@@ -103,6 +103,27 @@ def _edges(spark, sig, least, n_trees):
     return {r["vertex"]: r["component"] for r in components(spark.createDataFrame([(r["a"], r["b"]) for r in found], "a bigint, b bigint")).collect()}
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_common_prefixes_of_neighbours_make_regions(spark, monkeypatch, batch):
+    """Regions and their depths follow from the sorted labels alone, however they are dealt."""
+    monkeypatch.setattr(near_dup, "REGION", 5)
+    r = random.Random(3)
+    width, depths = 2, range(near_dup.LEAST, near_dup.DEPTH + 1)
+    labels = [bytes([0, r.randrange(2)]) + bytes(v for _ in range(near_dup.DEPTH) for v in (0, r.choice([1, 1, 1, 1, 2]))) for _ in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = near_dup.crowded_regions(spark.createDataFrame([(x,) for x in labels], "label binary").repartition(3), depths, width).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for d in depths:
+        for x in labels:
+            want.setdefault((d, x[: 2 + d * width]), []).append(x)
+    assert {(x["depth"], bytes(x["prefix"]), x["blocks"]) for x in got} == {(d, p, -(-len(v) // 5)) for (d, p), v in want.items() if len(v) > 5}
+    pairs = [bytes([0, 1, 0, 7, 0, 8]), bytes([0, 1, 0, 7, 0, 9]), bytes([0, 2, 0, 7, 0, 9])]
+    assert near_dup.common_values(pairs, 2).tolist() == [1, -1]
+
+
 def test_crowded_regions_lose_no_pair(spark, monkeypatch):
     """Pairs that share the first four values, but no whole label, of a region that is crowded."""
     monkeypatch.setattr(near_dup, "REGION", 8)
