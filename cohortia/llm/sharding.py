@@ -54,45 +54,40 @@ def shard_documents(
 ) -> DataFrame:
     """Shard, gapless slot in the shard, and the shard if there were one more.
 
-    A shard may hold any share of the table, so slots aren't numbered by one task a shard:
-    rows are numbered inside (shard, hash bucket) groups of about ``rows_per_bucket /
-    n_shards`` rows, and prefix sums of the group counts give where each group starts.
+    A shard may hold any share of the table, so slots aren't numbered by one task a shard: rows
+    equal in id, size and checksum are counted first, before the shuffle; those groups are numbered
+    inside (shard, hash bucket) groups of about ``rows_per_bucket / n_shards`` rows, prefix sums of
+    the bucket counts give where each starts, and equal rows take the following slots each.
     """
     n = docs.count()
     buckets = max(1, math.ceil(n / rows_per_bucket))
     text = whole_text(text_col)
-    key = F.col(id_col)
+    key = F.col("doc_id")
     if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int"):
         key = key.cast("bigint")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        jump_shard(key, n_shards).alias("shard"),
-        jump_shard(key, n_shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"),
-    )
-    counts = (
-        docs.select(
-            jump_shard(key, n_shards).alias("shard"),
-            F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"),
-        )
-        .groupBy("shard", "bucket")
-        .count()
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    equal = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("m")).withColumns(
+        {
+            "shard": jump_shard(key, n_shards),
+            "grown_shard": jump_shard(key, n_shards + 1),
+            "bucket": F.pmod(F.xxhash64(key, F.lit("bucket"), "size", "text_crc32"), F.lit(buckets)).cast("int"),
+        }
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = equal.groupBy("shard", "bucket").agg(F.sum("m").alias("count"))
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("at", F.row_number().over(inside) - 1)
+        equal.withColumn("at", F.coalesce(F.sum("m").over(inside), F.lit(0)))
         .join(starts, ["shard", "bucket"])
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
         .select(
             "doc_id",
             "size",
             "text_crc32",
             F.lit("key").alias("law"),
             "shard",
-            (F.col("start") + F.col("at")).cast("bigint").alias("slot"),
+            (F.col("start") + F.col("at") + F.col("copy")).cast("bigint").alias("slot"),
             "grown_shard",
         )
     )

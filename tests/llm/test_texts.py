@@ -156,6 +156,20 @@ def test_decontamination_against_brute_force(spark, documents, block_bytes):
 # --- 7 sharding ------------------------------------------------------------------------------
 
 
+def test_one_id_for_all_rows_is_no_hot_group(spark, documents):
+    """Rows of one id are numbered by their texts' checksums, equal rows by their count."""
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 200 + [(7, f"t{i}") for i in range(100)]
+    docs = documents(rows).repartition(4)
+    out = sharding.shard_documents(docs, 3, rows_per_bucket=30).collect()
+    assert len(out) == 600
+    for k in range(3):
+        own = [r["slot"] for r in out if r["shard"] == k]
+        assert sorted(own) == list(range(len(own)))
+    assert len({r["shard"] for r in out if r["doc_id"] == 7}) == 1 and len({r["shard"] for r in out if r["doc_id"] is None}) == 1
+    again = sharding.shard_documents(docs.repartition(7), 3, rows_per_bucket=30).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
