@@ -10,7 +10,8 @@ least its worst. Fitting uses at most ``FitBound.per_class`` labelled documents
 at most ``FitBound.lines`` lines, lowest hash of doc_id first; everything is scored in full.
 
 Cases: null and empty texts are one empty line; a text of any length is scored whole; repeated
-rows get equal scores; repeated labels count once (the larger quality); a null doc_id isn't
+rows get equal scores; repeated labels count once (the larger quality); of an id's several texts the fit sees that of the
+smallest hash, and each is scored by itself; a null doc_id isn't
 held out; without labels of both classes each score is 0.5; an empty table gives no rows;
 further columns aren't read.
 """
@@ -280,7 +281,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: FitBound = FitBound()
         .join(F.broadcast(sample), "doc_id")
         .where(F.length(F.regexp_replace("text", r"[^\n]+", "")) < bound.lines)
         .select("doc_id", "y", F.col("text").cast("binary").alias("text"))
-        .dropDuplicates(["doc_id"])
+        # of an id's texts the one of the smallest hash, whatever the order of rows
+        .groupBy("doc_id", "y")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     )
     got = sorted(((r["doc_id"], r["y"], bytes(r["text"])) for r in rows.toLocalIterator()), key=lambda r: r[:2])
     if not got:

@@ -153,6 +153,19 @@ def test_decontamination_against_brute_force(spark, documents, block_bytes):
     assert dec.decontaminate(documents([]), empty).count() == 0
 
 
+def test_quality_of_ids_with_two_texts_ignores_the_order_of_rows(spark, documents):
+    r = random.Random(2)
+    good = [(i, text(i, 30) + ".\nA line that ends well.") for i in range(0, 40)]
+    bad = [(i, "BUY!! NOW!! " * r.randint(3, 9)) for i in range(40, 80)]
+    rows = good + bad + [(i, "BUY!! " * 20) for i in range(0, 40, 2)] + [(i, text(i, 20)) for i in range(40, 80, 3)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id bigint, quality int")
+    got = []
+    for at in (rows, rows[::-1]):
+        out = quality_crf.score_quality(documents(at).repartition(3), labels).collect()
+        got.append(sorted((x["doc_id"], round(x["score"], 12)) for x in out))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 # --- 7 sharding ------------------------------------------------------------------------------
 
 
