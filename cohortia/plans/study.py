@@ -58,7 +58,8 @@ class Study:
         """Reduction, nested cross-validation, pooled metrics, stability, attributions. The best
         model is chosen by pooled out-of-fold AUC and then reported on it: an optimistic figure."""
         c, spark = self.config, self.spark
-        write = lambda df, kind, *by: sinks.write_table(df, root, run, kind, by)
+        manifest = sinks.Manifest(spark, root, run)
+        write = manifest.write
         write(self.long, "features")
         write(self.reduced(), "reduced")
         cohort = self.cohort()
@@ -79,7 +80,9 @@ class Study:
         write(shap, "shap")
         write(consensus.mean_abs(shap), "shap_importance")
         size = lambda df: df.select("feature").distinct().count()
-        sinks.write_config(spark, c, root, run, n_ids=self.long.select("id").distinct().count(), n_features=size(self.long), n_reduced=len(cohort.features), best_model=best)
+        path = sinks.write_config(spark, c, root, run, n_ids=self.long.select("id").distinct().count(), n_features=size(self.long), n_reduced=len(cohort.features), best_model=best)
+        manifest.commit("config", path)
+        manifest.close()
         return {"best_model": best, "params": params}
 
     @staticmethod
@@ -90,8 +93,8 @@ class Study:
     def diagnose(self, root: str, run: str) -> dict[str, DataFrame]:
         """Permutation test of the best model with its fixed parameters, and the batch check."""
         c, spark = self.config, self.spark
-        best = spark.read.parquet(f"{root}/{run}/pooled").orderBy(F.desc("pooled_oof_auc"), "model").first()["model"]
-        params = self.majority(spark.read.parquet(f"{root}/{run}/params"), best)
+        best = spark.read.parquet(sinks.whole_table(spark, root, run, "pooled")).orderBy(F.desc("pooled_oof_auc"), "model").first()["model"]
+        params = self.majority(spark.read.parquet(sinks.whole_table(spark, root, run, "params")), best)
         perms = models.permutation_test(spark, self.cohort(), best, params, c.n_permutations, c.permutation_folds, c.seed)
         sinks.write_table(perms, root, run, "permutations")
         perms = spark.read.parquet(f"{root}/{run}/permutations")
@@ -140,7 +143,7 @@ def from_sheets(
 
 def compare_sources(spark: SparkSession, root: str, model: str, one: str, two: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """DeLong test and paired bootstrap of two sources' out-of-fold predictions of one model."""
-    own = lambda run: spark.read.parquet(f"{root}/{run}/predictions").where(F.col("model") == model)
+    own = lambda run: spark.read.parquet(sinks.whole_table(spark, root, run, "predictions")).where(F.col("model") == model)
     pairs = align.pair_results(own(one), own(two)).persist()
     diffs = hypothesis_tests.paired_auc_diffs(pairs, n_boot, seed)
     diffs = spark.read.parquet(sinks.write_table(diffs, root, "comparisons", f"{model}_{one}_{two}"))
@@ -153,7 +156,7 @@ def compare_sources(spark: SparkSession, root: str, model: str, one: str, two: s
 
 def consensus_of(spark: SparkSession, root: str, run: str, votes: str, catalog: DataFrame | None = None) -> DataFrame:
     """Feature consensus of a run's stable features and attributions with votes of a specification curve."""
-    path = (lambda kind: sheets.artifact_path(catalog, run, kind, "best")) if catalog is not None else (lambda kind: f"{root}/{run}/{kind}")
+    path = (lambda kind: sheets.artifact_path(catalog, run, kind, "best")) if catalog is not None else (lambda kind: sinks.whole_table(spark, root, run, kind))
     out = consensus.consensus(spark.read.parquet(path("stable")), spark.read.parquet(path("shap_importance")), spark.read.parquet(votes))
     sinks.write_table(out, root, run, "consensus")
     return out
@@ -164,6 +167,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("action", choices=["run", "diagnose", "spec-curve", "compare", "consensus"])
     parser.add_argument("--features", help="Parquet of id, block, feature, value")
     parser.add_argument("--labels", help="Parquet of id, label")
+    parser.add_argument("--metadata", help="CSV export with entities in columns; with it, sheets are read instead of Parquet")
+    parser.add_argument("--key", help="the attribute of the metadata that names an entity")
+    parser.add_argument("--label", help="the attribute that is the outcome")
+    parser.add_argument("--batch", help="the attribute that is the batch")
+    parser.add_argument("--imaging", help="CSV export with entities in rows")
+    parser.add_argument("--genes", help="CSV export with entities in columns")
+    parser.add_argument("--models", nargs="+", choices=list(models.MODELS), default=list(models.MODELS))
     parser.add_argument("--root", required=True)
     parser.add_argument("--run", default="both")
     parser.add_argument("--positive", default=Config.positive)
@@ -181,8 +191,12 @@ def main(argv: list[str] | None = None) -> None:
     if a.action == "consensus":
         consensus_of(spark, a.root, a.run, a.votes or f"{a.root}/spec_curve/votes").show(25, truncate=False)
         return
-    long, labels = spark.read.parquet(a.features).where(F.col("block").isin(*SOURCES[a.source])), spark.read.parquet(a.labels)
-    study = Study(spark, long, labels, Config(positive=a.positive))
+    config = Config(positive=a.positive, models=tuple(a.models))
+    if a.metadata:
+        study = from_sheets(spark, a.metadata, a.key, a.label, a.imaging, a.genes, a.batch, a.source, config=config)
+    else:
+        long, labels = spark.read.parquet(a.features).where(F.col("block").isin(*SOURCES[a.source])), spark.read.parquet(a.labels)
+        study = Study(spark, long, labels, config)
     if a.action == "run":
         print(study.run(a.root, a.run))
     elif a.action == "diagnose":

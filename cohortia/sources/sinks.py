@@ -8,8 +8,10 @@ import os
 import re
 import tempfile
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -44,3 +46,49 @@ def write_config(spark: SparkSession, config: object, root: str, run: str, **fou
     path = f"{root}/{run}/config"
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
+
+
+#: The catalog's rows: one for each table, committed after it, and one of kind ``whole`` after a run's last.
+CATALOG = "run string, attempt string, at timestamp, kind string, model string, path string"
+
+
+class Manifest:
+    """The catalog of ``root`` as one attempt at a run writes it."""
+
+    def __init__(self, spark: SparkSession, root: str, run: str):
+        self.spark, self.root, self.run, self.attempt = spark, root, run, uuid.uuid4().hex
+
+    def commit(self, kind: str, path: str, model: str = "") -> str:
+        row = self.spark.createDataFrame([(self.run, self.attempt, datetime.now(timezone.utc), kind, model, path)], CATALOG)
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/_catalog")
+        return path
+
+    def write(self, df: DataFrame, kind: str, *by: str, model: str = "") -> str:
+        return self.commit(kind, write_table(df, self.root, self.run, kind, by), model)
+
+    def close(self) -> None:
+        self.commit("whole", f"{self.root}/{self.run}")
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame | None:
+    """The catalog's rows; None where no run has committed one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_catalog")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(CATALOG).parquet(f"{root}/_catalog")
+
+
+def whole_table(spark: SparkSession, root: str, run: str, kind: str) -> str:
+    """The path of a run's table, as its last whole attempt committed it; a run that was never
+    catalogued has its tables at their usual places."""
+    rows = catalog(spark, root)
+    own = rows.where(F.col("run") == run) if rows is not None else None
+    if own is None or not own.take(1):
+        return f"{root}/{run}/{kind}"
+    last = own.where("kind = 'whole'").orderBy(F.desc("at")).first()
+    if last is None:
+        raise FileNotFoundError(f"no attempt at run {run} in {root} is whole")
+    found = own.where((F.col("attempt") == last["attempt"]) & (F.col("kind") == kind)).first()
+    if found is None:
+        raise FileNotFoundError(f"run {run} in {root} has no table {kind}")
+    return found["path"]
