@@ -30,9 +30,9 @@ from .common import KEPT, handing_back, table, written
 
 #: A worker's table of parts: so many, the first and so mostly the frequent ones, by themselves (some
 #: 200 bytes each), so many more by 64-bit hash (some 30 bytes each); with more it starts anew.
-CACHE, RARE = 100_000, 2_000_000
+CACHE, RARE = 60_000, 1_000_000
 #: Parts that join the hashed ones at once, and words of parts kept at hand.
-FRESH, WORDS = 50_000, 400_000
+FRESH, WORDS = 50_000, 100_000
 
 #: Parts of printable ASCII and Latin letters that lower-case and normalize letter by letter.
 _PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+")
