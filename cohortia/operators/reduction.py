@@ -254,7 +254,7 @@ def neutral_reduction(long: DataFrame, gene_method: str = "iqr_top_pct", exclude
     """(reduction_group, feature, cluster, variance) of the features kept: imaging texture and
     shape apart (or together), genes after their selection."""
     group = F.when(F.col("block") == gen, "genes").when(F.col("block") == rad, F.when(is_shape(F.col("feature")), "shape").otherwise("texture") if exclude_shape else F.lit("radiomics"))
-    cells = long.withColumn("reduction_group", group).where("reduction_group is not null")
+    cells = cut_lineage(long.withColumn("reduction_group", group).where("reduction_group is not null"))
     if not cells.take(1):
         raise ValueError("no column of a known block")
     imaging, gene = cells.where("reduction_group <> 'genes'"), cells.where("reduction_group = 'genes'")

@@ -567,7 +567,7 @@ for _name in models.MODELS:
 
 @query()
 def redundancy_clusters(spark, sf):
-    v = mart.aligned(spark, sf).withColumn("reduction_group", F.col("block"))
+    v = cut_lineage(mart.aligned(spark, sf).withColumn("reduction_group", F.col("block")))
     return reduction.clusters(v.join(reduction.variance_filter(v).select("feature"), "feature", "left_semi"), 0.8)
 
 
