@@ -68,6 +68,24 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+#: A key of more rows than ``LEAST`` and than 1 / ``HOT`` of them all is spread over tasks.
+HOT, LEAST = 10_000, 100_000
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame, total: int, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``few`` by ``key``; a key of very many of ``rows`` is spread over several
+    tasks by the columns ``by``, each with all rows of ``few`` for that key. ``counts`` has the rows of
+    each key as ``n``, ``total`` is the sum of ``n`` or near it. What is broadcast are the keys to
+    spread as pairs of numbers: by the share they must hold, ``HOT`` times (rows / total) at most."""
+    most = max(LEAST, total // HOT)
+    hot = counts.where(F.col("n") > most).groupBy(F.xxhash64(key).alias("_h"))
+    hot = F.broadcast(hot.agg(F.max(F.ceil(F.col("n") / most).cast("int")).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.withColumn("_h", F.xxhash64(key)).join(hot, "_h", "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int"))
+    right = few.withColumn("_h", F.xxhash64(key)).join(hot, "_h", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("_h", "_parts").join(right.drop("_h", "_parts"), [key, "_part"]).drop("_part")
+
+
 #: What a worker keeps from one task of an operator to the next.
 KEPT: dict = {}
 

@@ -5,14 +5,16 @@ in it. Shingles are ordered by rarity, counted over the whole corpus; a document
 only if it holds the window's rarest shingle, so that one (the prefix) is joined with the
 documents' shingles. The window must then lie inside the document (length bound) at the one place
 which the shingle's place in it allows (positional bound), and is verified there: every shingle
-of the window must stand at its place, which is the window word for word.
+of the window must stand at its place. Shingles are joined and compared as their words, so that
+is the window word for word.
 
 Documents give only shingles that some item has: a Bloom filter of the items' shingles keeps the
 others from leaving the scan; it has no false negatives and its false positives meet the join.
+A shingle of very many places, or a window of very many documents, is spread over several tasks.
 
 Cases: null text has no words, empty texts likewise; an item with fewer words than a window is
 one window, one without words none; very long texts are rows of shingles like others; repeated
-rows are judged alike, each for itself; of shingles equally rare the one of least hash is the
+rows are judged alike, each for itself; of shingles equally rare the one of least words is the
 prefix; items with equal texts are all named; empty tables give no rows or no hits; a null
 doc_id is an id, a null item_id is left out; further columns aren't read.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import maybe_in
-from .common import forget, handing_back, table, written
+from .common import forget, handing_back, spread_join, table, written
 from .near_dup import gram_hashes, word_hashes
 
 #: Words of a shingle (fewer in shorter windows).
@@ -48,7 +50,7 @@ def fold_words(text: bytes | None) -> list[bytes]:
 
 
 def item_windows(benchmark: DataFrame, window: int, item_id: str, item_text: str) -> DataFrame:
-    """name, w (hash of the window), size, k (words of a shingle), grams (its shingles in turn)."""
+    """name, w (128-bit hash of the window), size, k (words of a shingle), grams (its shingles in turn, each its hash and its words)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -59,24 +61,26 @@ def item_windows(benchmark: DataFrame, window: int, item_id: str, item_text: str
                     continue
                 size = min(window, len(words))
                 k = min(SHINGLE, size)
-                grams = gram_hashes(word_hashes(words), k).view(np.int64)
+                hashes = gram_hashes(word_hashes(words), k).view(np.int64).tolist()
+                grams = [(h, b" ".join(words[i : i + k])) for i, h in enumerate(hashes)]
                 for i in range(len(words) - size + 1):
-                    w = hashlib.blake2b(b" ".join(words[i : i + size]), digest_size=8).digest()
-                    out.append((name, int.from_bytes(w, "little", signed=True), size, k, grams[i : i + size - k + 1]))
+                    w = hashlib.blake2b(b" ".join(words[i : i + size]), digest_size=16).digest()
+                    out.append((name, w, size, k, grams[i : i + size - k + 1]))
             yield pd.DataFrame(out, columns=["name", "w", "size", "k", "grams"])
 
     items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text"))
-    return items.where("name is not null").mapInPandas(handing_back(run), "name string, w bigint, size int, k int, grams array<bigint>")
+    kind = "name string, w binary, size int, k int, grams array<struct<h: bigint, gram: binary>>"
+    return items.where("name is not null").mapInPandas(handing_back(run), kind)
 
 
-def _filter(grams: DataFrame, most_bytes: int) -> np.ndarray | None:
-    """A Bloom filter of the shingles as bytes of bits; none if it would pass ``most_bytes``."""
-    n = grams.count()
+def _filter(hashes: DataFrame, most_bytes: int) -> np.ndarray | None:
+    """A Bloom filter of the shingles' hashes ``h`` as bytes of bits; none if it would pass ``most_bytes``."""
+    n = hashes.count()
     bits = 1 << max(10, math.ceil(math.log2(16 * n + 1)))
     if bits > 8 * most_bytes:
         return None
-    places = [F.shiftrightunsigned("gram", s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS]
-    byte = grams.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 3).alias("at"))
+    places = [F.shiftrightunsigned("h", s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS]
+    byte = hashes.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 3).alias("at"))
     got = byte.agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 8, np.uint8)
     out[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
@@ -84,7 +88,7 @@ def _filter(grams: DataFrame, most_bytes: int) -> np.ndarray | None:
 
 
 def document_shingles(rows: DataFrame, sizes: list[int], held) -> DataFrame:
-    """a, b (what names the row), p (place of the first word), gram, of the shingles that the filter lets through."""
+    """a, b (what names the row), p (place of the first word), gram (words), of the shingles that the filter lets through."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = held.value
@@ -113,9 +117,10 @@ def document_shingles(rows: DataFrame, sizes: list[int], held) -> DataFrame:
                     found = np.flatnonzero(found)
                     if len(found):
                         of = row[found]
-                        yield pd.DataFrame({"a": x["a"].to_numpy()[of], "b": x["b"].to_numpy()[of], "p": place[found], "gram": grams[found].view(np.int64)})
+                        own = [b" ".join(words[i : i + k]) for i in found.tolist()]
+                        yield pd.DataFrame({"a": x["a"].to_numpy()[of], "b": x["b"].to_numpy()[of], "p": place[found], "gram": own})
 
-    return rows.mapInPandas(handing_back(run), "a bigint, b bigint, p bigint, gram bigint")
+    return rows.mapInPandas(handing_back(run), "a bigint, b bigint, p bigint, gram binary")
 
 
 def _keys(id_col: str, text_col: str) -> dict[str, Column]:
@@ -128,22 +133,26 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int, filter_bytes
     spark = docs.sparkSession
     windows = written(item_windows(benchmark, window, item_id, item_text), "windows")
     sizes = sorted(r["k"] for r in windows.select("k").distinct().collect())  # SHINGLE numbers at most
-    each = windows.dropDuplicates(["w"]).select("w", "size", F.posexplode("grams").alias("r", "gram"))
-    grams = each.select("gram").distinct()
-    held = spark.sparkContext.broadcast(_filter(grams, filter_bytes))
+    each = windows.dropDuplicates(["w"]).select("w", "size", F.posexplode("grams").alias("r", "x")).select("w", "size", "r", "x.h", "x.gram")
+    bits = _filter(each.select("h").distinct(), filter_bytes)
+    held = spark.sparkContext.broadcast(bits)
     rows = docs.select(*[c.alias(n) for n, c in _keys(id_col, text_col).items()], F.col(text_col).cast("binary").alias("text"))
     found = document_shingles(rows, sizes, held)
-    # rows repeated in full, and shingles of several of an item's windows, count once
-    hits = written(found.join(grams, "gram", "left_semi").distinct(), "hits")
+    if bits is None:
+        found = found.join(each.select("gram").distinct(), "gram", "left_semi").select(*found.columns)
+    hits = written(found.distinct(), "hits")  # rows repeated in full count once
     held.destroy()
     rarity = hits.groupBy("gram").agg(F.count("*").alias("n"))
     ranked = each.join(rarity, "gram", "left").select("w", "size", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "r").alias("x"))
-    prefix = ranked.groupBy("w", "size").agg(F.min("x").alias("x"), F.count("*").alias("parts"))
-    prefix = prefix.where("x.n > 0").select("w", "size", "parts", "x.gram", "x.r")
-    places = hits.join(prefix, "gram").withColumn("start", F.col("p") - F.col("r")).where("start >= 0").select("a", "b", "start", "w", "size", "parts")
+    # all shingles of a window in one row: window - SHINGLE + 1 at most
+    prefix = ranked.groupBy("w", "size").agg(F.min("x").alias("x"), F.collect_list(F.struct("x.r", "x.gram")).alias("grams"))
+    prefix = prefix.where("x.n > 0").select("w", "size", "x.gram", "x.r", "grams")
+    places = spread_join(hits, prefix, "gram", rarity, hits.count(), ["a", "b", "p"]).withColumn("start", F.col("p") - F.col("r"))
     # every shingle of the window at its place; the last one's place keeps the window inside the document
-    wanted = places.join(each.select("w", "r", "gram"), "w").withColumn("p", F.col("start") + F.col("r"))
-    stand = wanted.join(hits, ["a", "b", "p", "gram"], "left_semi").groupBy("a", "b", "start", "w", "size", "parts").agg(F.count("*").alias("n"))
+    parts = F.size("grams").alias("parts")
+    wanted = places.where("start >= 0").select("a", "b", "start", "size", "w", parts, F.explode("grams").alias("x"))
+    wanted = wanted.select("a", "b", "start", "size", "w", "parts", (F.col("start") + F.col("x.r")).alias("p"), "x.gram")
+    stand = wanted.join(hits, ["a", "b", "p", "gram"], "left_semi").groupBy("a", "b", "start", "size", "w", "parts").agg(F.count("*").alias("n"))
     out = written(stand.where("n = parts").select("a", "b", "start", "size", "w"), "occurrences")
     forget(spark, hits)
     return out, windows.select("name", "w").distinct()
@@ -169,7 +178,9 @@ def decontaminate(
     more = lambda s, x: F.greatest(x["end"] - F.greatest(x["start"], s["end"]), F.lit(0))
     step = lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["n"] + more(s, x)).alias("n"))
     hit = found.groupBy("a", "b").agg(F.aggregate(spans, zero, step, lambda s: s["n"]).alias("n_hit"))
-    items = found.select("a", "b", "w").distinct().join(names, "w").groupBy("a", "b").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    held = written(found.select("a", "b", "w").distinct(), "held")
+    holders = held.groupBy("w").agg(F.count("*").alias("n"))
+    items = spread_join(held, names, "w", holders, held.count(), ["a", "b"]).groupBy("a", "b").agg(F.array_sort(F.collect_set("name")).alias("items"))
     judged = written(hit.join(items, ["a", "b"]), "judged")
 
     @F.pandas_udf("bigint")

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortia.llm import ann_hnsw, license_scan, near_dup, packing, registry
+from cohortia.llm import ann_hnsw, common, decontaminate, license_scan, near_dup, packing, registry
+from cohortia.llm import components as components_module
 from cohortia.llm.common import written
 from tests.llm.test_pairs import brute_components, exact, prose
 from tests.llm.test_texts import text, words
@@ -156,3 +157,46 @@ def test_pipeline_stages_on_edge_cases(spark, documents, tmp_path):
             if name == "benchmarks" and n:
                 assert out.where("text is null").count() == 1 and not out.where(F.col("text") == good[0]).count()
         assert (pipe.packing(spark, docs, str(tmp_path)).count() == 0) == (n == 0)
+
+
+@pytest.mark.parametrize("filter_bytes", [1 << 20, 8])
+def test_shingles_and_windows_of_very_many_documents(spark, documents, monkeypatch, filter_bytes):
+    """An item of one frequent word, and windows that most documents hold, are spread over tasks."""
+    monkeypatch.setattr(common, "LEAST", 20)
+    passage = "a passage that stands in nearly every one of these documents here"
+    items = [(1, "word"), (2, passage), (3, passage + " and more"), (4, "word word"), (5, "not in any of them"), (6, "words of")]
+    rows = [(i, "word " * (i % 7) + f"text {i} " + (passage.upper() if i % 3 else "") + " word") for i in range(120)]
+    found = decontaminate.decontaminate(documents(rows), spark.createDataFrame(items, "item_id bigint, text string"), 5, filter_bytes)
+    want = []
+    for i, t in rows:
+        w, hit, own = t.lower().split(), set(), set()
+        for name, item in items:
+            v = item.split()
+            for x in {tuple(v[s : s + 5]) for s in range(max(1, len(v) - 4))}:
+                for k in range(len(w) - len(x) + 1):
+                    if tuple(w[k : k + len(x)]) == x:
+                        hit |= set(range(k, k + len(x)))
+                        own.add(str(name))
+        want.append((i, len(w), len(hit), sorted(own)))
+    assert sorted(map(tuple, found.select("doc_id", "n_words", "n_hit", "items").collect())) == want
+
+
+def test_spread_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST", 10)
+    rows = spark.createDataFrame([(k, i) for k in range(20) for i in range(k * k)] + [(None, 1)], "key int, i int").repartition(5)
+    few = spark.createDataFrame([(k, c) for k in range(0, 20, 3) for c in "ab"] + [(None, "c")], "key int, c string")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    got = common.spread_join(rows, few, "key", counts, rows.count(), ["i"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(few, "key").collect()))
+
+
+def test_hubs_of_many_edges(spark, monkeypatch):
+    """Vertices of very many edges: their edges meet the smallest neighbour in several tasks."""
+    monkeypatch.setattr(components_module, "PER_TASK", 50)
+    monkeypatch.setattr(common, "LEAST", 10)
+    r = random.Random(4)
+    edges = [(1000 + i, 7 if i % 3 else 9) for i in range(400)] + [(5000, 1000 + i) for i in range(0, 60, 2)] + [(9000 + i, 9001 + i) for i in range(30)]
+    r.shuffle(edges)
+    got = {x["vertex"]: x["component"] for x in components_module.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)).collect()}
+    assert {v: c for v, c in got.items() if v < 9000} == {v: 7 for e in edges for v in e if v < 9000}
+    assert {c for v, c in got.items() if v >= 9000} == {9000}
