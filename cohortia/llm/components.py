@@ -4,9 +4,10 @@ Each round contracts, then stars. Contracting: tasks of at most some ``PER_TASK`
 without a shuffle, put a forest over their edges in their place, as an edge from each vertex to
 the smallest of its tree. Where one task holds all edges that are left, that is the answer;
 otherwise large and small star steps (Kiveris et al., 2014) join the trees of the tasks: each
-vertex's smallest neighbour is an aggregate, so hubs are pre-aggregated before the shuffle. Each
-round is written to the shared folder, which cuts the lineage. The number of tasks grows with
-the edges, the memory of a task doesn't.
+vertex's smallest neighbour is an aggregate, so hubs are pre-aggregated before the shuffle, and
+the edges of a hub meet that neighbour in several tasks. Each round is written to the shared
+folder, which cuts the lineage. The number of tasks grows with the edges, the memory of a task
+doesn't.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, handing_back, written
+from .common import forget, handing_back, spread_join, written
 
 #: Edges contracted in one task, and vertices of the forest a task has at hand (some 100 bytes each).
 PER_TASK = 250_000
@@ -76,11 +77,12 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each vertex's neighbours (larger ones, or smaller ones and itself) to its smallest."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """``n`` edges or fewer: link each vertex's neighbours (larger ones, or smaller ones and itself) to its smallest."""
     around = _both_ways(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    out = around.join(least, "a")
+    nearest = around.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = nearest.select("a", F.least("a", "m").alias("m"))
+    out = spread_join(around, least, "a", nearest.select("a", "n"), n, ["b"])
     if large:
         out = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -98,9 +100,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         tasks = max(1, math.ceil(now.count() / PER_TASK))
         then = written(_contracted(now, tasks), "edges")
         forget(spark, now)
+        n = then.count()
         if tasks == 1:
             return then.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-        now = written(_star(_star(then, large=True), large=False), "edges")
+        now = written(_star(_star(then, True, n), False, n), "edges")
         forget(spark, then)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
