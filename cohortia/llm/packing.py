@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import KEPT, handing_back, table, written
 
-#: A worker's table of parts: so many, the first and so mostly the frequent ones, by themselves (some
-#: 200 bytes each), so many more by 64-bit hash (some 30 bytes each); with more it starts anew.
-CACHE, RARE = 60_000, 1_000_000
+#: A worker's table of parts: so many, the first and so mostly the frequent ones, in a dictionary (some
+#: 200 bytes each), so many more by 64-bit hash and compared byte by byte (some 40 bytes each and
+#: their own, ``HELD`` in all); with more it starts anew.
+CACHE, RARE, HELD = 60_000, 1_000_000, 32 << 20
 #: Parts that join the hashed ones at once, and words of parts kept at hand.
 FRESH, WORDS = 50_000, 100_000
 
@@ -87,6 +88,9 @@ class CachedTokenizer:
         self.number: dict[bytes, int] = {}
         self.hashes = np.empty(0, np.int64)  # sorted, of the parts that aren't in ``number``
         self.slots = np.empty(0, np.int32)
+        self.text = bytearray()  # their bytes, and where each one's begin and end
+        self.begins = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int32)
         self.pieces: dict[str, bytes] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int32)
@@ -126,10 +130,14 @@ class CachedTokenizer:
         late = list(islice(self.number.items(), CACHE, None))
         for part, _ in late:
             del self.number[part]
-        hashes = np.concatenate([self.hashes, np.fromiter((hash(part) for part, _ in late), np.int64, len(late))])
+        names = [part for part, _ in late]
+        size = np.fromiter(map(len, names), np.int32, len(names))
+        begins = np.concatenate([self.begins, len(self.text) + np.cumsum(size, dtype=np.int64) - size])
+        self.text += b"".join(names)
+        hashes = np.concatenate([self.hashes, np.fromiter(map(hash, names), np.int64, len(names))])
         slots = np.concatenate([self.slots, np.fromiter((i for _, i in late), np.int32, len(late))])
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.slots = hashes[order], slots[order]
+        self.hashes, self.slots, self.begins, self.sizes = hashes[order], slots[order], begins[order], np.concatenate([self.sizes, size])[order]
 
     def _find(self, parts: list[bytes]) -> np.ndarray:
         which = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
@@ -138,7 +146,12 @@ class CachedTokenizer:
             h = np.fromiter((hash(parts[i]) for i in missing.tolist()), np.int64, len(missing))
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             known = self.hashes[at] == h
-            which[missing[known]] = self.slots[at[known]]
+            missing, at = missing[known], at[known]
+            # of parts of one hash the first is found, the others are learned anew
+            begin, size, text = self.begins[at], self.sizes[at], self.text
+            same = [z == len(p) and text.startswith(p, b) for i, b, z in zip(missing.tolist(), begin.tolist(), size.tolist()) for p in (parts[i],)]
+            same = np.array(same, bool)
+            which[missing[same]] = self.slots[at[same]]
         return which
 
     def encode_batch(self, texts: list[bytes], end: int) -> list[np.ndarray]:
@@ -153,7 +166,7 @@ class CachedTokenizer:
         which = self._find(parts)
         missing = np.flatnonzero(which < 0)
         if len(missing):
-            if self.count >= RARE or self.used >= 8 * RARE:
+            if self.count >= RARE or self.used >= 8 * RARE or len(self.text) >= HELD:
                 self.clear()
                 return self.encode_batch(texts, end)
             self._learn(list(dict.fromkeys(parts[i] for i in missing.tolist())))

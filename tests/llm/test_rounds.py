@@ -200,3 +200,18 @@ def test_hubs_of_many_edges(spark, monkeypatch):
     got = {x["vertex"]: x["component"] for x in components_module.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)).collect()}
     assert {v: c for v, c in got.items() if v < 9000} == {v: 7 for e in edges for v in e if v < 9000}
     assert {c for v, c in got.items() if v >= 9000} == {9000}
+
+
+def test_parts_of_one_hash_keep_their_own_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 20)
+    monkeypatch.setattr(packing, "FRESH", 5)
+    monkeypatch.setattr(packing, "HELD", 600)
+    monkeypatch.setattr(packing, "hash", lambda part: len(part) % 3, raising=False)  # nearly all clash
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 5))) for _ in range(30)) for _ in range(200)]
+    cached, tk = packing.CachedTokenizer(packing.word_bpe_path()), Tokenizer.from_file(packing.word_bpe_path())
+    for a in range(0, len(texts), 10):
+        got = cached.encode_batch([t.encode() for t in texts[a : a + 10]], 1)
+        assert [g.tolist() for g in got] == [e.ids + [1] for e in tk.encode_batch(texts[a : a + 10], add_special_tokens=False)]
