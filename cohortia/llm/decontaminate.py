@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import maybe_in
+from .bloom import parted
 from .common import forget, handing_back, spread_join, table, written
 from .near_dup import gram_hashes, word_hashes
 
@@ -206,8 +206,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, f
     found, _ = occurrences(docs, benchmark, window, filter_bytes, "doc_id", "text", "item_id", "text")
     gone = written(found.select("a", "b").distinct(), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in _keys("doc_id", "text").items()])
-    near = maybe_in(gone.select(F.xxhash64("a", "b").alias("key")), "key", F.xxhash64("a", "b"), gone.count())
-    return rows.where(~near).unionByName(rows.where(near).join(gone, ["a", "b"], "left_anti").select(*rows.columns)).select("row.*")
+    near, rest = parted(rows, F.xxhash64("a", "b"), gone.select(F.xxhash64("a", "b").alias("key")), "key", gone.count())
+    return rest.unionByName(near.join(gone, ["a", "b"], "left_anti").select(*rows.columns)).select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import maybe_in
+from .bloom import parted, possible
 from .common import forget, handing_back, table, written
 from .components import components, stars
 
@@ -494,7 +494,7 @@ def resolved(docs: DataFrame, signed: DataFrame, members: DataFrame, clusters: D
     clusters = written(clusters.join(members.select("u", "first", "h", "n"), "u"), "clusters")
     rows = docs.select(F.col(id_col).cast("bigint").alias("first"), text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text")).where("first is not null")
     keyed = clusters.select(F.xxhash64("first", "h").alias("key"))
-    rows = rows.where(maybe_in(keyed, "key", F.xxhash64("first", "h"), clusters.count()))
+    rows = possible(rows, F.xxhash64("first", "h"), keyed, "key", clusters.count())
     texts = written(rows.join(clusters.select("u", "first", "h"), ["first", "h"]).select("u", "text"), "texts")
     linked = components(_confirmed(clusters.select("u", "n", "cluster"), texts, shingle, percent))
     names = linked.join(members.select(F.col("u").alias("vertex"), "first"), "vertex")
@@ -532,11 +532,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m
     todo = written(counted.where("not kept or m > 1 and n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "kept"), "gone")
     # only rows that may be among those meet the joins; the others aren't shuffled
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_hash("text").alias("hash"))
-    near = maybe_in(todo.select(F.xxhash64("id", "hash").alias("key")), "key", F.xxhash64("id", "hash"), todo.count())
-    some = rows.where(near)
+    some, rest = parted(rows, F.xxhash64("id", "hash"), todo.select(F.xxhash64("id", "hash").alias("key")), "key", todo.count())
     left = some.join(todo, ["id", "hash"], "left_anti")
     one = some.join(todo.where("kept"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
-    return rows.where(~near).unionByName(left).unionByName(one).select("row.*")
+    return rest.unionByName(left).unionByName(one).select("row.*")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

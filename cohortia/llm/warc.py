@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import maybe_in
+from .bloom import parted
 from .common import forget, fresh_path, table, written
 
 CRLF = "\r\n"
@@ -76,10 +76,10 @@ def write_archives(
     )
     again = written(classify(pages, least, id_col, html_col).withColumnsRenamed({"page_id": "again_id", "digest": "again_digest"}), "revisits")
     # payloads that stand nowhere else are written from where they are read
-    maybe = maybe_in(again, "again_digest", F.col("digest"), again.count())
+    maybe, alone = parted(rows, F.col("digest"), again, "again_digest", again.count())
     same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest"))
-    alone = rows.where(~maybe).withColumn("refers_to", F.lit(None).cast(pages.schema[id_col].dataType))
-    rows = rows.where(maybe).join(again, same, "left").select(*alone.columns).unionByName(alone)
+    alone = alone.withColumn("refers_to", F.lit(None).cast(pages.schema[id_col].dataType))
+    rows = maybe.join(again, same, "left").select(*alone.columns).unionByName(alone)
     revisit = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
