@@ -51,6 +51,8 @@ def select_genes(long: DataFrame, method: str = "iqr_top_pct", top_n: int = 50,
 
 #: Cells of a column tile, values of a column that are worked on whole, and columns of a tile.
 TILE_CELLS, WHOLE, COLUMNS = 8_000_000, 4_000_000, 512
+#: Values of a column that are worked on whole where chunks of ids give the same, and cells of a chunk.
+SHORT, CHUNK_CELLS = 20_000, 1_000_000
 
 
 def _unit(x: np.ndarray, ranks: bool) -> np.ndarray:
@@ -85,15 +87,16 @@ def correlations(long: DataFrame, method: str = "spearman", by: tuple[str, ...]
     one of them is constant.
 
     Columns are packed, one row each, and dealt into tiles; a task has two tiles of columns and
-    multiplies them, so pairs never meet in a join. Beyond ``WHOLE`` ids, rows are dealt into
-    chunks, too, whose sums are added up (``_chunked``)."""
+    multiplies them, so pairs never meet in a join. Beyond ``SHORT`` ids, rows are dealt into
+    chunks, too, whose sums are added up (``_chunked``); ranks of columns with missing cells differ from
+    pair to pair, so those stay whole up to ``WHOLE`` ids."""
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown correlation {method!r}")
     cells = long.where("value is not null").select(*by, "id", "feature", F.col("value").cast("double").alias("value"))
     size = cells.groupBy(*by, "feature").agg(F.count("*").alias("n"))
     most, n_features = size.agg(F.max("n"), F.count("*")).first()
-    if most and most > WHOLE:
-        return _chunked(cells, method, by)
+    if most and most > min(SHORT, WHOLE) and (most > WHOLE or method == "pearson" or not _gaps(cells, by).take(1)):
+        return _chunked(cells, method, by, max(1, CHUNK_CELLS // min(n_features, 2 * COLUMNS)))
     width = max(1, min(COLUMNS, TILE_CELLS // max(most or 1, 1)))
     packed = _tiles(cells.groupBy(*by, "feature").agg(F.collect_list("id").alias("ids"), F.collect_list("value").alias("values")), by, width, n_features)
     ranks = method == "spearman"
@@ -114,6 +117,14 @@ def correlations(long: DataFrame, method: str = "spearman", by: tuple[str, ...]
     return packed.groupBy(*by, "t", "s").applyInPandas(products, ", ".join(filter(None, [kinds, "i string, j string, rho double"])))
 
 
+def _gaps(cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Columns that lack ids of their group."""
+    full = cells.groupBy(*by, "feature").agg(F.count("*").alias("n"))
+    ids = cells.select(*by, "id").distinct()
+    n_ids = ids.groupBy(*by).agg(F.count("*").alias("m")) if by else ids.agg(F.count("*").alias("m"))
+    return (full.join(n_ids, list(by)) if by else full.join(F.broadcast(n_ids))).where("n < m")  # one row
+
+
 def _tiles(columns: DataFrame, by: tuple[str, ...], width: int, n_features: int) -> DataFrame:
     """``columns`` once for each tile that theirs meets (t, s: the pair of tiles, t <= s)."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy("feature")) - 1
@@ -134,8 +145,7 @@ def _chunked(cells: DataFrame, method: str, by: tuple[str, ...], rows_each: int
     ids = cells.select(*by, "id").distinct()
     n_ids = ids.groupBy(*by).agg(F.count("*").alias("m")) if by else ids.agg(F.count("*").alias("m"))
     if method == "spearman":
-        full = cells.groupBy(*keys).agg(F.count("*").alias("n"))
-        if (full.join(n_ids, list(by)) if by else full.join(F.broadcast(n_ids))).where("n < m").take(1):  # one row
+        if _gaps(cells, by).take(1):
             raise ValueError(f"ranks of columns with missing cells need columns of at most {WHOLE} ids")
         cells = with_midrank(cells, keys, "value", "rank").select(*by, "id", "feature", F.col("rank").alias("value"))
     # centred on the column's mean, so that sums of products lose nothing
