@@ -533,8 +533,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, m
     # only rows that may be among those meet the joins; the others aren't shuffled
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_hash("text").alias("hash"))
     some, rest = parted(rows, F.xxhash64("id", "hash"), todo.select(F.xxhash64("id", "hash").alias("key")), "key", todo.count())
-    left = some.join(todo, ["id", "hash"], "left_anti")
-    one = some.join(todo.where("kept"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    # a semi or anti join would be pushed below the filter, where all texts meet it: an outer one stays above
+    told = some.join(todo, ["id", "hash"], "left")
+    left = told.where("kept is null").drop("kept")
+    one = told.where("kept").drop("kept").dropDuplicates(["id", "hash"])
     return rest.unionByName(left).unionByName(one).select("row.*")
 
 
