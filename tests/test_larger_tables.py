@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from cohortia.operators import solvers
+from cohortia.operators import models, solvers
 
 
 def cohort_of(n, p=8, seed=5, places=None):
@@ -56,3 +56,46 @@ def test_boosting_holds_no_copies_of_its_columns():
     top = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert top < 4 * x.nbytes
+
+
+def test_forests_of_all_leaves_grow_together():
+    x, y = cohort_of(700, places=1)
+    together = solvers.random_forests(x, y, range(4, 9), None, (1, 3, 5), 3)
+    for leaf, forest in together.items():
+        same_trees(forest.trees, solvers.random_forest(x, y, 9, None, leaf, 3).trees[4:])
+
+
+def test_a_search_sorts_rows_once_for_all_leaves(monkeypatch):
+    x, y = cohort_of(400)
+    forest, sorted_, split = models.model("random_forest"), [], solvers._split_small
+    monkeypatch.setattr(solvers, "_split_small", lambda columns, row, *rest: sorted_.append(len(row)) or split(columns, row, *rest))
+    combos = [c | {"trees": c["trees"] // 50} for c in forest.combinations()]
+    forest.votes(x, y, combos, range(10), x, 3)
+    together = sum(sorted_)
+    sorted_.clear()
+    for leaf in (1, 3, 5):
+        solvers.random_forest(x, y, 10, None, leaf, 3)
+    assert together < 0.6 * sum(sorted_)
+
+
+def test_trees_of_a_forest_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "DEAL", 7)
+    x, y = cohort_of(90, 4)
+    cohort = models.Cohort([f"{i:03d}" for i in range(90)], list("abcd"), x, y)
+    grid = [{"trees": t, "depth": d, "leaf": leaf} for t in (10, 20) for d in (2, None) for leaf in (1, 4)]
+    forest = models.model("random_forest")
+    assert [list(p) for p in forest.parts(20)] == [list(range(7)), list(range(7, 14)), list(range(14, 20))]
+    scored, outer = models.grid_search(spark, cohort, ["random_forest"], 2, 2, 3, {"random_forest": grid})
+    got = {(r["outer"], r["combo"]): r["auc"] for r in scored.collect()}
+    assert len(got) == 16 and all(0.4 < v <= 1 for v in got.values())
+    result = models.nested_cv(spark, cohort, ["random_forest"], 2, 2, 3, {"random_forest": [grid[7]]})
+    p = {r["id"]: (r["p"], r["pred"]) for r in result.predictions.collect()}
+    shap = {(r["id"], r["feature"]): r["shap"] for r in result.attributions.collect()}
+    share = {(r["fold"], r["feature"]): r["importance"] for r in result.importances.collect()}
+    for fold in (0, 1):
+        train, test = outer != fold, np.flatnonzero(outer == fold)
+        alone = forest.fit(x[train], y[train], grid[7], 3)
+        assert np.allclose([p[cohort.ids[i]][0] for i in test], alone.proba(x[test]), atol=1e-12)
+        assert [p[cohort.ids[i]][1] for i in test] == alone.predict(x[test]).tolist()
+        assert np.allclose([[shap[cohort.ids[i], f] for f in "abcd"] for i in test], alone.attributions(x[test]), atol=1e-12)
+        assert np.allclose([share[fold, f] for f in "abcd"], alone.importance(), atol=1e-12)
