@@ -99,3 +99,40 @@ def test_trees_of_a_forest_are_dealt_to_tasks(spark, monkeypatch):
         assert [p[cohort.ids[i]][1] for i in test] == alone.predict(x[test]).tolist()
         assert np.allclose([[shap[cohort.ids[i], f] for f in "abcd"] for i in test], alone.attributions(x[test]), atol=1e-12)
         assert np.allclose([share[fold, f] for f in "abcd"], alone.importance(), atol=1e-12)
+
+
+def long_of(spark, x, y):
+    long = spark.createDataFrame([(f"{i:04d}", f"f{j}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row)], "id string, feature string, value double")
+    return long, spark.createDataFrame([(f"{i:04d}", int(v)) for i, v in enumerate(y)], "id string, y int")
+
+
+def test_a_cohort_of_any_size_is_taken_in_the_least_bytes(spark, monkeypatch):
+    of = models.Cohort.of.__func__
+    if of.__defaults__:
+        monkeypatch.setattr(of, "__defaults__", (10,))
+    x, y = cohort_of(40, 3)
+    short = models.Cohort.of(*long_of(spark, x.astype(np.float32).astype(float), y))
+    assert short.x.dtype == np.float32 and np.array_equal(short.x, x.astype(np.float32)) and short.y.tolist() == y.tolist()
+    assert np.array_equal(models.Cohort.of(*long_of(spark, x, y)).x, x)
+    missing = x.copy()
+    missing[3, 1] = np.nan
+    with pytest.raises(ValueError):
+        models.Cohort.of(*long_of(spark, missing, y))
+
+
+@pytest.mark.parametrize("name", ["elastic_net", "svm_linear", "random_forest", "gbt"])
+def test_fits_of_short_numbers_are_those_of_long_ones(name):
+    x, y = cohort_of(200, 4)
+    x = x.astype(np.float32)
+    spec = models.model(name)
+    combo = spec.combinations()[-1] | ({"trees": 5} if spec.kind == "tree" else {})
+    assert np.allclose(spec.fit(x, y, combo, 1).proba(x), spec.fit(x.astype(float), y, combo, 1).proba(x.astype(float)), atol=1e-9)
+
+
+def test_an_svm_holds_few_copies_of_its_rows():
+    x, y = cohort_of(30_000, 32)
+    tracemalloc.start()
+    solvers.linear_svm(x, y, 0.1)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert top < 2.2 * x.nbytes
