@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from cohortia.operators import models, solvers
+from cohortia.operators import models, resample, solvers
 
 
 def cohort_of(n, p=8, seed=5, places=None):
@@ -136,3 +136,41 @@ def test_an_svm_holds_few_copies_of_its_rows():
     top = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert top < 2.2 * x.nbytes
+
+
+def test_fits_of_all_folds_and_labellings_are_those_of_each():
+    x, y = cohort_of(300, 5)
+    x[:, 4] = 2.5
+    x[:, 3] = x[:, 3] * 1e3 + 1e4
+    rng = np.random.default_rng(1)
+    ys = np.stack([y, rng.permutation(y), np.arange(300) < 1]).astype(np.int8)
+    folds = np.stack([np.arange(300) % 3] * 3).astype(np.int16)
+    elastic_net = models.model("elastic_net")
+    for params in ({"C": 0.1, "l1_ratio": 0.5}, {"C": 1.0, "l1_ratio": 0.05}):
+        p = elastic_net.out_of_fold(x, ys, folds, 3, params, 1)
+        for one in range(3):
+            for f in range(3):
+                train, test = folds[one] != f, folds[one] == f
+                if len(set(ys[one][train])) < 2:
+                    assert np.isnan(p[one][test]).all()
+                    continue
+                assert np.allclose(p[one][test], elastic_net.fit(x[train], ys[one][train].astype(int), params, 1).proba(x[test]), atol=1e-7)
+
+
+def test_labels_are_permuted_in_tasks_as_in_tables(spark):
+    ids, y = [f"é{i}" for i in range(50)], np.arange(50) % 3 // 2
+    labels = spark.createDataFrame([(i, int(v)) for i, v in zip(ids, y)], "id string, y int")
+    table = resample.permuted_labels(labels, 3, 7)
+    folds = {(r["perm"], r["id"]): (r["y"], r["fold"]) for r in resample.stratified_folds(table, 4, 7, ("perm",)).collect()}
+    order = resample.hash_order(ids, 7)
+    for perm in range(3):
+        own = resample.permuted_in_task(ids, y, perm, 7)
+        assert [(int(a), int(b)) for a, b in zip(own, resample.folds_in_task(order, own, 4))] == [folds[perm, i] for i in ids]
+
+
+def test_a_permutation_test_shuffles_no_labels(spark, monkeypatch):
+    x, y = cohort_of(40, 3)
+    monkeypatch.setattr(resample, "permuted_labels", lambda *a: pytest.fail("a table of labels for each permutation"))
+    for name, params in (("elastic_net", {"C": 0.1, "l1_ratio": 0.5}), ("gbt", {"trees": 2, "depth": 1, "rate": 0.1})):
+        got = models.permutation_test(spark, models.Cohort([str(i) for i in range(40)], list("abc"), x, y), name, params, 5, 4, 1).collect()
+        assert len(got) == 5 and len({r["auc_real"] for r in got}) == 1
